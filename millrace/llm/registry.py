@@ -51,8 +51,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.langid import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts)}
+    return {f.__name__: f for f in (op1_media, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts, op9_toxicity, op10_langid)}
 
 
 OP6_SQL = """
