@@ -21,6 +21,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import code_documents
 
@@ -64,7 +70,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts, op9_toxicity, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_neardup, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts, op9_toxicity, op10_langid)}
 
 
 OP6_SQL = """
