@@ -57,6 +57,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.substring import removal_digest
+
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.toxicity import score_toxicity
 
@@ -70,7 +76,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_neardup, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts, op9_toxicity, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_neardup, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts, op8_substrings, op9_toxicity, op10_langid)}
 
 
 OP6_SQL = """
