@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_results: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,15 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, hint: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: later steps restart from the files when executors are lost."""
+def cut(df: DataFrame, hint: str = "t", result: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: later steps restart from the files when executors are lost. Within ``scratch()`` only a ``result`` outlives the block."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{hint}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    (_results if result else _written).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what was cut inside."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > mark:
+            drop(*_written.pop())
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -42,12 +56,12 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def release() -> None:
     """Delete every table that ``cut`` wrote. Call it only when no result that reads them is still to be computed."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            drop(spark, path)
-        except Exception:  # the session may be stopped by now; its folder goes with it
-            return
+    for tables in (_written, _results):
+        while tables:
+            try:
+                drop(*tables.pop())
+            except Exception:  # at exit the session may be gone
+                return
 
 
 atexit.register(release)

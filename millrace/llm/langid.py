@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import is_held_out
+from millrace.llm.common import cut, is_held_out, scratch
 from millrace.llm.lexical import Marked, longs, lookup, mixed, words_of
 
 SIZES = (4, 3, 2, 1)
@@ -103,8 +104,11 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    from millrace.llm.common import cut
+    with scratch():
+        return _train(docs)
 
+
+def _train(docs: DataFrame) -> Model:
     counts = cut(count_keys(docs), "keys")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     sums = {(r[0], r[1]): r[2] for r in totals.collect()}
@@ -150,9 +154,8 @@ def detect(model: Model, texts: list[str | None], memo: dict[str, np.ndarray]) -
 
 def identify(docs: DataFrame, model: Model | None = None, extra: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, lang_pred, score) and the ``extra`` columns, of every whole text."""
-    extra = extra or []
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *extra)
+    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *(extra or []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, np.ndarray] = {}
@@ -162,10 +165,16 @@ def identify(docs: DataFrame, model: Model | None = None, extra: list[str] | Non
                 names, scores = detect(sent.value, batch.column(0).to_pylist(), memo)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[1:])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
     out = identify(docs)
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose language is told with a score of at least ``least``."""
+    rows = docs.select("doc_id", "text", F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    return identify(rows, train(docs), ["row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

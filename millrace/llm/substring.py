@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, scratch
 
 WINDOW = 50
 GRAM = 12
@@ -282,7 +282,12 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, large: int = LARGE) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept_sha, changed, kept): ``kept`` is the text of the words that stay, or null where none was removed."""
+    """Rows (doc_id, n_words, n_removed, kept_sha, kept): ``kept`` is the text of the words that stay, or null where none was removed."""
+    with scratch():
+        return cut(_substring_dedup(docs, window, gram, large), "substring", result=True)
+
+
+def _substring_dedup(docs: DataFrame, window: int, gram: int, large: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profile = cut(_profile(docs, window, gram), "profile")
     first = profile.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
@@ -312,3 +317,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, lar
 
 def removal_digest(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.col("kept_sha").alias("kept_sha256"))
+
+
+def drop_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, with all their columns, less the covered words. Texts that lose none stay as they are; those that do are their words joined by blanks, and n_chars, where there is one, follows."""
+    changed = substring_dedup(docs, window).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("changed_id"), F.col("kept").alias("new"))
+    ids = changed.select("changed_id")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    same = F.col("row.doc_id") == F.col("changed_id")
+    new = rows.join(ids, same, "left_semi").select(F.col("row").dropFields("text").alias("row")).join(changed, same)
+    text = F.coalesce("new", F.lit(""))
+    columns = [(text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return rows.join(ids, same, "left_anti").select("row.*").union(new.select(*columns))
