@@ -1,12 +1,13 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
 Words are runs of non-blank characters of the normalised text; BPE never merges across them. The most
-frequent words of the corpus (LEXICON_WORDS of them, counted over all documents) are encoded once and
-compiled on the driver into a minimal acyclic automaton: equal suffixes share states, and each arc carries
-how many words of the lexicon it skips, so that the sum over a word's path is its place in the list of id
-outputs. The image of a few MB, bounded by the lexicon's parameters, is broadcast; every Python worker
-writes it to an unnamed temporary file and maps that into memory. Batches of distinct words run through the
-automaton together; words that it doesn't hold are merged exactly by the BPE model of the vocabulary.
+frequent words of the corpus (those that make up at least SHARE of all words, counted over all documents, so
+at most 1 / SHARE of them) are encoded once and compiled on the driver into a minimal acyclic automaton:
+equal suffixes share states, and each arc carries how many words of the lexicon it skips, so that the sum
+over a word's path is its place in the list of id outputs. The image, bounded by the lexicon's parameters, is
+broadcast; every Python worker writes it to an unnamed temporary file and maps that into memory. Batches of
+distinct words run through the automaton together. Words that it doesn't hold are merged exactly: all words
+of a batch side by side, each step joining in every word its first pair of the lowest rank.
 
 Texts with the vocabulary's special tokens or with the separators U+001C to U+001F, which the
 normaliser and Python disagree about, are encoded whole by the vocabulary's own pipeline.
@@ -29,13 +30,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEXICON_WORDS = 65_536
+from millrace.llm.common import cut, scratch
+from millrace.llm.packing import byte_alphabet
+
+SHARE = 2e-6
 WORD_BYTES = 48
-MEMO_WORDS = 150_000
+MEMO_WORDS = 200_000
 FLUSH_WORDS = 400_000
+NEVER = 2**31 - 1
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -131,19 +137,96 @@ class Transducer:
         return self.ids[self.offsets[place] : self.offsets[place + 1]]
 
 
+class Merger:
+    """Exact byte-pair merges of many words at once."""
+
+    def __init__(self, spec: dict):
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        letters = byte_alphabet()
+        self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for c, b in letters.items():
+            self.inner[b], self.last[b] = vocab[c], vocab[c + end]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        keys = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.joined = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pieces = regex.compile("\n|" + split["pattern"]["Regex"])
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, piece of each id)"""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids, piece = self.inner[data], np.repeat(np.arange(len(pieces)), size)
+        ends = np.cumsum(size) - 1
+        ids[ends] = self.last[data[ends]]
+        rank = np.full(len(ids), NEVER, np.int64)
+        pair = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[pair] = self.rank(ids[pair], ids[pair + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            new = np.concatenate([[True], piece[1:] != piece[:-1]])
+            least = np.minimum.reduceat(rank, np.flatnonzero(new))[np.cumsum(new) - 1]
+            live = least < NEVER
+            if 4 * live.sum() < 3 * len(ids):
+                done.append((ids[~live], piece[~live]))
+                ids, piece, rank, least = ids[live], piece[live], rank[live], least[live]
+                if not len(ids):
+                    break
+            at = np.flatnonzero((rank == least) & (least < NEVER))
+            at = at[np.concatenate([[True], piece[at[1:]] != piece[at[:-1]]])]
+            ids[at] = self.joined[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # each earlier pair has lost one place
+            ids, piece, rank = ids[keep], piece[keep], rank[keep]
+            touched = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            inside = touched[touched + 1 < len(ids)]
+            inside = inside[piece[inside] == piece[inside + 1]]
+            rank[touched] = NEVER
+            rank[inside] = self.rank(ids[inside], ids[inside + 1])
+        if not done:
+            return ids, piece
+        ids, piece = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        order = np.argsort(piece, kind="stable")
+        return ids[order], piece[order]
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word (without blanks) of normalised text."""
+        pieces, owner, at = [], [], 0
+        for p in self.pieces.findall("\n".join(words)):
+            if p == "\n":
+                at += 1
+            else:
+                pieces.append(p.encode())
+                owner.append(at)
+        if not pieces:
+            return [[] for _ in words]
+        ids, piece = self.merge(pieces)
+        edges = np.searchsorted(np.array(owner)[piece], np.arange(len(words) + 1)).tolist()
+        flat = ids.tolist()
+        return [flat[s:e] for s, e in zip(edges, edges[1:], strict=False)]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str):
-    """(whole pipeline, merges of one normalised word, token of each id, special tokens)"""
+    """(whole pipeline, exact merges, token of each id, special tokens)"""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec["added_tokens"]]
-    whole, word = Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
+    whole = Tokenizer.from_file(path)
     whole.no_truncation()
     whole.no_padding()
     tokens = {i: t for t, i in whole.get_vocab(with_added_tokens=True).items()}
-    return whole, word, tokens, special
+    return whole, Merger(spec), tokens, special
 
 
 def split_words(text: str) -> list[str]:
@@ -156,13 +239,13 @@ def split_words(text: str) -> list[str]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """Rows (word, n) over all whole texts, counted in the workers before the shuffle."""
+    """Rows (word, n) over all whole texts, counted in the workers before the shuffle; the row without a word has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array([None, *seen.keys()], pa.string()), pa.array([seen.total(), *seen.values()], pa.int64())], ["word", "n"])
             seen.clear()
             return batch
 
@@ -178,13 +261,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon_image(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the corpus's most frequent words. At most ``words`` of at most WORD_BYTES bytes reach the driver."""
-    top = count_words(docs).where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(words)
-    listed = [r[0] for r in top.collect()]
-    listed = [w for w in listed if not _ODD.search(w)]
-    merge = vocabulary(tokenizer_path)[1]
-    return build_image({w.encode(): e.ids for w, e in zip(listed, merge.encode_batch(listed, add_special_tokens=False), strict=True)})
+def lexicon_image(docs: DataFrame, tokenizer_path: str, share: float = SHARE) -> bytes:
+    """The transducer of the corpus's frequent words: at most 1 / share of them, of at most WORD_BYTES bytes, reach the driver."""
+    with scratch():
+        counts = cut(count_words(docs).where("word IS NULL OR n > 1"), "words")
+        total = counts.where("word IS NULL").first()
+        frequent = counts.where(F.col("word").isNotNull() & (F.octet_length("word") <= WORD_BYTES) & (F.col("n") >= share * (total["n"] if total else 0)))
+        listed = [w for w in frequent.select("word").toPandas()["word"] if not _ODD.search(w)]
+    return build_image({w.encode(): ids for w, ids in zip(listed, vocabulary(tokenizer_path)[1].words(listed), strict=True)})
 
 
 class Coder:
@@ -194,6 +278,7 @@ class Coder:
         self.lexicon = Transducer(image)
         self.whole, self.merge, self.tokens, special = vocabulary(tokenizer_path)
         self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)]))
+        self.names = {i: str(i) for i in self.tokens}
         self.ids: dict[str, str] = {}
         self.out: dict[str, str] = {}
 
@@ -205,14 +290,12 @@ class Coder:
                 unseen.append(word)
             else:
                 self._keep(word, self.lexicon.output(place).tolist())
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            for word, e in zip(part, self.merge.encode_batch(part, add_special_tokens=False), strict=True):
-                self._keep(word, e.ids)
+        for word, ids in zip(unseen, self.merge.words(unseen), strict=True):
+            self._keep(word, ids)
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.ids[word] = " ".join(map(str, ids))
-        self.out[word] = " ".join([self.tokens[i] for i in ids])
+        self.ids[word] = " ".join(map(self.names.__getitem__, ids))
+        self.out[word] = " ".join(map(self.tokens.__getitem__, ids))
 
     def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(decimal ids, decoded text) of each text, both joined by single blanks as the vocabulary, which has no decoder, does."""
@@ -237,16 +320,16 @@ class Coder:
             at = to
 
 
-def code_documents(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> DataFrame:
+def code_documents(docs: DataFrame, tokenizer_path: str, share: float = SHARE) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
     spark = docs.sparkSession
-    image = spark.sparkContext.broadcast(lexicon_image(docs, tokenizer_path, words))
+    image = spark.sparkContext.broadcast(lexicon_image(docs, tokenizer_path, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(image.value, tokenizer_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
                 n, ids_sha, out_sha = [], [], []
                 for ids, text in coder.run([t or "" for t in batch.column(1).to_pylist()]):
                     n.append(ids.count(" ") + 1 if ids else 0)
