@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans import base
 
-MODULES = ("quality",)
+MODULES = ("quality", "vectors", "splits", "questions")
 
 
 def _load() -> None:
