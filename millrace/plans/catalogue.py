@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans import base
 
-MODULES = ("quality", "vectors", "splits", "questions")
+MODULES = ("quality", "vectors", "splits", "questions", "generation", "evaluation")
 
 
 def _load() -> None:
