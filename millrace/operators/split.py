@@ -63,17 +63,18 @@ def thirds(plain: DataFrame, rest: DataFrame, key: str, id_col: str, n: int, sal
     return first.select(key, id_col, "bucket", F.lit("rest").alias("pool")).union(second.select(key, id_col, "bucket", F.lit("plain").alias("pool")))
 
 
-def halves(df: DataFrame, order: str, lanes: int = 64) -> DataFrame:
-    """Adds ``half``: 1 for the first floor(n / 2) rows in ``order``, else 2.
+def halves(df: DataFrame, order: str, key: str | None = None, lanes: int = 64) -> DataFrame:
+    """Adds ``half``: 1 for the first floor(n / 2) rows (of each ``key``) in ``order``, a column of hex digits, else 2.
 
     The place of a row is its place within a lane (a leading part of the hashed order) plus the rows in the lanes
-    before, so no task sorts the whole table.
+    before, so no task sorts a whole key.
     """
     lane = F.floor(F.conv(F.substring(order, 1, 4), 16, 10).cast("long") * lanes / 65536).cast("int")
-    rows = df.withColumn("_lane", lane)
-    counts = rows.groupBy("_lane").agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("_lane", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_all"))
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_lane").orderBy(order))).join(F.broadcast(shift), "_lane")
+    rows = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")).withColumn("_lane", lane)
+    counts = rows.groupBy("_key", "_lane").agg(F.count("*").alias("_c"))
+    every = Window.partitionBy("_key")
+    before = every.orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_key", "_lane", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"), F.sum("_c").over(every).alias("_all"))
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_key", "_lane").orderBy(order))).join(shift, ["_key", "_lane"])
     place = F.col("_rn") + F.col("_shift")
-    return rows.withColumn("half", F.when(place <= F.floor(F.col("_all") / 2), 1).otherwise(2)).drop("_lane", "_rn", "_shift", "_all")
+    return rows.withColumn("half", F.when(place <= F.floor(F.col("_all") / 2), 1).otherwise(2)).drop("_key", "_lane", "_rn", "_shift", "_all")

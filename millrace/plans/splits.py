@@ -106,9 +106,9 @@ def assemble_union(spark, sf_dir) -> DataFrame:
     return _train(spark, sf_dir)
 
 
-@query(f"WITH {_TRAIN} SELECT id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws(':', '42', id))) <= (SELECT count(*) FROM train) // 2 THEN 1 ELSE 2 END AS half FROM train")
+@query(f"WITH {_TRAIN} SELECT id, type, CASE WHEN row_number() OVER (PARTITION BY type ORDER BY md5(concat_ws(':', '42', id))) <= count(*) OVER (PARTITION BY type) // 2 THEN 1 ELSE 2 END AS half FROM train")
 def assemble_halves(spark, sf_dir) -> DataFrame:
-    return split.halves(_train(spark, sf_dir).withColumn("k", R.key("42", F.col("id"))), "k").select("id", "half")
+    return split.halves(_train(spark, sf_dir).withColumn("k", R.key("42", F.col("id"))), "k", "type").select("id", "type", "half")
 
 
 @query(
