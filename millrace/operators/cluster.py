@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.dedup import saved
+from millrace.functions.lineage import cut as saved
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as X
+from millrace.functions.lineage import cut as saved
 
 
 def duplicate_report(df: DataFrame, group: str, content: Column, order: str, cap: int) -> DataFrame:
@@ -19,18 +17,6 @@ def duplicate_report(df: DataFrame, group: str, content: Column, order: str, cap
     return rows.select(group, rank.alias("rank"), "copies", "first_id", (F.col("copies") - F.least("copies", F.lit(cap))).alias("removed"), "preview")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the folder that driver and executors share (spark.checkpoint.dir) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_sets(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (id, set): distinct words of each text, sorted; texts without words take no part."""
     return df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(X.words(F.col(text_col)))).alias("set")).where(F.size("set") > 0)

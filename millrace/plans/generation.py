@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import stablerand as R
 from millrace.functions import text as X
+from millrace.functions.lineage import shared_dir
 from millrace.operators import filters, generate
 from millrace.plans.base import GEN_SQL, gen, pick_sql, query, table
 from millrace.sources import io
@@ -17,8 +17,7 @@ from millrace.streaming import ingest
 
 
 def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT n_name AS category_key, r_name AS \"group\", CASE WHEN n_nationkey % 3 <> 0 THEN concat('about ', lower(n_name)) END AS terms FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0")

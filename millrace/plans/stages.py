@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import stablerand as R
 from millrace.functions import text as X
+from millrace.functions.lineage import cut as saved
 from millrace.operators import assign, cluster, dedup, evaluate, filters, generate, split, stats, vector
 from millrace.sources import io
 
@@ -156,7 +157,7 @@ def dataset_filter(spark, paths, options):
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & cap(rows, F.md5(X.squash(F.col("code"))), options.get("max_dups_code", 3)), "copy").otherwise(F.col("reason")))
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & ~second, "image").otherwise(F.col("reason")))
     pictured = F.coalesce("image_hash", F.md5("path_img_1"))
-    rows = dedup.saved(rows.withColumn("reason", F.when(F.col("reason").isNull() & cap(rows, pictured, options.get("max_dups_img", 3)), "copy_image").otherwise(F.col("reason"))), "judged")
+    rows = saved(rows.withColumn("reason", F.when(F.col("reason").isNull() & cap(rows, pictured, options.get("max_dups_img", 3)), "copy_image").otherwise(F.col("reason"))), "judged")
     limits_ = [c for c in limits.columns if c not in ("category_key", "lang_key")]
     io.write_jsonl(rows.where("reason IS NULL").drop("reason", *limits_), paths["output"])
     io.write_routes(rows.where("reason IS NOT NULL").drop(*limits_), "reason", paths["removed"])
@@ -210,7 +211,7 @@ def dataset_assemble(spark, paths, options):
     for p in parts[1:]:
         rows = rows.unionByName(p)
     rows = rows.withColumn("_k", R.key("42", F.col("type"), F.col("id"), F.md5(F.concat_ws(":", "user", "assistant"))))
-    out = dedup.saved(split.halves(rows, "_k", "type"), "train")
+    out = saved(split.halves(rows, "_k", "type"), "train")
     io.write_jsonl(out.orderBy("_k").drop("_k", "half"), f"{paths['output']}/all")
     for n in (1, 2):
         half = out.where(F.col("half") == n)
@@ -234,7 +235,7 @@ def eval_codegen(spark, paths, options):
     rows = keyed(io.read_jsonl(spark, paths["input"], RENDERED)).withColumns(
         {"n_description": X.word_count(F.col("description")), "n_code": evaluate.code_size(F.col("lang_key"), F.col("code")), "pictured": X.nonblank(F.col("path_img_1")), "id_compl": F.col("input.id_compl")}
     )
-    rows = dedup.saved(rows, "sized")
+    rows = saved(rows, "sized")
     columns = [c.alias(k) for k, c in evaluate.measures(F.col("n_description"), F.col("n_code"), F.col("pictured")).items()]
     total = rows.agg(*columns).withColumn("no_code", F.col("no_code") + F.greatest(F.lit(options.get("expected_total", 9600)) - F.col("n"), F.lit(0)))
     groups = rows.where(F.col("complexity").isin("low", "medium", "high") & (F.col("lang_key") != "hmm")).groupBy("complexity", "category_key", "lang_key").agg(*columns)
