@@ -1,72 +1,19 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, bounded broadcast."""
+"""What the operators of this subpackage share: reading tables, cutting lineage, the held-out rows."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-_results: list[tuple[SparkSession, str]] = []
+from millrace.functions.lineage import cut, release, scratch, shared_dir
+
+__all__ = ["cut", "is_held_out", "release", "scratch", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, hint: str = "t", result: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: later steps restart from the files when executors are lost. Within ``scratch()`` only a ``result`` outlives the block."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{hint}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    (_results if result else _written).append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes at its end what was cut inside."""
-    mark = len(_written)
-    try:
-        yield
-    finally:
-        while len(_written) > mark:
-            drop(*_written.pop())
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release() -> None:
-    """Delete every table that ``cut`` wrote. Call it only when no result that reads them is still to be computed."""
-    for tables in (_written, _results):
-        while tables:
-            try:
-                drop(*tables.pop())
-            except Exception:  # at exit the session may be gone
-                return
-
-
-atexit.register(release)
-
-
 def is_held_out(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 5, is 0. A null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
