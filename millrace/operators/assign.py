@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import stablerand as R
+from millrace.operators.filters import first_of_key
 
 #: Categories that look up another one's matches.
 ALIAS = {"sequence": "class", "activity": "class", "component": "class", "usecase": "class", "state": "class", "gantt": "bpmn"}
@@ -31,9 +31,8 @@ def is_candidate(matches: Column, mean: Column, least: Column, thresh: Column, k
 
 
 def assigned(stats: DataFrame, cut: int) -> DataFrame:
-    """Candidates ranked within their topic by mean score; ``chosen`` marks the first ``cut``."""
-    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("mean_score", 9)), "id"))
-    return stats.withColumn("rank", rank).withColumn("chosen", F.col("rank") <= cut)
+    """Candidates with ``chosen`` for the first ``cut`` of their topic by mean score, and their ``rank`` (null beyond)."""
+    return first_of_key(stats, ["topic"], [F.desc(F.round("mean_score", 9)), "id"], "id", cut, "chosen", "rank")
 
 
 def fan_out(rows: DataFrame, domains: list[str], n: int, salt: str, when: Column) -> DataFrame:

@@ -95,9 +95,23 @@ def first_fail(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def cap_per_key(df: DataFrame, keys: list[Column], order: list[Column], n: int, flag: str = "keep") -> DataFrame:
-    """Marks the first ``n`` rows of each key."""
-    return df.withColumn(flag, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= n)
+def first_of_key(df: DataFrame, keys: list[Column | str], order: list[Column | str], spread: Column | str, n: int, flag: str = "keep", place: str = "_place", salts: int = 32) -> DataFrame:
+    """Marks the first ``n`` rows of each key and numbers them in ``place`` (null beyond), with no key in one task.
+
+    A row with ``n`` rows before it among those of its key that share its salt (a hash of ``spread``) is surely
+    out. Only the others, at most ``n`` a salt, meet with their key; the sure ones are dealt by their hash.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts))
+    rows = df.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, salt).orderBy(*order)) <= n)
+    apart = F.when(~F.col("_in"), F.xxhash64(spread))
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys, "_in", apart).orderBy(*order)))
+    keep = F.col("_in") & (F.col(place) <= n)
+    return rows.withColumn(flag, keep).withColumn(place, F.when(keep, F.col(place))).drop("_in")
+
+
+def cap_per_key(df: DataFrame, keys: list[Column | str], order: list[Column | str], n: int, flag: str = "keep") -> DataFrame:
+    """Marks the first ``n`` rows of each key; the first column of ``order`` tells rows apart."""
+    return first_of_key(df, keys, order, order[0], n, flag).drop("_place")
 
 
 def score_route(finish: Column, score: Column) -> Column:

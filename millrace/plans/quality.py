@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import constants as K
 from millrace.functions import text as X
@@ -114,8 +113,8 @@ def _judged(spark, sf_dir) -> DataFrame:
         ("ratio", filters.ratio_ok(F.col("width"), F.col("height"), F.col("category_key"))),
     ]
     rows = rows.withColumn("reason", filters.first_fail(rules)).withColumn("content", F.md5(X.squash(F.col("code"))))
-    copy = F.row_number().over(Window.partitionBy("cat_lang", "content", F.col("reason").isNull()).orderBy("id"))
-    return rows.withColumn("reason", F.when(F.col("reason").isNull() & (copy > 3), "copy").otherwise(F.col("reason")))
+    rows = filters.cap_per_key(rows, ["cat_lang", "content", F.col("reason").isNull()], ["id"], 3)
+    return rows.withColumn("reason", F.when(F.col("reason").isNull() & ~F.col("keep"), "copy").otherwise(F.col("reason")))
 
 
 _JUDGED_SQL = f"""{_NODES_SQL}, keyed AS (

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -153,11 +153,15 @@ def dataset_filter(spark, paths, options):
     ]
     rows = rows.withColumn("reason", filters.first_fail(rules))
     order = F.coalesce(F.col("input.id"), F.lit(""))
-    cap = lambda df, key, n: F.row_number().over(Window.partitionBy("cat_lang", key, F.col("reason").isNull()).orderBy(order, "path_img_1")) > n
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & cap(rows, F.md5(X.squash(F.col("code"))), options.get("max_dups_code", 3)), "copy").otherwise(F.col("reason")))
+
+    def capped(df: DataFrame, key: Column, n: int, name: str) -> DataFrame:
+        marked = filters.first_of_key(df.withColumn("_content", key), ["cat_lang", "_content", F.col("reason").isNull()], [order, "path_img_1"], F.concat_ws(":", order, "path_img_1"), n)
+        return marked.withColumn("reason", F.when(F.col("reason").isNull() & ~F.col("keep"), name).otherwise(F.col("reason"))).drop("keep", "_place", "_content")
+
+    rows = capped(rows, F.md5(X.squash(F.col("code"))), options.get("max_dups_code", 3), "copy")
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & ~second, "image").otherwise(F.col("reason")))
     pictured = F.coalesce("image_hash", F.md5("path_img_1"))
-    rows = saved(rows.withColumn("reason", F.when(F.col("reason").isNull() & cap(rows, pictured, options.get("max_dups_img", 3)), "copy_image").otherwise(F.col("reason"))), "judged")
+    rows = saved(capped(rows, pictured, options.get("max_dups_img", 3), "copy_image"), "judged")
     limits_ = [c for c in limits.columns if c not in ("category_key", "lang_key")]
     io.write_jsonl(rows.where("reason IS NULL").drop("reason", *limits_), paths["output"])
     io.write_routes(rows.where("reason IS NOT NULL").drop(*limits_), "reason", paths["removed"])
