@@ -47,10 +47,8 @@ def test_quality_filter(spark, tmp_path):
 
 def test_score_routes(spark, tmp_path):
     src = lines(tmp_path / "i.jsonl", [sample(i) for i in range(3)])
-    say = iter(["correct: True explanation: yes", "correct: false explanation: no", "what"])
     stages.run("dataset score", spark, {"input": src, "output": str(tmp_path / "o")}, {"complete": lambda ps: [f"correct: {'True' if 'b0' in p else 'null'} explanation: e" for p in ps]})
     assert sorted((r["input"]["id"], r["route"]) for r in read(spark, tmp_path / "o")) == [("0", "true"), ("1", "null"), ("2", "null")]
-    del say
 
 
 def test_split_assemble_and_format(spark, tmp_path):
