@@ -151,6 +151,8 @@ class Merger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.joined = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        symbols = np.concatenate([self.inner, self.last])
+        self.first = self.rank(symbols[:, None], symbols[None, :])  # of two bytes, those from 256 on ending a word
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile("\n|" + split["pattern"]["Regex"])
 
@@ -166,9 +168,10 @@ class Merger:
         ids, piece = self.inner[data], np.repeat(np.arange(len(pieces)), size)
         ends = np.cumsum(size) - 1
         ids[ends] = self.last[data[ends]]
+        symbol = data.astype(np.int64)
+        symbol[ends] += 256
         rank = np.full(len(ids), NEVER, np.int64)
-        pair = np.flatnonzero(piece[1:] == piece[:-1])
-        rank[pair] = self.rank(ids[pair], ids[pair + 1])
+        rank[:-1] = np.where(piece[1:] == piece[:-1], self.first[symbol[:-1], symbol[1:]], NEVER)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ids):
             new = np.concatenate([[True], piece[1:] != piece[:-1]])
@@ -186,11 +189,13 @@ class Merger:
             keep[at + 1] = False
             at -= np.arange(len(at))  # each earlier pair has lost one place
             ids, piece, rank = ids[keep], piece[keep], rank[keep]
-            touched = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
-            inside = touched[touched + 1 < len(ids)]
-            inside = inside[piece[inside] == piece[inside + 1]]
-            rank[touched] = NEVER
-            rank[inside] = self.rank(ids[inside], ids[inside + 1])
+            rank[at] = NEVER
+            right = at[at + 1 < len(ids)]
+            right = right[piece[right] == piece[right + 1]]
+            rank[right] = self.rank(ids[right], ids[right + 1])
+            left = at[at > 0] - 1
+            left = left[piece[left] == piece[left + 1]]
+            rank[left] = self.rank(ids[left], ids[left + 1])
         if not done:
             return ids, piece
         ids, piece = (np.concatenate([d[k] for d in done]) for k in (0, 1))
