@@ -114,3 +114,13 @@ def zip_longest(left: DataFrame, right: DataFrame, at: str) -> DataFrame:
 def pick_message(c: Column, salt: str, *key: Column) -> Column:
     """One element of an array, null from an empty one."""
     return F.when(F.size(c) > 0, F.try_element_at(c, R.pick(F.greatest(F.size(c), F.lit(1)), salt, *key).cast("int") + 1))
+
+
+def favoured(c: Column) -> Column:
+    """An array whose first two elements count twice in a draw."""
+    return F.concat(c, F.slice(c, 1, 2))
+
+
+def images_of(messages: Column) -> Column:
+    """The image parts of all messages (arrays of struct<role, content: array<struct<type, ...>>>)."""
+    return F.filter(F.flatten(F.transform(messages, lambda m: m["content"])), lambda p: p["type"] == "image")
