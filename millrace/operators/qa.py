@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import constants as K
 from millrace.functions import stablerand as R
+from millrace.operators.split import placed
 
 
 def node_questions(df: DataFrame, nodes: str, id_col: str, templates: list[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def distractors(rows: DataFrame, contrary: DataFrame, pool: DataFrame, n: int, s
     contrary categories can't give ``n`` options are left out.
     """
     values = pool.select("category", "value").distinct()
-    numbered = values.withColumn("at", F.row_number().over(Window.partitionBy("category").orderBy(R.key("pool", F.col("value")))) - 1)
+    numbered = placed(values.withColumn("_o", R.key("pool", F.col("value"))), ["category"], "_o", "at").withColumn("at", F.col("at") - 1).drop("_o")
     sizes = numbered.groupBy("category").agg(F.count("*").alias("size"))
     others = contrary.join(F.broadcast(sizes).withColumnRenamed("category", "other"), "other")
     drawn = rows.join(F.broadcast(others), "category")  # contrary lists and sizes have a row a category pair

@@ -103,8 +103,8 @@ def aspect_ratio(spark, sf_dir) -> DataFrame:
     return gen(spark, sf_dir).select("id", filters.ratio_ok(F.col("width"), F.col("height"), F.col("category_key")).alias("passes"))
 
 
-def _judged(spark, sf_dir) -> DataFrame:
-    """Every row with the first rule it breaks; the copies' cap counts rows that pass all others."""
+def _ruled(spark, sf_dir) -> DataFrame:
+    """Every row with the first rule it breaks."""
     rows = filters.with_keys(gen(spark, sf_dir)).withColumn("nodes", filters.node_counts(F.col("statistics"), F.col("lang_key")))
     rules = [
         ("allow", filters.is_allowed(F.col("category_key"), F.col("lang_key"))),
@@ -112,8 +112,12 @@ def _judged(spark, sf_dir) -> DataFrame:
         ("stats", filters.stats_gate(F.col("nodes"), F.col("category_key"), F.col("lang_key"), F.col("code"), *_limits())),
         ("ratio", filters.ratio_ok(F.col("width"), F.col("height"), F.col("category_key"))),
     ]
-    rows = rows.withColumn("reason", filters.first_fail(rules)).withColumn("content", F.md5(X.squash(F.col("code"))))
-    rows = filters.cap_per_key(rows, ["cat_lang", "content", F.col("reason").isNull()], ["id"], 3)
+    return rows.withColumn("reason", filters.first_fail(rules)).withColumn("content", F.md5(X.squash(F.col("code"))))
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """The same, and ``copy`` for rows beyond the cap; it counts rows that pass all rules only."""
+    rows = filters.cap_per_key(_ruled(spark, sf_dir), ["cat_lang", "content", F.col("reason").isNull()], ["id"], 3)
     return rows.withColumn("reason", F.when(F.col("reason").isNull() & ~F.col("keep"), "copy").otherwise(F.col("reason")))
 
 
@@ -133,7 +137,9 @@ def filter_reasons(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_JUDGED_SQL} SELECT id, cat_lang, cat_lang_compl, width, height FROM judged WHERE reason IS NULL")
 def filter_cascade(spark, sf_dir) -> DataFrame:
-    return _judged(spark, sf_dir).where(F.col("reason").isNull()).select("id", "cat_lang", "cat_lang_compl", "width", "height")
+    # rejected rows don't travel: the cap sees survivors only
+    rows = _ruled(spark, sf_dir).where(F.col("reason").isNull()).select("id", "cat_lang", "cat_lang_compl", "width", "height", "content")
+    return filters.cap_per_key(rows, ["cat_lang", "content"], ["id"], 3).where("keep").drop("content", "keep")
 
 
 @query(
