@@ -201,3 +201,24 @@ def test_skip_take(spark):
     df = spark.range(10)
     assert generate.skip_take(df, "id", 0, 3).count() == 10
     assert [r[0] for r in generate.skip_take(df, "id", 4, 6).collect()] == [4, 5]
+
+
+def test_first_of_key_equals_a_plain_rank(spark):
+    from pyspark.sql.window import Window
+
+    rows = spark.range(500).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 7, None).otherwise((F.col("id") % 40).cast("string")).alias("k"))
+    plain = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("id")))
+    want = {r["id"]: r["n"] for r in rows.withColumn("n", plain).collect()}
+    for n in (1, 3, 1000):
+        got = filters.first_of_key(rows, ["k"], [F.desc("id")], "id", n).collect()
+        assert {r["id"]: r["_place"] for r in got} == {i: (p if p <= n else None) for i, p in want.items()}
+        assert all(r["keep"] == (want[r["id"]] <= n) for r in got)
+
+
+def test_placed_equals_a_plain_rank(spark):
+    from pyspark.sql.window import Window
+
+    rows = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, None).otherwise((F.col("id") % 3).cast("string")).alias("k"), R.key("s", F.col("id")).alias("o"))
+    w = Window.partitionBy("k")
+    want = {tuple(r) for r in rows.select("id", F.row_number().over(w.orderBy("o")), F.count("*").over(w)).collect()}
+    assert {(r["id"], r["rn"], r["n"]) for r in split.placed(rows, ["k"], "o", "rn", "n").collect()} == want
