@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.common import ready, tidy
+
 SCALE = 1024
 BLOCK = 1024
 QUERY_BLOCK = 32
@@ -159,6 +161,7 @@ def block_top(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, querie
 
 def top_k(vectors: DataFrame, query_filter, k: int = 10) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for every vector that ``query_filter`` marks its k highest integer inner products with all others."""
+    ready(vectors.sparkSession)
     vec = F.col("embedding")
     good = F.col("vec_id").isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LIMIT))
     rows = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(vec).alias("dims"), F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
@@ -185,6 +188,6 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

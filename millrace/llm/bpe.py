@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, scratch
+from millrace.llm.common import cut, ready, scratch, tidy
 from millrace.llm.packing import byte_alphabet
 
 SHARE = 2e-6
@@ -133,8 +133,12 @@ class Transducer:
             live = live[~done]
         return place
 
-    def output(self, place: int) -> np.ndarray:
-        return self.ids[self.offsets[place] : self.offsets[place + 1]]
+    def outputs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words at these places in order, number in ``places`` of each id)"""
+        size = self.offsets[places + 1] - self.offsets[places]
+        owner = np.repeat(np.arange(len(places)), size)
+        first = np.cumsum(size) - size
+        return self.ids[np.arange(size.sum()) - first[owner] + self.offsets[places][owner]], owner
 
 
 class Merger:
@@ -202,8 +206,8 @@ class Merger:
         order = np.argsort(piece, kind="stable")
         return ids[order], piece[order]
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word (without blanks) of normalised text."""
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words of normalised text in order, word of each id)"""
         pieces, owner, at = [], [], 0
         for p in self.pieces.findall("\n".join(words)):
             if p == "\n":
@@ -212,9 +216,14 @@ class Merger:
                 pieces.append(p.encode())
                 owner.append(at)
         if not pieces:
-            return [[] for _ in words]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ids, piece = self.merge(pieces)
-        edges = np.searchsorted(np.array(owner)[piece], np.arange(len(words) + 1)).tolist()
+        return ids, np.array(owner, np.int64)[piece]
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        ids, owner = self.encode(words)
+        edges = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
         flat = ids.tolist()
         return [flat[s:e] for s, e in zip(edges, edges[1:], strict=False)]
 
@@ -263,7 +272,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon_image(docs: DataFrame, tokenizer_path: str, share: float = SHARE) -> bytes:
@@ -283,24 +292,28 @@ class Coder:
         self.lexicon = Transducer(image)
         self.whole, self.merge, self.tokens, special = vocabulary(tokenizer_path)
         self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)]))
-        self.names = {i: str(i) for i in self.tokens}
+        most = max(self.tokens)
+        # names by id; the last, which -1 finds, parts words
+        self.numbers = [*map(str, range(most + 1)), "\n"]
+        self.names = [*(self.tokens.get(i, "") for i in range(most + 1)), "\n"]
         self.ids: dict[str, str] = {}
         self.out: dict[str, str] = {}
 
     def learn(self, words: set[str]) -> None:
         listed = list(words)
-        unseen = []
-        for word, place in zip(listed, self.lexicon.places([w.encode() for w in listed]).tolist(), strict=True):
-            if place < 0:
-                unseen.append(word)
-            else:
-                self._keep(word, self.lexicon.output(place).tolist())
-        for word, ids in zip(unseen, self.merge.words(unseen), strict=True):
-            self._keep(word, ids)
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        self.ids[word] = " ".join(map(self.names.__getitem__, ids))
-        self.out[word] = " ".join(map(self.tokens.__getitem__, ids))
+        places = self.lexicon.places([w.encode() for w in listed])
+        known = np.flatnonzero(places >= 0)
+        self._keep([listed[i] for i in known.tolist()], *self.lexicon.outputs(places[known]))
+        unseen = [listed[i] for i in np.flatnonzero(places < 0).tolist()]
+        self._keep(unseen, *self.merge.encode(unseen))
+
+    def _keep(self, words: list[str], ids: np.ndarray, owner: np.ndarray) -> None:
+        """Every word has an id at least, so the marks between words never meet."""
+        if not words:
+            return
+        marked = np.insert(ids, np.searchsorted(owner, np.arange(1, len(words))), -1).tolist()
+        for memo, names in ((self.ids, self.numbers), (self.out, self.names)):
+            memo.update(zip(words, " ".join(map(names.__getitem__, marked)).split(" \n "), strict=True))
 
     def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(decimal ids, decoded text) of each text, both joined by single blanks as the vocabulary, which has no decoder, does."""
@@ -328,6 +341,7 @@ class Coder:
 def code_documents(docs: DataFrame, tokenizer_path: str, share: float = SHARE) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
     spark = docs.sparkSession
+    ready(spark)
     image = spark.sparkContext.broadcast(lexicon_image(docs, tokenizer_path, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,4 +357,4 @@ def code_documents(docs: DataFrame, tokenizer_path: str, share: float = SHARE) -
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import cut, release, scratch, shared_dir
+from millrace.session import ship
+
+__all__ = ["cut", "is_held_out", "ready", "release", "scratch", "shared_dir", "table", "tidy"]
+
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Makes the session fit for whole texts: workers can import the package, and an Arrow batch holds at most BATCH_ROWS rows, as both the JVM and the worker hold a batch whole."""
+    ship(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving memory back to the system after its partition: workers outlive many tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
 
-__all__ = ["cut", "is_held_out", "release", "scratch", "shared_dir", "table"]
+    return whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

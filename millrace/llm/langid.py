@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, is_held_out, scratch
+from millrace.llm.common import cut, is_held_out, ready, scratch, tidy
 from millrace.llm.lexical import Marked, longs, lookup, mixed, words_of
 
 SIZES = (4, 3, 2, 1)
@@ -71,7 +71,7 @@ def count_keys(docs: DataFrame) -> DataFrame:
         yield from tables(seen)
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    found = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, kind int, key long, n long")
+    found = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(tidy(run), "lang string, kind int, key long, n long")
     return found.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -104,6 +104,7 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
+    ready(docs.sparkSession)
     with scratch():
         return _train(docs)
 
@@ -166,7 +167,7 @@ def identify(docs: DataFrame, model: Model | None = None, extra: list[str] | Non
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

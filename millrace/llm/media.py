@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import ready, tidy
+
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -154,8 +156,9 @@ def store_media(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
                 media = [encode_png(pad_payload(t)) for t in raw]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
+    ready(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(tidy(run), f"id {kind}, n_bytes long, media binary")
     return rows.withColumnRenamed("id", id_col)
 
 
@@ -172,7 +175,7 @@ def read_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary, payload binary, print binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, n_bytes long, media binary, payload binary, print binary").withColumnRenamed("id", id_col)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, scratch
+from millrace.llm.common import cut, ready, scratch, tidy
 
 WORDS = 5
 BANDS, ROWS = 42, 6
@@ -155,7 +155,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sketch binary")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidy(run), f"doc_id {kind}, n_shingles long, s1 long, s2 long, sketch binary")
 
 
 def _sizes_allow(a: str, b: str, percent: int):
@@ -175,7 +175,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 e = estimate(_matrix(batch.column(4)), _matrix(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy())
                 yield batch.filter(pa.array(e >= low)).select(["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -203,9 +203,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield whole.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi")
-    keys = cut(texts.mapInArrow(sets, "doc_id long, keys binary"), "sets").dropDuplicates(["doc_id"])
+    keys = cut(texts.mapInArrow(tidy(sets), "doc_id long, keys binary"), "sets").dropDuplicates(["doc_id"])
     joined = pairs.join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("k_b")), "b").join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("k_a")), "a")
-    return joined.select("a", "b", "k_a", "k_b").mapInArrow(judge, "a long, b long")
+    return joined.select("a", "b", "k_a", "k_b").mapInArrow(tidy(judge), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,11 +281,12 @@ def crossing(members: DataFrame, classes: DataFrame, percent: int, best_only: bo
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): documents linked at a similarity of ``percent`` hundredths or more, in components."""
+    ready(docs.sparkSession)
     with scratch():
         return cut(_near_duplicates(docs, percent), "neardup", result=True)
 

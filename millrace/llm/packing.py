@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, ready, tidy
 
 CAPACITY = 2048
 LANES = 32
@@ -89,8 +89,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, piece, start, length, crc), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Planner:

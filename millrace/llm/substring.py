@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, scratch
+from millrace.llm.common import cut, ready, scratch, tidy
 
 WINDOW = 50
 GRAM = 12
@@ -189,7 +189,7 @@ def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 lists = [pa.array(part, pa.list_(kind)) for part, kind in zip(found, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, *lists], ["doc_id", "n_words", "k1", "k2", "sha", "fp", "lo", "hi"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _contexts(texts: DataFrame, window: int) -> DataFrame:
@@ -205,7 +205,7 @@ def _contexts(texts: DataFrame, window: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["fp", "size", "doc_id", "lo", "words"])
 
-    return texts.select("doc_id", "text", "at").mapInArrow(run, "fp long, size long, doc_id long, lo int, words binary")
+    return texts.select("doc_id", "text", "at").mapInArrow(tidy(run), "fp long, size long, doc_id long, lo int, words binary")
 
 
 def _by_automaton(contexts: DataFrame, window: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _by_automaton(contexts: DataFrame, window: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["doc_id", "s", "e"])
 
-    return rows.mapInArrow(run, "doc_id long, s int, e int")
+    return rows.mapInArrow(tidy(run), "doc_id long, s int, e int")
 
 
 def _by_windows(contexts: DataFrame, window: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _by_windows(contexts: DataFrame, window: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts))], ["key", "doc_id", "s"])
 
-    windows = contexts.select("doc_id", "lo", "words").mapInArrow(run, "key long, doc_id long, s int")
+    windows = contexts.select("doc_id", "lo", "words").mapInArrow(tidy(run), "key long, doc_id long, s int")
     first = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     return windows.join(first, "key").where("doc_id > first").select("doc_id", "s", (F.col("s") + window).alias("e"))
 
@@ -273,7 +273,7 @@ def _removed(rows: DataFrame) -> DataFrame:
             arrays = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_removed", "kept_sha", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_removed long, kept_sha string, kept binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_removed long, kept_sha string, kept binary")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -283,6 +283,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha, kept): ``kept`` is the text of the words that stay, or null where none was removed."""
+    ready(docs.sparkSession)
     with scratch():
         return cut(_substring_dedup(docs, window, gram, large), "substring", result=True)
 

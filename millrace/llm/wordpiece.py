@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import ready, tidy
 from millrace.llm.packing import byte_alphabet
 
 MEMO_WORDS = 200_000
@@ -120,5 +121,6 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 longest.append(max(map(len, words), default=0))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words_, tokens, longest))], ["doc_id", "n_words", "n_tokens", "longest_word"])
 
+    ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long, longest_word long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_tokens long, longest_word long")
