@@ -75,7 +75,7 @@ def gram_keys(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor key, first window, last window) of each maximal run of windows with one anchor place."""
+    """(anchor key, first window, last window) of each maximal run of windows with one anchor key: in text that repeats itself, one long run."""
     if len(words) < window:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -85,9 +85,9 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     for at in range(0, len(keys) - span + 1, 1 << 15):
         view = np.lib.stride_tricks.sliding_window_view(keys[at : at + (1 << 15) + span - 1], span)
         places.append(view.argmin(axis=1) + np.arange(at, at + len(view)))
-    place = np.concatenate(places)
-    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return keys[place[new]].view(np.int64), new, np.append(new[1:], len(place)) - 1
+    key = keys[np.concatenate(places)]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new].view(np.int64), new, np.append(new[1:], len(key)) - 1
 
 
 class SuffixAutomaton:
@@ -296,6 +296,7 @@ def _substring_dedup(docs: DataFrame, window: int, gram: int, large: int) -> Dat
     own = profile.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.size("fp") > 0)).dropDuplicates(["doc_id"])
     runs = own.select("doc_id", F.explode(F.arrays_zip("fp", "lo", "hi")).alias("r")).select("doc_id", "r.fp", "r.lo", "r.hi")
     shared = runs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).where("least < most").select("fp", "size")
+    shared = cut(shared, "shared")  # as a table, so that the join can split an anchor that many runs have
     wanted = cut(runs.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "size", "lo", "hi")).alias("at")), "wanted")
     texts = _only(docs, wanted.select("doc_id")).dropDuplicates(["doc_id"])
     contexts = cut(_contexts(texts.join(wanted, "doc_id"), window), "contexts")
