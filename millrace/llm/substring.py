@@ -144,10 +144,10 @@ class SuffixAutomaton:
                 self.link[new] = q if self.size[q] == self.size[p] + 1 else self._split(p, w, q)
             last = new
 
-    def spans(self, words: list[int], least: int) -> list[list[int]]:
-        """Maximal [start, end) spans made of matches of at least ``least`` words."""
+    def spans(self, words: list[int], least: int) -> tuple[list[list[int]], int]:
+        """Maximal [start, end) spans made of matches of at least ``least`` words, and how many windows of that size match."""
         out: list[list[int]] = []
-        state = length = 0
+        state = length = held = 0
         for i, w in enumerate(words):
             to = self.step(state, w)
             while to < 0 and state:
@@ -157,13 +157,14 @@ class SuffixAutomaton:
             if to >= 0:
                 state, length = to, length + 1
             if length >= least:
+                held += 1
                 start = i + 1 - length
                 if out and start <= out[-1][1]:
                     out[-1][0] = min(start, out[-1][0])
                     out[-1][1] = i + 1
                 else:
                     out.append([start, i + 1])
-        return out
+        return out, held
 
 
 def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -225,9 +226,9 @@ def _by_automaton(contexts: DataFrame, window: int) -> DataFrame:
                         automaton.add(w)
                     owner, waiting = doc_id, []
                 coded = [names.setdefault(w, len(names)) for w in words.split(b" ")]
-                spans = automaton.spans(coded, window)
+                spans, held = automaton.spans(coded, window)
                 out += [(doc_id, lo + s, lo + e) for s, e in spans]
-                if spans != [[0, len(coded)]]:
+                if held <= len(coded) - window:  # spans that cover it can still miss windows where they overlap
                     waiting.append(coded)
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["doc_id", "s", "e"])

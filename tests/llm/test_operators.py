@@ -484,6 +484,19 @@ def test_substrings_random(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("large", [50_000, 0])
+def test_substrings_of_overlapping_copies(spark, large):
+    for seed in range(2000):  # a passage whose windows all have one anchor
+        words = [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 88)]
+        if len(substring.anchors(substring.word_keys(" ".join(words).encode()), 50, 12)[0]) == 1:
+            break
+    texts = {i: " ".join(words[a:b]) for i, (a, b) in enumerate([(0, 60), (15, 88), (0, 88), (12, 62)])}
+    want = brute_substrings(texts, 50)
+    got = substring.substring_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), large=large).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha"]) for r in got} == want
+    assert want[3][1] == 50
+
+
 def test_substrings_empty(empty):
     assert substring.substring_dedup(empty).count() == 0
 
