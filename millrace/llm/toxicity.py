@@ -10,9 +10,10 @@ chance evidence grow with log n.
 
 The score is a logistic curve over that figure, fitted on labelled documents that the counts leave out:
 about one in five, and no more than about CALIBRATION_ROWS of them whatever the input (the bound of this
-sample). Counts cover all other labelled documents. The model that is broadcast holds the n-grams that make
-up at least SHARE of a class's letters, so it has at most 2 / SHARE entries; the mass of the others goes to
-the shared backoff.
+sample). Counts cover all other labelled documents, and every n-gram counted has its ratio. Up to WHOLE
+n-grams are broadcast. Beyond that only those that make up at least SHARE of a class's letters are, at most
+2 / SHARE; words that hold any other n-gram, once each, get the rest of their evidence by joins with the whole
+table, and documents theirs by a join with those words. Both ways give the same scores.
 
 Defined results: a null or empty text, or one without letters, has no evidence and the score of figure 0;
 without a toxic (an ordinary) training document every score is 0 (1); labels that are null or repeat count
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ SHARED = (3, 1)
 DISCOUNT = 0.75
 PRIOR = 3.0
 SHARE = 1e-6
+WHOLE = 2_000_000
 TOP = 3
 CALIBRATION_ROWS = 20_000
 FLUSH_WORDS = 200_000
@@ -89,7 +91,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of n-grams and, for n-grams that aren't listed, of histories; a logistic curve over a document's figure."""
+    """Log-likelihood ratios of n-grams and, for n-grams that aren't listed, of histories; a logistic curve over a document's figure. With ``rest``, tables of all n-grams (g, llr) and histories (h, llr), the arrays hold the frequent n-grams only."""
 
     grams: np.ndarray
     gram_llr: np.ndarray
@@ -98,17 +100,23 @@ class Model:
     slope: float = 1.0
     middle: float = 3.0
     constant: float | None = None
+    rest: tuple[DataFrame, DataFrame] | None = None
 
-    def evidence(self, words: list[str]) -> np.ndarray:
+    def listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's evidence from listed n-grams; of the other n-grams, keys, histories' keys and word numbers."""
         m = Marked(words)
         inner = np.flatnonzero(m.place > 0)
         g = m.sums(HISTORY + 1)[-1][inner]
         at = lookup(self.grams, mixed(g))
         llr = np.where(at >= 0, self.gram_llr[at] if len(self.gram_llr) else 0.0, 0.0)
-        rest = np.flatnonzero(at < 0)
-        at = lookup(self.histories, mixed(g[rest] - m.first()[inner][rest]))
-        llr[rest] = np.where(at >= 0, self.history_llr[at] if len(self.history_llr) else 0.0, 0.0)
-        return np.bincount(m.word[inner], llr, len(words))
+        word, other = m.word[inner], at < 0
+        return np.bincount(word, llr, len(words)), g[other], (g - m.first()[inner])[other], word[other]
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        sums, _, histories, word = self.listed(words)
+        at = lookup(self.histories, mixed(histories))
+        llr = np.where(at >= 0, self.history_llr[at] if len(self.history_llr) else 0.0, 0.0)
+        return sums + np.bincount(word, llr, len(words))
 
     def score(self, figure: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -145,14 +153,11 @@ def _train_counts(rows: DataFrame) -> Model:
         empty = np.zeros(0)
         return Model(np.zeros(0, np.uint64), empty, np.zeros(0, np.uint64), empty, constant=1.0 if total[1] else 0.0)
     d = F.lit(DISCOUNT)
-    keep = (F.col("n0") >= SHARE * total[0]) | (F.col("n1") >= SHARE * total[1])
-    grams = grams.withColumn("keep", keep)
 
     def freed(n: str):
-        return F.sum(F.when(F.col("keep"), F.greatest(F.col(n) - d, F.lit(0.0))).otherwise(0.0))
+        return F.sum(F.greatest(F.col(n) - d, F.lit(0.0)))
 
-    history = grams.groupBy("h").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1"), freed("n0").alias("k0"), freed("n1").alias("k1"), F.max("keep").alias("keep"))
-    history = history.where("keep").drop("keep")
+    history = grams.groupBy("h").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1"), freed("n0").alias("k0"), freed("n1").alias("k1"))
     for c in ("0", "1"):
         history = history.withColumn(f"l{c}", F.when(F.col(f"h{c}") > 0, 1 - F.col(f"k{c}") / (F.col(f"h{c}") + PRIOR)).otherwise(1.0))
     mid = grams.groupBy("a").agg(F.first("ah").alias("ah"), F.first("b").alias("b"), F.first("bh").alias("bh"), F.count("*").alias("na"))
@@ -162,20 +167,26 @@ def _train_counts(rows: DataFrame) -> Model:
     letters = F.lit(float(low_h.agg(F.max("tb")).first()[0]))
     low = low.join(low_h, "bh").select("b", ((F.greatest(F.col("nb") - d, F.lit(0.0)) + d * F.col("tb") / letters) / F.col("mb")).alias("pb"))
     mid = mid.join(mid_h, "ah").join(low, "b").select("a", ((F.greatest(F.col("na") - d, F.lit(0.0)) + d * F.col("ta") * F.col("pb")) / F.col("ma")).alias("pa"))
-    rows = grams.where("keep").join(history, "h").join(mid, "a")
+    rows = grams.join(history, "h").join(mid, "a")
 
     def p(c: str):
         own = F.when(F.col(f"h{c}") > 0, F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / (F.col(f"h{c}") + PRIOR)).otherwise(0.0)
         return own + F.col(f"l{c}") * F.col("pa")
 
-    table = rows.select("g", F.log(p("1") / p("0")).alias("llr")).toPandas()  # at most 2 / SHARE rows
-    other = history.select("h", F.log(F.col("l1") / F.col("l0")).alias("llr")).toPandas()
+    frequent = (F.col("n0") >= SHARE * total[0]) | (F.col("n1") >= SHARE * total[1])
+    ratios = rows.select("g", F.log(p("1") / p("0")).cast("float").alias("llr"), frequent.alias("frequent"))
+    others = history.select("h", F.log(F.col("l1") / F.col("l0")).cast("float").alias("llr"))
 
     def ordered(keys, values):
         keys = mixed(np.asarray(keys, np.int64).view(np.uint64))
         order = np.argsort(keys)
         return keys[order], np.asarray(values, np.float32)[order]
 
+    if grams.count() > WHOLE:
+        ratios, others = cut(ratios, "ratios", result=True), cut(others, "others", result=True)
+        table = ratios.where("frequent").toPandas()  # at most 2 / SHARE rows
+        return Model(*ordered(table["g"], table["llr"]), *ordered([], []), rest=(ratios.select("g", "llr"), others))
+    table, other = ratios.toPandas(), others.toPandas()  # at most WHOLE rows, and no more histories
     return Model(*ordered(table["g"], table["llr"]), *ordered(other["h"], other["llr"]))
 
 
@@ -199,8 +210,62 @@ def fit_curve(figure: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(slope), float(middle)
 
 
+def _text_figures(texts: DataFrame, model: Model) -> DataFrame:
+    """A row (k, figure) for each distinct key from rows (k, text), where the broadcast doesn't hold every n-gram."""
+    sent = texts.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                split = [Counter(words_of(t)) for t in batch.column(1).to_pylist()]
+                words = list({w for seen in split for w in seen})
+                sums, _, _, other = sent.value.listed(words)
+                sums[other] = np.nan
+                known = dict(zip(words, sums.tolist(), strict=True))
+                n, best, open_ = [], [], []
+                for seen in split:
+                    n.append(seen.total())
+                    e = [known[w] for w, c in seen.items() if known[w] == known[w] for _ in range(min(c, TOP))]
+                    best.append(sorted(e, reverse=True)[:TOP])
+                    open_.append([{"w": w, "c": min(c, TOP)} for w, c in seen.items() if known[w] != known[w]])
+                kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("w", pa.string()), ("c", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, best, open_), kinds, strict=True))], ["k", "n", "best", "open"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            sums, g, h, word = sent.value.listed(words)
+            first = np.diff(word, prepend=-1) > 0  # a word's own evidence goes with the first of its n-grams
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in word], pa.string()), pa.array(np.where(first, sums[word], 0.0)), longs(g), longs(h)], ["w", "own", "g", "h"])
+
+    with scratch():
+        found = cut(texts.mapInArrow(tidy(parts), "k string, n long, best array<double>, open array<struct<w:string,c:int>>").dropDuplicates(["k"]), "parts")
+        pairs = found.select("k", F.explode("open").alias("o")).select("k", "o.w", "o.c")
+        need = cut(pairs.select("w").distinct().mapInArrow(tidy(grams), "w string, own double, g long, h long"), "need")
+        ratios, others = model.rest
+        value = F.coalesce("r", "o", F.lit(0.0).cast("float")).cast("double").alias("llr")
+        values = need.groupBy("g").agg(F.first("h").alias("h")).join(ratios.withColumnRenamed("llr", "r"), "g", "left").join(others.withColumnRenamed("llr", "o"), "h", "left").select("g", value)
+        # as tables, so that the joins can split an n-gram or a word that many rows have
+        evidence = cut(need.join(cut(values, "values"), "g").groupBy("w").agg((F.sum("own") + F.sum("llr")).alias("e")), "evidence")
+
+        def top(e):
+            return F.slice(F.sort_array(e, False), 1, TOP)
+
+        more = pairs.join(evidence, "w").groupBy("k").agg(top(F.flatten(F.collect_list(F.array_repeat("e", F.col("c"))))).alias("more"))
+        best = top(F.concat("best", F.coalesce("more", F.array().cast("array<double>"))))
+        figure = F.aggregate(best, F.lit(0.0), lambda x, e: x + e) / F.log(F.col("n") + 20)
+        return cut(found.join(more, "k", "left").select("k", figure.alias("figure")), "figures", result=True)
+
+
 def score_rows(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
-    """Rows of doc_id, the ``extra`` columns, figure and score, by the broadcast model."""
+    """Rows of doc_id, the ``extra`` columns, figure and score: by the broadcast model, or with ``rest`` by joins."""
+    if model.rest is not None:
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        known = _text_figures(docs.select(F.sha2(text, 256).alias("k"), text.alias("text")), model)
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), model.slope * (F.col("figure") - model.middle)))))
+        rows = docs.select("doc_id", *(extra or []), F.sha2(text, 256).alias("text_key"))
+        return rows.join(known, rows["text_key"] == known["k"]).select("doc_id", *(extra or []), "figure", score.alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *(extra or []))
 

@@ -563,6 +563,26 @@ def test_labels_of_held_out_rows_do_not_matter(spark, labelled):
     assert a == b
 
 
+def test_toxicity_keeps_rare_ngrams(spark, docs, labelled, monkeypatch):
+    """The scores don't depend on how much of the n-grams is broadcast."""
+    texts, labels = labelled
+    texts = texts.union(docs.select(F.col("doc_id") + 10_000, "text", "lang", "source", "n_chars"))
+    texts = texts.union(texts.limit(3)).union(spark.createDataFrame([(None, "vilewort zyxomma unheard", "en", "s", 1)], SCHEMA))
+
+    def scores():
+        return sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in toxicity.score_toxicity(texts, labels).collect())
+
+    want = scores()
+    monkeypatch.setattr(toxicity, "SHARE", 2e-3)
+    assert scores() == want
+    monkeypatch.setattr(toxicity, "WHOLE", 100, raising=False)
+    assert scores() == want
+    monkeypatch.setattr(toxicity, "SHARE", 2.0)
+    assert toxicity.train(texts, labels).grams.size == 0
+    assert scores() == want
+    assert toxicity.drop_toxic(texts, labels).count() == sum(x < 0.5 for _, x in want)
+
+
 def test_count_grams_against_loop(labelled):
     docs, labels = labelled
     rows = toxicity._labelled(docs, labels).limit(20).cache()
