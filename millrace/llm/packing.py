@@ -5,10 +5,11 @@ the corpus size. On it, Martello-Toth dominance reduction first fixes sets that
 alternative: a length that fits with nothing is alone; a length with an exact complement takes it; a length
 that has room for at most one partner takes the largest. The rest is packed best-fit, longest first, with
 whole runs of equal sequences moved at once. The plan is a list of runs (length, ranks, sequences, offset);
-its size depends on the number of lengths only. Pieces are ranked within their length by (lane, id), lanes
-being hashes, so no length is sorted in one task, and look up their run.
+its size depends on the number of lengths only. Pieces are ranked within their length by (lane, id); a length
+has a lane for every LANE_ROWS of its pieces, so no length is sorted in one task, and they look up their run.
 
-Defined results: a null or empty text is the single closing token; documents longer than the capacity are cut
+Defined results: a null or empty text is the single closing token; texts of any length are encoded whole, those
+with BLANKS or more blanks in a row by the library itself; documents longer than the capacity are cut
 into full pieces of which the first may be shorter; equal documents may share a sequence; repeated rows are
 packed once each; null ids are kept; extra columns are ignored; an empty table gives no rows.
 """
@@ -16,6 +17,7 @@ packed once each; null ids are kept; extra columns are ignored; an empty table g
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -29,8 +31,10 @@ from pyspark.sql.window import Window
 
 from millrace.llm.common import cut, ready, tidy
 
+_BLANK = re.compile(r"\s+")
 CAPACITY = 2048
-LANES = 32
+LANE_ROWS = 100_000
+BLANKS = 10_000
 END_ID = 0
 
 
@@ -60,7 +64,18 @@ def byte_encoder(path: str):
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level split
         coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         names = set(special)
-        return lambda text: np.asarray(coder.encode_to_numpy(text, allowed_special=names, disallowed_special=()), "<u4")
+        whole = library_encoder(path)
+
+        def encode(text: str) -> np.ndarray:
+            if len(text) >= BLANKS and max(map(len, _BLANK.findall(text)), default=0) >= BLANKS:
+                return whole(text)  # the split's look-ahead would go back over the whole run
+            return np.asarray(coder.encode_to_numpy(text, allowed_special=names, disallowed_special=()), "<u4")
+
+        return encode
+    return library_encoder(path)
+
+
+def library_encoder(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
@@ -196,9 +211,11 @@ class Planner:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows (doc_id, piece, start, length, ids_crc32)."""
     spark = pieces.sparkSession
-    lane = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece"), F.lit(LANES)).cast("int")
-    pieces = cut(pieces.withColumn("lane", lane), "pieces")
-    counts = pieces.groupBy("length", "lane").count().collect()  # at most capacity x LANES rows
+    pieces = cut(pieces.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "pieces", result=True)
+    sizes = pieces.groupBy("length").count().collect()  # at most capacity rows
+    lanes = spark.createDataFrame([(n, -(-c // LANE_ROWS)) for n, c in sizes], "length long, lanes long")
+    pieces = pieces.join(F.broadcast(lanes), "length").withColumn("lane", F.pmod("deal", "lanes"))
+    counts = pieces.groupBy("length", "lane").count().collect()  # a row for each length and LANE_ROWS pieces
     histogram: dict[int, int] = {}
     shifts = []
     for length, lane_, n in sorted(tuple(r) for r in counts):
@@ -207,7 +224,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = Planner(histogram, capacity).plan()
     here = Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("at", F.row_number().over(here) - 1)
-    shift = spark.createDataFrame(shifts, "length long, lane int, shift long")
+    shift = spark.createDataFrame(shifts, "length long, lane long, shift long")
     run = spark.createDataFrame([(a, r, r + n, each, first, off) for a, r, n, each, first, off in runs], "length long, low long, high long, each long, first long, base long")
     ranked = ranked.join(F.broadcast(shift), ["length", "lane"]).withColumn("rank", F.col("at") + F.col("shift"))
     # the plan has a few runs a length; its size doesn't grow with the pieces
