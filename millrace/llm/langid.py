@@ -6,11 +6,13 @@ words) adds its log frequency in each language; an unseen word falls back to its
 then 3, 2 and 1, the first length of which it has any. The best sum names the language; the score is its
 share among all languages' likelihoods, tempered by the number of words so that a long text isn't always 1.
 
-The broadcast model has a proven size: with L languages an entry makes up at least L * L / MODEL_FLOATS of a
-language's words (or n-grams of a length), so there are at most MODEL_FLOATS / L entries of L floats for
-words and for each length, whatever the input.
+The model is sparse: an entry is a key, a language and the log frequency there, kept for every language that
+has the key. A key is known if it makes up SHARE of some language's words (or n-grams of a length), whatever
+the number of languages. The entries are counted before they are broadcast: only where they are more than
+MODEL_ENTRIES does the share double, until they aren't.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0; without any training document
+Defined results: a null text, or one without letters (Unicode category L), is ``und`` with score 0; texts of
+any length count whole, runs of more than lexical.LONGEST letters as several words; without training documents
 every text is ``und``; equal sums go to the first language in order; repeated rows and null ids are kept;
 extra columns are ignored; an empty table gives no rows.
 """
@@ -31,9 +33,10 @@ from millrace.llm.common import cut, is_held_out, ready, scratch, tidy
 from millrace.llm.lexical import Marked, longs, lookup, mixed, words_of
 
 SIZES = (4, 3, 2, 1)
-MODEL_FLOATS = 4_000_000
+SHARE = 4e-6
+MODEL_ENTRIES = 16_000_000
 FLUSH_WORDS = 200_000
-MEMO_WORDS = 150_000
+MEMO_FLOATS = 600_000
 UNKNOWN = "und"
 
 
@@ -75,30 +78,43 @@ def count_keys(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Table:
+    """Known keys in order; from starts[i] to starts[i + 1] the languages that have key i and by how much its log frequency there exceeds an absent one's."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    language: np.ndarray
+    more: np.ndarray
+    absent: np.ndarray
+
+
 @dataclass
 class Model:
     languages: list[str]
-    keys: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
+    tables: dict[int, Table]
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Log frequencies [word, language]: of the word, or else the mean over its known n-grams of the longest length that has any."""
         out = np.zeros((len(words), len(self.languages)))
         open_ = np.ones(len(words), bool)
         for kind, keys, word in _kinds(words):
-            if kind not in self.keys or not open_.any():
+            if kind not in self.tables or not open_.any():
                 continue
+            table = self.tables[kind]
             use = open_[word]
             word = word[use]
-            at = lookup(self.keys[kind], keys[use])
+            at = lookup(table.keys, keys[use])
             word, at = word[at >= 0], at[at >= 0]
             if not len(word):
                 continue
             hits = np.bincount(word, minlength=len(words))
             got = hits > 0
-            for j in range(out.shape[1]):
-                total = np.bincount(word, self.logs[kind][at, j], len(words))
-                out[got, j] = total[got] / hits[got]
+            size = table.starts[at + 1] - table.starts[at]
+            entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(table.starts[at], size)
+            cell = np.repeat(word, size) * out.shape[1] + table.language[entry]
+            total = np.bincount(cell, table.more[entry], out.size).reshape(out.shape)
+            out[got] = total[got] / hits[got, None] + table.absent
             open_ &= ~got
         return out
 
@@ -114,27 +130,34 @@ def _train(docs: DataFrame) -> Model:
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     sums = {(r[0], r[1]): r[2] for r in totals.collect()}
     languages = sorted({lang for lang, _ in sums})
-    keys: dict[int, np.ndarray] = {}
-    logs: dict[int, np.ndarray] = {}
-    if languages:
-        share = max(1, len(languages)) ** 2 / MODEL_FLOATS
+    if not languages:
+        return Model([], {})
+    share = SHARE
+    while True:
         known = counts.join(F.broadcast(totals), ["lang", "kind"]).where((F.col("n") >= share * F.col("total")) & ((F.col("kind") > 0) | (F.col("n") > 1)))
-        frequent = known.select("kind", "key").distinct()
-        # every language's count of a frequent key, so that absence is known too
-        table = counts.join(frequent, ["kind", "key"]).groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).select("kind", "key", *(F.coalesce(F.col("by")[lang], F.lit(0)).alias(f"n{j}") for j, lang in enumerate(languages))).toPandas()
-        for kind, part in table.groupby("kind"):
-            part = part.assign(key=part["key"].to_numpy().view(np.uint64)).sort_values("key")
-            n = part[[f"n{j}" for j in range(len(languages))]].to_numpy(float)
-            total = np.array([sums.get((lang, int(kind)), 0) for lang in languages], float)
-            keys[int(kind)] = part["key"].to_numpy()
-            logs[int(kind)] = np.log((n + 0.1) / (total + 1)).astype(np.float32)
-    return Model(languages, keys, logs)
+        entries = cut(counts.join(known.select("kind", "key").distinct(), ["kind", "key"]), "entries")
+        if entries.count() <= MODEL_ENTRIES:
+            break
+        share *= 2
+    number = counts.sparkSession.createDataFrame(list(enumerate(languages)), "language int, lang string")
+    found = entries.join(F.broadcast(number), "lang").select("kind", "key", "language", "n").toPandas()  # at most MODEL_ENTRIES rows
+    tables: dict[int, Table] = {}
+    for kind, part in found.groupby("kind"):
+        key = part["key"].to_numpy().view(np.uint64)
+        language = part["language"].to_numpy()
+        order = np.lexsort((language, key))
+        key, language, n = key[order], language[order], part["n"].to_numpy(float)[order]
+        total = np.array([sums.get((lang, int(kind)), 0) for lang in languages], float)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        more = (np.log(n + 0.1) - np.log(0.1)).astype(np.float32)
+        tables[int(kind)] = Table(key[new], np.append(new, len(key)), language.astype(np.int32), more, np.log(0.1 / (total + 1)))
+    return Model(languages, tables)
 
 
 def detect(model: Model, texts: list[str | None], memo: dict[str, np.ndarray]) -> tuple[list[str], list[float]]:
     split = [Counter(words_of(t)) for t in texts]
     new = list({w for words in split for w in words} - memo.keys())
-    if len(memo) + len(new) > MEMO_WORDS:
+    if (len(memo) + len(new)) * len(model.languages) > MEMO_FLOATS:
         memo.clear()
         new = list({w for words in split for w in words})
     memo.update(zip(new, model.evidence(new), strict=True))

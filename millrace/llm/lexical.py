@@ -1,6 +1,7 @@
 """Words and character n-grams as 64-bit keys, for the statistical models of this subpackage.
 
-A word is a run of letters, in lower case, between the marks ^ and $. The key of an n-gram is a sum of its
+A word is a run of letters (Unicode category L), in lower case, between the marks ^ and $; runs of more than
+LONGEST letters are cut into words of that length. Words whose 64-bit keys agree count as one. The key of an n-gram is a sum of its
 characters' codes times odd constants that depend on the distance to its last character, so the keys of all
 n-grams of many words come from a few array additions, and the key of a history is part of the sum.
 """
@@ -22,6 +23,8 @@ _FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 
 def words_of(text: str | None) -> list[str]:
     found = LETTERS.findall((text or "").lower())
+    if not "".join(found).isalpha():  # numbers that aren't decimal digits, such as a half, are no letters
+        found = [p for w in found for p in "".join(c if c.isalpha() else " " for c in w).split()]
     if any(len(w) > LONGEST for w in found):
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
