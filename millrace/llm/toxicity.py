@@ -4,18 +4,21 @@ From the labelled documents that aren't held out, n-grams of up to HISTORY + 1 l
 over all of them. An n-gram's probability in a class is interpolated Kneser-Ney: its discounted count over its
 history's, and the mass set free goes to the continuation counts of shorter histories. Those backoff counts
 are shared by both classes, so a rare expression has the same estimate in either and says nothing. A word's
-evidence is its toxic less its ordinary log-likelihood. A document compares the two log-likelihoods of its
-TOP most telling words, normalised for length: divided by log(words + 20), as the extremes of n words of
-chance evidence grow with log n.
+log-odds are its toxic less its ordinary log-likelihood. A toxic text isn't toxic in every word, so its
+model draws a share MIXED of the words from the toxic class and the others from the ordinary one. The figure
+of a document is its log-likelihood under that model less the ordinary one, summed over every word and
+normalised by length (the number of words, and STEADY more so that a text of few words isn't judged by them
+alone).
 
 The score is a logistic curve over that figure, fitted on labelled documents that the counts leave out:
 about one in five, and no more than about CALIBRATION_ROWS of them whatever the input (the bound of this
 sample). Counts cover all other labelled documents, and every n-gram counted has its ratio. Up to WHOLE
 n-grams are broadcast. Beyond that only those that make up at least SHARE of a class's letters are, at most
-2 / SHARE; words that hold any other n-gram, once each, get the rest of their evidence by joins with the whole
+2 / SHARE; words that hold any other n-gram, once each, get the rest of their log-odds by joins with the whole
 table, and documents theirs by a join with those words. Both ways give the same scores.
 
-Defined results: a null or empty text, or one without letters, has no evidence and the score of figure 0;
+Defined results: a null or empty text, or one without letters, has the figure 0 and its score; texts of any
+length count whole, but runs of more than lexical.LONGEST letters as several words of that length;
 without a toxic (an ordinary) training document every score is 0 (1); labels that are null or repeat count
 once, as their largest; repeated rows and null ids are kept; extra columns are ignored; an empty table gives
 no rows.
@@ -23,6 +26,7 @@ no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -39,10 +43,11 @@ from millrace.llm.lexical import Marked, id_share, longs, lookup, mixed, words_o
 HISTORY = 5
 SHARED = (3, 1)
 DISCOUNT = 0.75
-PRIOR = 3.0
+PRIOR = 10.0
 SHARE = 1e-6
 WHOLE = 2_000_000
-TOP = 3
+MIXED = 0.003
+STEADY = 20
 CALIBRATION_ROWS = 20_000
 FLUSH_WORDS = 200_000
 MEMO_WORDS = 200_000
@@ -103,7 +108,7 @@ class Model:
     rest: tuple[DataFrame, DataFrame] | None = None
 
     def listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each word's evidence from listed n-grams; of the other n-grams, keys, histories' keys and word numbers."""
+        """Each word's log-odds from listed n-grams; of the other n-grams, keys, histories' keys and word numbers."""
         m = Marked(words)
         inner = np.flatnonzero(m.place > 0)
         g = m.sums(HISTORY + 1)[-1][inner]
@@ -124,19 +129,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (figure - self.middle), -60, 60)))
 
 
+def mixture(odds: np.ndarray) -> np.ndarray:
+    """What words with these log-odds add to a text's log-likelihood when a share MIXED of its words is toxic."""
+    return np.log1p(MIXED * np.expm1(np.minimum(odds, 60.0)))
+
+
 def figures(model: Model, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
     split = [words_of(t) for t in texts]
     new = list({w for words in split for w in words} - memo.keys())
     if len(memo) + len(new) > MEMO_WORDS:
         memo.clear()
         new = list({w for words in split for w in words})
-    memo.update(zip(new, model.evidence(new).tolist(), strict=True))
+    memo.update(zip(new, mixture(model.evidence(new)).tolist(), strict=True))
     out = np.zeros(len(texts))
     for i, words in enumerate(split):
         if words:
-            e = np.fromiter(map(memo.__getitem__, words), float, len(words))
-            best = np.partition(e, len(e) - TOP)[-TOP:] if len(e) > TOP else e
-            out[i] = best.sum() / np.log(len(words) + 20)
+            out[i] = math.fsum(map(memo.__getitem__, words)) / (len(words) + STEADY)
     return out
 
 
@@ -200,14 +208,15 @@ def fit_curve(figure: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     best = np.flatnonzero((wrong == wrong[width > 0].min()) & (width > 0))
     i = best[width[best].argmax()]
     middle = (edges[i] + edges[i + 1]) / 2
-    slope = 1.0
+    scale = float(x.std()) or 1.0
+    x, slope = (x - middle) / scale, 1.0
     for _ in range(50):
-        z = np.clip(slope * (x - middle), -30, 30)
+        z = np.clip(slope * x, -30, 30)
         p = 1 / (1 + np.exp(-z))
-        grad = ((y - p) * (x - middle)).sum() - 0.01 * slope
-        curve = (p * (1 - p) * (x - middle) ** 2).sum() + 0.01
+        grad = ((y - p) * x).sum() - 0.01 * slope
+        curve = (p * (1 - p) * x**2).sum() + 0.01
         slope = min(20.0, max(0.05, slope + grad / curve))
-    return float(slope), float(middle)
+    return slope / scale, float(middle)
 
 
 def _text_figures(texts: DataFrame, model: Model) -> DataFrame:
@@ -220,41 +229,34 @@ def _text_figures(texts: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(at, 256)
                 split = [Counter(words_of(t)) for t in batch.column(1).to_pylist()]
                 words = list({w for seen in split for w in seen})
-                sums, _, _, other = sent.value.listed(words)
-                sums[other] = np.nan
-                known = dict(zip(words, sums.tolist(), strict=True))
-                n, best, open_ = [], [], []
-                for seen in split:
-                    n.append(seen.total())
-                    e = [known[w] for w, c in seen.items() if known[w] == known[w] for _ in range(min(c, TOP))]
-                    best.append(sorted(e, reverse=True)[:TOP])
-                    open_.append([{"w": w, "c": min(c, TOP)} for w, c in seen.items() if known[w] != known[w]])
-                kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("w", pa.string()), ("c", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, best, open_), kinds, strict=True))], ["k", "n", "best", "open"])
+                odds, _, _, other = sent.value.listed(words)
+                adds = mixture(odds)
+                adds[other] = np.nan
+                known = dict(zip(words, adds.tolist(), strict=True))
+                n = [seen.total() for seen in split]
+                sums = [math.fsum(c * known[w] for w, c in seen.items() if known[w] == known[w]) for seen in split]
+                open_ = [[{"w": w, "c": c} for w, c in seen.items() if known[w] != known[w]] for seen in split]
+                kinds = (pa.int64(), pa.float64(), pa.list_(pa.struct([("w", pa.string()), ("c", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, sums, open_), kinds, strict=True))], ["k", "n", "known", "open"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            sums, g, h, word = sent.value.listed(words)
-            first = np.diff(word, prepend=-1) > 0  # a word's own evidence goes with the first of its n-grams
-            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in word], pa.string()), pa.array(np.where(first, sums[word], 0.0)), longs(g), longs(h)], ["w", "own", "g", "h"])
+            odds, g, h, word = sent.value.listed(words)
+            first = np.diff(word, prepend=-1) > 0  # a word's listed part goes with the first of its other n-grams
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in word], pa.string()), pa.array(np.where(first, odds[word], 0.0)), longs(g), longs(h)], ["w", "own", "g", "h"])
 
     with scratch():
-        found = cut(texts.mapInArrow(tidy(parts), "k string, n long, best array<double>, open array<struct<w:string,c:int>>").dropDuplicates(["k"]), "parts")
+        # as tables, so that the joins can split an n-gram or a word that many rows have
+        found = cut(texts.mapInArrow(tidy(parts), "k string, n long, known double, open array<struct<w:string,c:long>>").dropDuplicates(["k"]), "parts")
         pairs = found.select("k", F.explode("open").alias("o")).select("k", "o.w", "o.c")
         need = cut(pairs.select("w").distinct().mapInArrow(tidy(grams), "w string, own double, g long, h long"), "need")
         ratios, others = model.rest
-        value = F.coalesce("r", "o", F.lit(0.0).cast("float")).cast("double").alias("llr")
-        values = need.groupBy("g").agg(F.first("h").alias("h")).join(ratios.withColumnRenamed("llr", "r"), "g", "left").join(others.withColumnRenamed("llr", "o"), "h", "left").select("g", value)
-        # as tables, so that the joins can split an n-gram or a word that many rows have
-        evidence = cut(need.join(cut(values, "values"), "g").groupBy("w").agg((F.sum("own") + F.sum("llr")).alias("e")), "evidence")
-
-        def top(e):
-            return F.slice(F.sort_array(e, False), 1, TOP)
-
-        more = pairs.join(evidence, "w").groupBy("k").agg(top(F.flatten(F.collect_list(F.array_repeat("e", F.col("c"))))).alias("more"))
-        best = top(F.concat("best", F.coalesce("more", F.array().cast("array<double>"))))
-        figure = F.aggregate(best, F.lit(0.0), lambda x, e: x + e) / F.log(F.col("n") + 20)
+        need = need.join(ratios.withColumnRenamed("llr", "r"), "g", "left").join(others.withColumnRenamed("llr", "o"), "h", "left")
+        odds = need.groupBy("w").agg(F.sum(F.col("own") + F.coalesce("r", "o", F.lit(0.0)).cast("double")).alias("e"))
+        odds = cut(odds.select("w", F.log1p(MIXED * F.expm1(F.least("e", F.lit(60.0)))).alias("add")), "odds")
+        more = pairs.join(odds, "w").groupBy("k").agg(F.sum(F.col("c") * F.col("add")).alias("more"))
+        figure = (F.col("known") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + STEADY)
         return cut(found.join(more, "k", "left").select("k", figure.alias("figure")), "figures", result=True)
 
 

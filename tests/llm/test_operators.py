@@ -307,6 +307,14 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_of_blank_runs():
+    path = registry.tokenizer_file("byte_bpe_50k.json")
+    encode, whole = packing.byte_encoder(path), packing.library_encoder(path)
+    mixed = " \n\t" * 1_000_000
+    for text in (" " * 3_000_000, "\n" * 3_000_000, mixed, "a" + " " * 1_000_000 + "b", "x " + mixed + " don't", " " * 20_000 + "<|endoftext|> y", " " * (packing.BLANKS - 1) + "z", "ab " * 300_000):
+        assert np.array_equal(encode(text), whole(text))
+
+
 def test_encoder_without_ranks(monkeypatch, tmp_path):
     """Where ids aren't in the order of merges the library itself encodes."""
     path = registry.tokenizer_file("byte_bpe_50k.json")
@@ -598,6 +606,68 @@ def test_count_grams_against_loop(labelled):
     assert tuple(n or 0 for n in found) == (sum(grams[1].values()), sum(grams[2].values()), len(grams[0]))
 
 
+def brute_kneser_ney(rows):
+    """log-odds of a word by plain dictionaries over strings."""
+    d, prior, long = toxicity.DISCOUNT, toxicity.PRIOR, toxicity.HISTORY
+    counts = [defaultdict(int), defaultdict(int)]
+
+    def grams(w):
+        s = f"^{w}$"
+        for p in range(1, len(s)):
+            yield tuple(s[max(0, p - n) : p + 1] for n in (long, *toxicity.SHARED))
+
+    for text, toxic in rows:
+        for w in lexical.words_of(text):
+            for g in grams(w):
+                counts[toxic][g] += 1
+    seen = set(counts[0]) | set(counts[1])
+    mids, lows = defaultdict(set), defaultdict(set)
+    for g, a, b in seen:
+        mids[a].add(g)
+        lows[b].add(a)
+    letters = max(sum(x[:-1] == b[:-1] for x in lows) for b in lows)
+
+    def continued(of, table, below):
+        same = [x for x in table if x[:-1] == of[:-1]]
+        return (max(len(table[of]) - d, 0) + d * len(same) * below) / sum(len(table[x]) for x in same)
+
+    def left(c, h):
+        n = [k for g, k in counts[c].items() if g[0][:-1] == h]
+        return (1 - sum(max(k - d, 0) for k in n) / (sum(n) + prior), sum(n)) if n else (1.0, 0)
+
+    def odds(word):
+        total = 0.0
+        for g, a, b in grams(word):
+            free = [left(c, g[:-1]) for c in (0, 1)]
+            if (g, a, b) not in seen:
+                total += np.log(free[1][0] / free[0][0])
+                continue
+            shared = continued(a, mids, continued(b, lows, 1 / letters))
+            p = [(max(counts[c][g, a, b] - d, 0) / (free[c][1] + prior) if free[c][1] else 0) + free[c][0] * shared for c in (0, 1)]
+            total += np.log(p[1] / p[0])
+        return total
+
+    return odds
+
+
+def test_toxicity_against_brute_force(labelled):
+    docs, labels = labelled
+    rows = toxicity._labelled(docs, labels).where("doc_id < 60").cache()
+    odds = brute_kneser_ney([(r["text"], r["toxic"]) for r in rows.collect()])
+    model = toxicity.train_counts(rows)
+    texts = ["vilewort and hateful", "", None, "zyxomma", prose(30, 77) + " scumbags", "½ 12"]
+    words = sorted({w for t in texts for w in lexical.words_of(t)})
+    assert np.allclose(model.evidence(words), [odds(w) for w in words], atol=1e-5)
+    want = []
+    for t in texts:
+        own = [odds(w) for w in lexical.words_of(t)]
+        want.append(sum(np.log(1 - toxicity.MIXED + toxicity.MIXED * np.exp(e)) for e in own) / (len(own) + toxicity.STEADY))
+    got = toxicity.figures(model, texts, {})
+    assert np.allclose(got, want, atol=1e-6)
+    scored = toxicity.score_rows(rows.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert np.allclose([r["score"] for r in scored.orderBy("doc_id").collect()], 1 / (1 + np.exp(-model.slope * (np.array(want) - model.middle))), atol=1e-5)
+
+
 # 10 languages
 
 
@@ -618,6 +688,66 @@ def test_languages(spark, empty):
     assert langid.identify_documents(empty).count() == 0
 
 
+def brute_language(rows, text):
+    """(language, score) by plain dictionaries of words and n-grams."""
+    counts = defaultdict(lambda: defaultdict(lambda: defaultdict(int)))
+
+    def grams(w, n):
+        s = f"^{w}$" if n > 1 else w
+        return [s[i : i + n] for i in range(len(s) - n + 1)]
+
+    for lang, words in rows:
+        for w in words:
+            counts[0][w][lang] += 1
+            for n in langid.SIZES:
+                for g in grams(w, n):
+                    counts[n][g][lang] += 1
+    languages = sorted({lang for lang, _ in rows})
+    total = {(n, lang): sum(by[lang] for by in counts[n].values()) for n in counts for lang in languages}
+
+    def known(n, key):
+        by = counts[n].get(key, {})
+        return any(by.get(lang, 0) >= langid.SHARE * total[n, lang] and by.get(lang, 0) > (n == 0) for lang in languages)
+
+    def logs(w):
+        for n, keys in [(0, [w])] + [(n, grams(w, n)) for n in langid.SIZES]:
+            found = [k for k in keys if known(n, k)]
+            if found:
+                return [np.mean([np.log((counts[n][k][lang] + 0.1) / (total[n, lang] + 1)) for k in found]) for lang in languages]
+        return [0.0] * len(languages)
+
+    words = lexical.words_of(text)
+    if not words:
+        return "und", 0.0
+    sums = np.array([logs(w) for w in words]).sum(axis=0)
+    share = np.exp((sums - sums.max()) / max(1.0, np.sqrt(len(words))))
+    return languages[int(sums.argmax())], 1 / share.sum()
+
+
+def test_languages_against_brute_force(spark):
+    r = random.Random(3)
+    words = {lang: [w + ending for w in r.sample(VOCAB, 120)] for lang, ending in (("aa", ""), ("bb", "o"), ("cc", "n"), ("dd", "st"))}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(1, 40))), lang, "s", 1) for i, lang in enumerate(list(words) * 40)]
+    odd = ["½ ² ①", "Ⅷ ৴", "xyzzy quux", "ａｂｃ", "no½way", "12 _ --", prose(40, 8), "ß" * 600, "été ĳ"]
+    rows += [(1000 + i, t, None, "s", 1) for i, t in enumerate(odd)]
+    training = [(lang, lexical.words_of(t)) for i, t, lang, *_ in rows if lang and not crc_held_out(i)]
+    got = {x["doc_id"]: x for x in langid.identify_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, *_ in rows:
+        lang, score = brute_language(training, t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-5, t
+    assert [got[1000 + i]["lang_pred"] for i in (0, 1, 5)] == ["und"] * 3
+
+
+def test_languages_of_many_labels(spark, monkeypatch):
+    """The share doesn't depend on how many languages there are, and the entries' bound holds."""
+    rows = [(i, f"word{chr(97 + i % 26)}x common tok{chr(97 + i // 26 % 26)}", f"l{i % 300}", "s", 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(df)
+    assert len(model.languages) == 300 and "common" in {w for w in ["common"] if lexical.lookup(model.tables[0].keys, lexical.Marked([w]).keys())[0] >= 0}
+    monkeypatch.setattr(langid, "MODEL_ENTRIES", 900)
+    assert sum(len(t.more) for t in langid.train(df).tables.values()) <= 900
+
+
 def test_languages_untrained(spark):
     df = spark.createDataFrame([(1, "the house", None, "s", 1)], SCHEMA)
     assert [tuple(r) for r in langid.identify_documents(df).select("lang_pred", "score").collect()] == [("und", 0.0)]
