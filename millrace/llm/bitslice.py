@@ -9,18 +9,24 @@ bound the error of a sum, so every row that could still belong to the top k lies
 k-th sum: these boundary rows alone are scored exactly, ties going to the smaller id. Blocks' winners meet in
 a ranked window with k rows a block.
 
-Queries are a stated set and meet all candidates in blocks: query blocks are dealt the same way, and each
-candidate block is repeated for each query block by an equi-join on the block number.
+Where a component of a row or a query is so large that slices or sums could leave 64 bits, the same two steps
+run on doubles: the margin is the proven rounding error of the approximate sum, and the boundary rows are
+scored in integers of any length.
+
+Queries are a stated set and meet all candidates in blocks: query blocks are dealt the same way, and each pair
+of a candidate block and a query block is a key of its own in an equi-join.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
-without id or with a component of 2 ** 20 or more (their scores could leave 64 bits); vectors of different
-lengths have no score; repeated rows are candidates once each, and all rows with the query's id are the
-query's own; of several query rows with one id the vectors are told apart by nothing, so the first in
-order counts; extra columns are ignored; an empty table gives no rows.
+without id; all others do, whatever their size. Ranks follow the exact scores; a score that a long can't hold
+is returned as the nearest long. Vectors of different lengths have no score; vectors of any length are scored
+whole; repeated rows are candidates once each, and all rows with the query's id are the query's own; of
+several query rows with one id the smallest vector counts; extra columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import ready, tidy
+from millrace.llm.common import cut, ready, tidy
 
 SCALE = 1024
 BLOCK = 1024
-QUERY_BLOCK = 32
+QUERY_BLOCK = 512
 SLICES = 8
-LIMIT = float(2**20)
+NARROW = 2**62
+LONG = 2**63
 
 
 def slices_of(values: np.ndarray, bits: int) -> np.ndarray:
@@ -126,7 +133,7 @@ def at_least(total: list[np.ndarray], valid: np.ndarray, bound: np.ndarray) -> n
 
 
 def block_top(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's position, ids, exact scores) of each query's k best rows of a block; rows are in the order of ids."""
+    """(query's position, rows' places, exact scores) of each query's k best rows of a block; rows are in the order of ids."""
     low = values.min(axis=0)
     shifted = values - low
     bits = int(shifted.max(initial=0)).bit_length()
@@ -156,38 +163,99 @@ def block_top(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, querie
             own = ids[hit] != query_ids[at + i]
             hit, score = hit[own], score[own]
             best = np.lexsort((ids[hit], -score))[:k]
-            yield at + i, ids[hit[best]], score[best]
+            yield at + i, hit[best], score[best]
+
+
+def exact_integers(vector: np.ndarray) -> list[int]:
+    """floor(1024 x) of every component, as integers of any length."""
+    return [int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(x * SCALE) for x in vector.tolist()]
+
+
+def beyond(score: int) -> str:
+    """Orders scores that no long holds: larger texts for larger scores."""
+    if -LONG <= score < LONG:
+        return "n"
+    size = score.bit_length()  # at most about 2100, as components are doubles
+    if score > 0:
+        return f"p{size:05d}{score:x}"
+    return f"a{99999 - size:05d}{(1 << size) + score:0{size // 4 + 1}x}"
+
+
+def wide_top(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """(places, exact scores) of one query's k best rows, for vectors of doubles of any size."""
+    hit = np.flatnonzero(ids != query_id)
+    if len(hit) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            a, q = np.floor(vectors[hit] * SCALE), np.floor(query * SCALE)
+            about, error = a @ q, (np.abs(a) @ np.abs(q)) * ((len(q) + 4) * 2.0**-50)
+        if np.isfinite(about).all() and np.isfinite(error).all():
+            hit = hit[about + error >= np.partition(about - error, len(hit) - k)[len(hit) - k]]
+    weights = exact_integers(query)
+    score = {int(i): sum(x * y for x, y in zip(exact_integers(vectors[i]), weights, strict=True)) for i in hit}
+    best = sorted(score, key=lambda i: (-score[i], ids[i]))[:k]
+    return best, [score[i] for i in best]
+
+
+def any_top(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(query's id, places, exact scores): rows among which are each query's k best of a block of vectors of doubles."""
+
+    def sizes(rows: np.ndarray) -> np.ndarray:
+        return np.abs(rows).max(axis=1, initial=0) * SCALE + 1
+
+    # whose products, sums and shifts stay within 64 bits
+    share = math.isqrt(NARROW // (8 * vectors.shape[1]))
+    with np.errstate(over="ignore"):
+        rows, asked = sizes(vectors) <= share, sizes(queries) <= share
+    if rows.any() and asked.any():
+        at, own = np.flatnonzero(rows), np.flatnonzero(asked)
+        whole = [np.floor(x * SCALE).astype(np.int64) for x in (vectors[at], queries[own])]
+        for j, best, score in block_top(ids[at], whole[0], query_ids[own], whole[1], k):
+            yield int(query_ids[own[j]]), at[best].tolist(), score.tolist()
+    for j in range(len(queries)):
+        rest = np.flatnonzero(~rows) if asked[j] else np.arange(len(ids))
+        if len(rest):
+            best, score = wide_top(ids[rest], vectors[rest], query_ids[j], queries[j], k)
+            yield int(query_ids[j]), rest[best].tolist(), score
 
 
 def top_k(vectors: DataFrame, query_filter, k: int = 10) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for every vector that ``query_filter`` marks its k highest integer inner products with all others."""
     ready(vectors.sparkSession)
     vec = F.col("embedding")
-    good = F.col("vec_id").isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LIMIT))
-    rows = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(vec).alias("dims"), F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
-    queries = rows.where(query_filter(F.col("vec_id"))).dropDuplicates(["vec_id"])
+    finite = F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    rows = vectors.where(F.col("vec_id").isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & finite)
+    # rows that repeat are one row with its number of copies, so no id is a hot one
+    rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id"), F.size(vec).alias("dims"), vec.cast("array<double>").alias("v")).agg(F.count("*").alias("copies"))
+    rows = cut(rows, "vectors", result=True)
+    queries = rows.where(query_filter(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("row")).select("vec_id", "row.dims", "row.v", F.lit(1).cast("long").alias("copies"))
     n_rows, n_queries = rows.count(), queries.count()
     blocks, query_blocks = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
 
-    def dealt(df: DataFrame, n: int, name: str) -> DataFrame:
-        lane = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).cast("int").alias(name)
-        return df.select("dims", lane, F.struct("vec_id", "v").alias("row")).groupBy("dims", name).agg(F.array_sort(F.collect_list("row")).alias("rows")).select("dims", name, F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_values"))
+    def dealt(df: DataFrame, n: int, name: str, against: int, other: str) -> DataFrame:
+        lane = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int").alias(name)
+        lists = df.select("dims", lane, F.struct("vec_id", "v", "copies").alias("row")).groupBy("dims", name).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+        lists = lists.select("dims", name, F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_values"), F.col("rows.copies").alias(f"{name}_copies"))
+        return lists.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(against - 1))))
 
-    left = dealt(rows, blocks, "block").withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = dealt(queries, query_blocks, "ask").withColumnRenamed("ask", "against").withColumnRenamed("dims", "ask_dims")
-    pairs = left.join(right, (left["dims"] == right["ask_dims"]) & (left["against"] == right["against"])).select("dims", "block_ids", "block_values", "ask_ids", "ask_values")
+    pairs = dealt(rows, blocks, "block", query_blocks, "ask").join(dealt(queries, query_blocks, "ask", blocks, "block"), ["dims", "block", "ask"])
+    pairs = pairs.select("dims", "block_ids", "block_values", "ask_ids", "ask_values", "block_copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 dims = batch.column(0)[i].as_py()
-                ids, values, ask, weights = (batch.column(c)[i].values.to_numpy() for c in range(1, 5))
-                out: list[tuple] = []
-                for j, best, score in block_top(ids, values.reshape(-1, dims), ask, weights.reshape(-1, dims), k):
-                    out += zip([int(ask[j])] * len(best), best.tolist(), score.tolist(), strict=True)
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                ids, values, ask, weights, copies = (batch.column(c)[i].values.to_numpy() for c in range(1, 6))
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for query, best, score in any_top(ids, values.reshape(-1, dims), ask, weights.reshape(-1, dims), k):
+                    out[0].extend([query] * len(best))
+                    out[1].extend(ids[best].tolist())
+                    out[2].extend(min(max(s, -LONG), LONG - 1) for s in score)
+                    out[3].extend(map(beyond, score))
+                    out[4].extend(copies[best].tolist())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score", "beyond", "copies"])
+
+    found = pairs.mapInArrow(tidy(run), "query_id long, vec_id long, score long, beyond string, copies long")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -388,6 +388,41 @@ def test_top_k(spark):
     assert bitslice.top_k(df.where("false"), lambda i: i % 10 == 0, 7).count() == 0
 
 
+@pytest.mark.parametrize("low,high", [(19, 20), (21, 40), (5, 60)])
+def test_top_k_of_large_components(spark, low, high):
+    """Scores are exact whatever the components' size; those past a long are ranked exactly and returned as the nearest long."""
+    rng = np.random.default_rng(high)
+    v = rng.normal(size=(150, 64)) * 2.0 ** rng.integers(low, high, (150, 1))
+    v[3], v[4] = 2.0**19, -(2.0**19)
+    v[5] = v[6] = v[3]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, [2.0**20] + [0.0] * 63), (510, [0.0] * 64), (520, [1e308] * 64), (530, [-1e308] * 64), (540, [2.0**20] + [1.0] * 63)] + [(7, v[7].tolist())] * 12
+    got = bitslice.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0, 10).collect()
+    whole = {i: bitslice.exact_integers(np.array(x)) for i, x in rows}
+    want = set()
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        score = [(-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i, _ in rows if i != q]
+        want |= {(q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(sorted(score)[:10])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_beyond_orders():
+    values = sorted([0, 2**63, 2**63 + 1, 2**64, 2**65 - 1, -(2**63), -(2**63) - 1, -(2**64), -(2**64) + 1, -(2**70), 2**2000, -(2**2000), 7 * 2**90, -7 * 2**90])
+    assert sorted(values, key=lambda v: (min(max(v, -(2**63)), 2**63 - 1), bitslice.beyond(v))) == values
+
+
+def test_top_k_sql_of_large_components(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=8) * 2.0 ** rng.integers(0, 16)).tolist()) for i in range(300)] + [(301, [2.0**19] + [0.0] * 7), (302, [2.0**20] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/e")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(c.execute(registry.OP6_SQL).fetchall())
+    assert sorted(map(tuple, bitslice.top_k(df, lambda i: i % 100 == 0, 10).collect())) == want
+
+
 def test_sum_slices():
     rng = np.random.default_rng(6)
     values, queries = rng.integers(0, 200, (130, 5)), rng.integers(-40, 40, (4, 5))
