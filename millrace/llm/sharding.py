@@ -3,14 +3,16 @@
 Groups (equal texts) are ordered by a 64-bit hash of the text. Their sizes, summed by the top bits of the
 hash, reach the driver as a histogram of at most 2 ** BITS sums whatever the input. The smallest capacity
 for which a greedy sweep needs no more than the wanted shards is found by binary search: the histogram
-narrows the capacity, and only the few histogram cells that a cut can fall into are opened to single groups
-(cells are split further on the cluster while they hold more than OPEN_GROUPS groups). The cuts are hash
+narrows the capacity, and only the few histogram cells that a cut can fall into are opened to single groups,
+at most OPEN_CELLS at a time and from the first shard on, as what a shard ends with settles where the next
+one starts (cells are split further on the cluster while they hold more than OPEN_GROUPS groups). The cuts are hash
 values, so placing a row is a comparison, without a join. Law: ``bytes``.
 
 Slots are numbered without a sort of a whole shard: rows are dealt to (shard, lane) by a hash of the id,
 numbered there, and shifted by the counts of the lanes before.
 
-Defined results: a null text counts as empty (size 1, crc32 0) and shares the group of empty texts; ids may
+Defined results: a null text counts as empty (size 1, crc32 0) and shares the group of empty texts; texts of
+any length are groups like others (texts whose 64-bit hashes agree share one); ids may
 repeat or be null; extra columns are ignored; an empty table gives no rows; with fewer groups than shards
 some shards stay empty. A group never splits, so one larger than the mean sets the capacity.
 """
@@ -23,8 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.common import cut, scratch
+
 BITS = 16
 OPEN_GROUPS = 200_000
+OPEN_CELLS = 256
+WIDEST_CELLS = 16
 LANES = 512
 
 
@@ -60,50 +66,52 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return low, greedy_cuts(ends, low, shards)
 
 
-def _open_cells(cells: list[tuple[int, int, int, int]], shards: int) -> set[int]:
-    """Cells (lo, size, groups, largest) that a cut can fall into at any capacity between a lower bound and a feasible one."""
+def _open_cells(cells: list[tuple[int, int, int, int]], shards: int) -> list[int]:
+    """Some of the cells (lo, size, groups, largest) of several groups that a cut can fall into, at any capacity between a lower bound and a feasible one; none only if there are none."""
     total, ends = 0, []
     for c in cells:
         total += c[1]
         ends.append(total)
     low = max(-(-total // shards), max(c[3] for c in cells))
     high, _ = minimax_cuts([c[1] for c in cells], shards)  # whole cells: feasible, so an upper bound
-    found = set()
+    found: list[int] = []
     first = last = 0  # bounds of where shard k ends, as sums
     for _ in range(shards):
-        i = min(bisect_right(ends, first + low), len(cells) - 1)  # greedy ends inside this cell at the earliest
-        first = ends[i - 1] if i else 0
-        first = max(first, 0)
-        last = min(last + high, total)
-        j = min(bisect_right(ends, last), len(cells) - 1)
-        found.update(range(i, j + 1))
-        if first >= total:
+        i = bisect_right(ends, first + low)
+        j = bisect_right(ends, last + high)
+        several = [k for k in range(i, min(j + 1, len(cells))) if cells[k][2] > 1]
+        found += several
+        if i >= len(cells) or len(found) > OPEN_CELLS:
             break
-    return found
+        # a shard ends before a single group that it can't hold, and somewhere inside a cell of several
+        first = ends[i - 1] if i else 0
+        last = total if j >= len(cells) else last + high if cells[j][2] > 1 else ends[j - 1] if j else 0
+    if len(found) > OPEN_CELLS:  # a cell that holds a very large group widens the bounds
+        found = found[:OPEN_CELLS] + sorted((k for k, c in enumerate(cells) if c[2] > 1), key=lambda k: -cells[k][1])[:WIDEST_CELLS]
+    return sorted(set(found))
 
 
 def plan_shards(groups: DataFrame, shards: int) -> list[int]:
     """Upper bounds (inclusive, signed 64-bit order) of the order key for shards 0 .. shards - 2. ``groups``: rows (key long, size long), one per row of data."""
+    with scratch():
+        return _plan_shards(cut(groups.groupBy("key").agg(F.sum("size").alias("size")), "groups"), shards)
+
+
+def _plan_shards(groups: DataFrame, shards: int) -> list[int]:
     shift = 64 - BITS
-    by_cell = groups.groupBy("key").agg(F.sum("size").alias("size")).groupBy(F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("size").alias("most"))
+    by_cell = groups.groupBy(F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("size").alias("most"))
     cells = sorted(tuple(r) for r in by_cell.collect())  # at most 2 ** BITS rows
     if not cells:
         return []
     items = [(c << shift, size, n, most, shift) for c, size, n, most in cells]  # (lowest key, size, groups, largest, bits below)
-    while True:
-        openable = _open_cells([i[:4] for i in items], shards)
-        todo = [k for k in openable if items[k][4] > 0 and items[k][2] > 1]
-        if not todo:
-            break
-        held = sum(items[k][2] for k in todo)
+    while todo := _open_cells([i[:4] for i in items], shards):
         bits = max(items[k][4] for k in todo)
-        step = bits if held <= OPEN_GROUPS else min(8, bits)
         todo = [k for k in todo if items[k][4] == bits]
-        wanted = [items[k][0] >> bits for k in todo]
-        below = bits - step
-        rows = groups.where(F.shiftright("key", bits).isin(wanted)).groupBy("key").agg(F.sum("size").alias("size"))
+        held = sum(items[k][2] for k in todo)
+        below = 0 if held <= OPEN_GROUPS else max(0, bits - 8)
+        rows = groups.where(F.shiftright("key", bits).isin([items[k][0] >> bits for k in todo]))
         rows = rows.groupBy(F.shiftright("key", below).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("size").alias("most"))
-        opened = [(c << below, size, n, most, below) for c, size, n, most in rows.collect()]  # at most OPEN_GROUPS or 256 a cell
+        opened = [(c << below, size, n, most, below) for c, size, n, most in rows.collect()]  # at most OPEN_GROUPS, or 256 for each of the cells
         gone = set(todo)
         items = sorted([i for k, i in enumerate(items) if k not in gone] + opened)
     _, cuts = minimax_cuts([i[1] for i in items], shards)

@@ -274,6 +274,36 @@ def test_sharding_capacity_is_minimal(spark, monkeypatch):
     assert got == sharding.minimax_cuts(order, 8)[0]
 
 
+@pytest.mark.parametrize("heavy", [0, 0.2, 0.5])
+def test_sharding_opens_few_cells(heavy):
+    """However large one group is, few cells are opened, and the capacity is the one of single groups."""
+    r = random.Random(3)
+    cells = [[r.randint(50, 150) for _ in range(20)] for _ in range(8192)]
+    if heavy:
+        cells[3000][7] = int(heavy / (1 - heavy) * sum(map(sum, cells)))
+    items = [(i, sum(c), len(c), max(c)) for i, c in enumerate(cells)]
+    opened = rounds = 0
+    while todo := sharding._open_cells(items, 8):
+        assert len(todo) <= sharding.OPEN_CELLS + sharding.WIDEST_CELLS
+        opened, rounds = opened + len(todo), rounds + 1
+        single = [(items[k][0] + j / 100, s, 1, s) for k in todo for j, s in enumerate(cells[items[k][0]])]
+        items = sorted([x for k, x in enumerate(items) if k not in set(todo)] + single)
+    assert opened <= 1000 and rounds <= 8
+    assert sharding.minimax_cuts([x[1] for x in items], 8)[0] == sharding.minimax_cuts([s for c in cells for s in c], 8)[0]
+
+
+def test_sharding_with_a_heavy_group(spark, monkeypatch):
+    rows = [(i, "y" * random.Random(i).randint(0, 400) + str(i)) for i in range(300)] + [(1000 + i, "heavy " * 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = df.select(F.xxhash64("text").alias("key"), (F.octet_length("text") + 1).cast("long").alias("size"))
+    order = [r["size"] for r in groups.groupBy("key").agg(F.sum("size").alias("size")).orderBy("key").collect()]
+    for bits, cells in ((4, 256), (4, 1), (1, 1)):
+        monkeypatch.setattr(sharding, "BITS", bits)
+        monkeypatch.setattr(sharding, "OPEN_CELLS", cells)
+        got = sharding.shard_documents(df, 8).groupBy("shard").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+        assert got == sharding.minimax_cuts(order, 8)[0]
+
+
 # 5 packing
 
 
