@@ -9,10 +9,13 @@ broadcast; every Python worker writes it to an unnamed temporary file and maps t
 distinct words run through the automaton together. Words that it doesn't hold are merged exactly: all words
 of a batch side by side, each step joining in every word its first pair of the lowest rank.
 
-Texts with the vocabulary's special tokens or with the separators U+001C to U+001F, which the
-normaliser and Python disagree about, are encoded whole by the vocabulary's own pipeline.
+Texts with the vocabulary's special tokens, with the separators U+001C to U+001F, or with a character that the
+library and Python split, compose or lower differently (their Unicode versions aren't the same) are encoded
+whole by the vocabulary's own pipeline. Each worker finds these characters by trying every character that it
+meets, once, in PLACES.
 
-Defined results: a null or empty text has no ids and the digests of the empty string; equal texts get equal
+Defined results: a null or empty text has no ids and the digests of the empty string; texts of any length are
+coded whole, word by word; equal texts get equal
 rows; repeated rows and null ids are kept; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -42,6 +45,7 @@ WORD_BYTES = 48
 MEMO_WORDS = 200_000
 FLUSH_WORDS = 400_000
 NEVER = 2**31 - 1
+PLACES = ("a@b", "@\u0323\u0301")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -298,6 +302,30 @@ class Coder:
         self.names = [*(self.tokens.get(i, "") for i in range(most + 1)), "\n"]
         self.ids: dict[str, str] = {}
         self.out: dict[str, str] = {}
+        self.tried: set[str] = set()
+        self.strange: set[str] = set()
+
+    def is_plain(self, text: str) -> bool:
+        """Whether words and merges give the ids that the whole pipeline gives."""
+        if self.odd.search(text):
+            return False
+        if text.isascii():
+            return True
+        seen = set(text)
+        if not seen <= self.tried:
+            self._try(seen - self.tried)
+        return seen.isdisjoint(self.strange)
+
+    def _try(self, characters: set[str]) -> None:
+        self.tried |= characters
+        for place in PLACES:
+            texts = [place.replace("@", c) for c in characters]
+            split = [split_words(t) for t in texts]
+            each = iter(self.merge.words([w for words in split for w in words]))
+            for c, text, words in zip(characters, texts, split, strict=True):
+                own = [i for _ in words for i in next(each)]
+                if own != self.whole.encode(text, add_special_tokens=False).ids:
+                    self.strange.add(c)
 
     def learn(self, words: set[str]) -> None:
         listed = list(words)
@@ -317,7 +345,7 @@ class Coder:
 
     def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(decimal ids, decoded text) of each text, both joined by single blanks as the vocabulary, which has no decoder, does."""
-        split = [None if self.odd.search(t) else split_words(t) for t in texts]
+        split = [split_words(t) if self.is_plain(t) else None for t in texts]
         at = 0
         while at < len(texts):  # as many texts as the memo holds words of
             need: set[str] = set()

@@ -212,6 +212,23 @@ def test_bpe_equals_library(docs, empty):
     assert bpe.code_documents(empty, path).count() == 0
 
 
+def test_bpe_equals_library_on_every_character():
+    coder = bpe.Coder(bpe.build_image({}), registry.tokenizer_file("word_bpe_49k.json"))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 20_000):
+        part = every[at : at + 20_000]
+        plain = [c for c in part if c == "\n" or coder.is_plain(c)]
+        # characters that are coded word by word, many to a text; the others go through the library anyway
+        texts = [" ".join(f"a{c}b" for c in plain[i : i + 500]) for i in range(0, len(plain), 500)]
+        for text, (ids, out) in zip(texts, coder.run(texts), strict=True):
+            want = coder.whole.encode(text, add_special_tokens=False).ids
+            assert ids == " ".join(map(str, want)) and out == coder.whole.decode(want, skip_special_tokens=False)
+    assert 1000 < len(coder.strange) < 100_000
+    for c in "\u0558\u058b\u088f\u1c89\U00010940":
+        assert not coder.is_plain(f"x{c}")
+        assert next(coder.run([f"x{c}y"]))[0] == " ".join(map(str, coder.whole.encode(f"x{c}y", add_special_tokens=False).ids))
+
+
 def test_transducer_is_minimal_and_exact():
     words = {w.encode(): [i, i + 1] for i, w in enumerate(sorted(set(VOCAB) | {"a", "ab", "abc", "zbc"}))}
     t = bpe.Transducer(bpe.build_image(words))
