@@ -4,19 +4,24 @@ The reference for a document is all documents with smaller ids, far too much to
 reference is cut into shards that meet only what they can match, routed by anchors: in each window the
 smallest hash of GRAM consecutive words (the leftmost) names an anchor, so equal windows have equal anchors.
 Each maximal run of windows with one anchor is a context, and only contexts whose anchor occurs in several
-distinct texts leave their document. The contexts of an anchor form a reference shard. In order of ids they
-stream through a suffix automaton over words: matching statistics give every span of at least WINDOW words
-that an earlier document holds, and then the document's own contexts are added to the automaton. A shard
-that could outgrow a worker (more than LARGE contexts) is resolved instead by the hash of each of its windows
-and the smallest id that has it, summed before the shuffle; both ways give the same spans.
+distinct texts leave their document.
+
+Equal contexts of an anchor form a class, told apart by a 128-bit hash of the words: the smallest id stands
+for it, and the others lose the whole context. The classes of an anchor form a reference shard. In order of
+ids they stream through a suffix automaton over words: matching statistics give every span of at least WINDOW
+words that an earlier document holds, and then the document's own contexts are added to the automaton. A shard
+of more than SHARD_WORDS words is cut into smaller ones by longer anchors, first of twice GRAM words, then of
+the whole window; contexts whose new anchor occurs in one text only are done. Shards of whole windows hold one
+class, so no shard outgrows a worker, however many documents share an anchor.
 
 Equal texts are told apart by a 128-bit hash first: all but the smallest id lose every word if there are
 WINDOW of them.
 
 Defined results: words are runs of bytes other than blank and 0x09-0x0D, unchanged; a null or empty text has
-no words; windows are judged on the input; rows that repeat a document keep one verdict and are each
-returned; rows without id lose nothing and are no reference; extra columns are ignored; an empty table
-gives no rows.
+no words; texts of any length are judged whole; windows are judged on the input; rows that repeat a document
+keep one verdict and are each returned; rows with one id and different texts are each judged by the rows with
+smaller ids, not by each other; rows without id lose nothing and are no reference; extra columns are ignored;
+an empty table gives no rows. Anchors are 64-bit hashes, which only route; spans are found on the words.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ from millrace.llm.common import cut, ready, scratch, tidy
 
 WINDOW = 50
 GRAM = 12
-LARGE = 50_000
+SHARD_WORDS = 20_000
+FLUSH_BYTES = 16_000_000
 BROADCAST_IDS = 4_000_000
 
 _rng = np.random.default_rng(11)
@@ -169,14 +175,14 @@ class SuffixAutomaton:
 
 def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """A row for each document: words, identity of the text, digest of all its words, anchors with their runs of windows."""
-    schema = "doc_id long, n_words long, k1 long, k2 long, sha string, fp array<long>, lo array<int>, hi array<int>"
+    schema = "doc_id long, tk long, n_words long, k1 long, k2 long, sha string, fp array<long>, lo array<int>, hi array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 n, ident, sha, found = [], [], [], ([], [], [])
-                for text in batch.column(1):
+                for text in batch.column(2):
                     text = text.as_py() or b""
                     words = text.split()
                     joined = b" ".join(words)
@@ -188,37 +194,86 @@ def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         out.append(part)
                 arrays = [pa.array(n, pa.int64()), pa.array([int(i[0]) for i in ident], pa.int64()), pa.array([int(i[1]) for i in ident], pa.int64()), pa.array(sha, pa.string())]
                 lists = [pa.array(part, pa.list_(kind)) for part, kind in zip(found, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, *lists], ["doc_id", "n_words", "k1", "k2", "sha", "fp", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *lists], ["doc_id", "tk", "n_words", "k1", "k2", "sha", "fp", "lo", "hi"])
+
+    return docs.select("doc_id", "tk", "text").mapInArrow(tidy(run), schema)
+
 
-    return docs.mapInArrow(tidy(run), schema)
+_CONTEXT = "fp long, doc_id long, tk long, c1 long, c2 long, n int, words binary, spans array<struct<s:int,e:int>>"
+
+
+class _Contexts:
+    """Collects contexts as rows of _CONTEXT: those of one document with one anchor and equal words are one row."""
+
+    def __init__(self):
+        self.rows: dict[tuple, list] = {}
+        self.bytes = 0
+
+    def add(self, fp: int, doc_id: int, tk: int, words: bytes, spans: list[tuple[int, int]]) -> None:
+        key = (fp, doc_id, tk, words)
+        if key not in self.rows:
+            self.rows[key] = []
+            self.bytes += len(words) + 100
+        self.rows[key] += spans
+
+    def batch(self) -> pa.RecordBatch:
+        digest = [np.frombuffer(hashlib.sha256(words).digest()[:16], np.int64) for _, _, _, words in self.rows]
+        columns = [*zip(*self.rows, strict=True)] or [(), (), (), ()]
+        spans = [[{"s": s, "e": e} for s, e in found] for found in self.rows.values()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+        values = (*columns[:3], [int(d[0]) for d in digest], [int(d[1]) for d in digest], [w.count(b" ") + 1 for w in columns[3]], columns[3], spans)
+        out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in _CONTEXT.split(", ")])
+        self.__init__()
+        return out
 
 
 def _contexts(texts: DataFrame, window: int) -> DataFrame:
-    """Rows (fp, size, doc_id, lo, words) from rows (doc_id, text, at): the words of each shared run of windows."""
+    """Rows of _CONTEXT from rows (doc_id, tk, text, at): the words of each shared run of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Contexts()
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc_id, tk, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or b"").split()
                 for r in runs:
-                    for column, value in zip(out, (r["fp"], r["size"], doc_id, r["lo"], b" ".join(words[r["lo"] : r["hi"] + window])), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["fp", "size", "doc_id", "lo", "words"])
+                    s, e = r["lo"], r["hi"] + window
+                    found.add(r["fp"], doc_id, tk, b" ".join(words[s:e]), [(s, e)])
+                    if found.bytes > FLUSH_BYTES:
+                        yield found.batch()
+        yield found.batch()
+
+    return texts.select("doc_id", "tk", "text", "at").mapInArrow(tidy(run), _CONTEXT)
+
+
+def _finer(contexts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The contexts' windows, routed by anchors of ``gram`` words as well. Anchors of the whole window give a row for each window, with all the places where it stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Contexts()
+        for batch in batches:
+            for fp, doc_id, tk, text, spans in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                words, starts = text.split(b" "), [r["s"] for r in spans]
+                for key, lo, hi in zip(*(x.tolist() for x in anchors(word_keys(text), window, gram)), strict=True):
+                    end = hi + window if gram < window else lo + window
+                    finer = int(_mix(np.array([fp, key], np.int64).view(np.uint64) * _ORDER[:2]).sum(dtype=np.uint64).view(np.int64))
+                    found.add(finer, doc_id, tk, b" ".join(words[lo:end]), [(s + lo, s + hi + window) for s in starts])
+                    if found.bytes > FLUSH_BYTES:
+                        yield found.batch()
+        yield found.batch()
 
-    return texts.select("doc_id", "text", "at").mapInArrow(tidy(run), "fp long, size long, doc_id long, lo int, words binary")
+    return contexts.select("fp", "doc_id", "tk", "words", "spans").mapInArrow(tidy(run), _CONTEXT)
 
 
 def _by_automaton(contexts: DataFrame, window: int) -> DataFrame:
-    """Rows (doc_id, s, e): spans of words that an earlier document's context of the same anchor holds."""
-    rows = contexts.select("fp", "doc_id", "lo", "words").repartition("fp").sortWithinPartitions("fp", "doc_id")
+    """Rows (doc_id, tk, s, e): spans of words that an earlier document's context of the same anchor holds."""
+    rows = contexts.select("fp", "doc_id", "tk", "words", "spans").repartition("fp").sortWithinPartitions("fp", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = owner = None
         automaton, names, waiting = SuffixAutomaton(), {}, []
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for fp, doc_id, lo, words in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            out: tuple[list, ...] = ([], [], [], [])
+            for fp, doc_id, tk, words, places in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if fp != anchor:
                     anchor, owner, automaton, names, waiting = fp, doc_id, SuffixAutomaton(), {}, []
                 elif doc_id != owner:
@@ -227,41 +282,55 @@ def _by_automaton(contexts: DataFrame, window: int) -> DataFrame:
                     owner, waiting = doc_id, []
                 coded = [names.setdefault(w, len(names)) for w in words.split(b" ")]
                 spans, held = automaton.spans(coded, window)
-                out += [(doc_id, lo + s, lo + e) for s, e in spans]
+                for r in places:
+                    for s, e in spans:
+                        more = r["e"] - r["s"] - len(coded)  # of one window that stands at several places in a row
+                        for column, value in zip(out, (doc_id, tk, r["s"] + s, r["s"] + e + more), strict=True):
+                            column.append(value)
                 if held <= len(coded) - window:  # spans that cover it can still miss windows where they overlap
                     waiting.append(coded)
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["doc_id", "s", "e"])
-
-    return rows.mapInArrow(tidy(run), "doc_id long, s int, e int")
-
-
-def _by_windows(contexts: DataFrame, window: int) -> DataFrame:
-    """The same spans from the smallest id of each window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids, starts = [], [], []
-            for doc_id, lo, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = gram_keys(word_keys(words.as_py()), window)
-                keys.append(found)
-                ids.append(np.full(len(found), doc_id, np.int64))
-                starts.append(np.arange(lo, lo + len(found), dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts))], ["key", "doc_id", "s"])
-
-    windows = contexts.select("doc_id", "lo", "words").mapInArrow(tidy(run), "key long, doc_id long, s int")
-    first = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return windows.join(first, "key").where("doc_id > first").select("doc_id", "s", (F.col("s") + window).alias("e"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "tk", "s", "e"])
+
+    return rows.mapInArrow(tidy(run), "doc_id long, tk long, s int, e int")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The anchors that several ids have: a table, so that a join can split an anchor that many rows have."""
+    return cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("fp"), "shared")
+
+
+def _spans(contexts: DataFrame, window: int, grams: list[int], words: int) -> DataFrame:
+    """Rows (doc_id, tk, s, e) of all words that an earlier document's windows cover."""
+    found = []
+    for gram in [*grams, None]:
+        contexts = cut(contexts, "contexts")
+        classes = cut(contexts.groupBy("fp", "c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n").alias("size")), "classes")
+        again = contexts.drop("words").join(classes.where("first < last").select("fp", "c1", "c2", "first"), ["fp", "c1", "c2"]).where("doc_id > first")
+        found.append(again.select("doc_id", "tk", F.explode("spans").alias("r")).select("doc_id", "tk", "r.s", "r.e"))
+        several = cut(classes.groupBy("fp").agg(F.count("*").alias("classes"), F.sum("size").alias("shard")).where("classes > 1").select("fp", "shard"), "several")
+        if several.isEmpty():
+            break
+        wanted = cut(classes.join(several, "fp").select("fp", "c1", "c2", "first", "shard"), "wanted")
+        own = contexts.join(wanted, ["fp", "c1", "c2"]).where("doc_id = first")
+        fits = F.col("shard") <= words if gram else F.lit(True)  # beyond the last anchors, classes of one shard differ by a hash's collision only
+        found.append(cut(_by_automaton(own.where(fits), window), "matched"))
+        if not gram or several.where(~fits).isEmpty():
+            break
+        finer = cut(_finer(own.where(~fits), window, gram), "finer")
+        contexts = finer.join(_shared(finer), "fp")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def _removed(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_removed, kept_sha, kept) from rows (doc_id, text, spans)."""
+    """Rows (doc_id, tk, n_removed, kept_sha, kept) from rows (doc_id, tk, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [])
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or b"").split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for r in spans:
@@ -272,45 +341,46 @@ def _removed(rows: DataFrame) -> DataFrame:
                 for column, value in zip(out, (int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     column.append(value)
             arrays = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_removed", "kept_sha", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "tk", "n_removed", "kept_sha", "kept"])
 
-    return rows.mapInArrow(tidy(run), "doc_id long, n_removed long, kept_sha string, kept binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, tk long, n_removed long, kept_sha string, kept binary")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids; the ids are broadcast up to BROADCAST_IDS of them."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    """The documents with these ids, once each; the ids are broadcast up to BROADCAST_IDS of them."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, tk, text); tk is a hash of the text, as ids may repeat."""
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, large: int = LARGE) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept_sha, kept): ``kept`` is the text of the words that stay, or null where none was removed."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = SHARD_WORDS) -> DataFrame:
+    """Rows (doc_id, tk, n_words, n_removed, kept_sha, kept): ``kept`` is the text of the words that stay, or null where none was removed. A shard holds at most about ``words`` words."""
     ready(docs.sparkSession)
     with scratch():
-        return cut(_substring_dedup(docs, window, gram, large), "substring", result=True)
+        return cut(_substring_dedup(docs, window, gram, words), "substring", result=True)
 
 
-def _substring_dedup(docs: DataFrame, window: int, gram: int, large: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def _substring_dedup(docs: DataFrame, window: int, gram: int, words: int) -> DataFrame:
+    docs = _keyed(docs)
     profile = cut(_profile(docs, window, gram), "profile")
     first = profile.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
     profile = cut(profile.join(first, ["k1", "k2"]).drop("k1", "k2").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first"), "profile")
-    own = profile.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.size("fp") > 0)).dropDuplicates(["doc_id"])
-    runs = own.select("doc_id", F.explode(F.arrays_zip("fp", "lo", "hi")).alias("r")).select("doc_id", "r.fp", "r.lo", "r.hi")
-    shared = runs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).where("least < most").select("fp", "size")
-    shared = cut(shared, "shared")  # as a table, so that the join can split an anchor that many runs have
-    wanted = cut(runs.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "size", "lo", "hi")).alias("at")), "wanted")
-    texts = _only(docs, wanted.select("doc_id")).dropDuplicates(["doc_id"])
-    contexts = cut(_contexts(texts.join(wanted, "doc_id"), window), "contexts")
-    spans = _by_automaton(contexts.where(F.col("size") <= large), window)
-    if not contexts.where(F.col("size") > large).isEmpty():
-        spans = spans.union(_by_windows(contexts.where(F.col("size") > large), window))
-    spans = cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    texts = _only(docs, spans.select("doc_id")).dropDuplicates(["doc_id"])
-    removed = _removed(texts.join(spans, "doc_id").select("doc_id", "text", "spans"))
-    out = profile.select("doc_id", "n_words", "sha", (F.col("copy") & (F.col("n_words") >= window)).alias("gone")).join(removed, "doc_id", "left")
+    own = profile.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.size("fp") > 0)).dropDuplicates(["doc_id", "tk"])
+    runs = own.select("doc_id", "tk", F.explode(F.arrays_zip("fp", "lo", "hi")).alias("r")).select("doc_id", "tk", "r.fp", "r.lo", "r.hi")
+    wanted = cut(runs.join(_shared(runs), "fp").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("fp", "lo", "hi")).alias("at")), "wanted")
+    contexts = _contexts(_only(docs, wanted.select("doc_id", "tk")).join(wanted, ["doc_id", "tk"]), window)
+    spans = _spans(contexts, window, [n for n in (2 * gram,) if n < window] + [window], words)
+    spans = cut(spans.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    removed = _removed(_only(docs, spans.select("doc_id", "tk")).join(spans, ["doc_id", "tk"]).select("doc_id", "tk", "text", "spans"))
+    out = profile.select("doc_id", "tk", "n_words", "sha", (F.col("copy") & (F.col("n_words") >= window)).alias("gone")).join(removed, ["doc_id", "tk"], "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
         "doc_id",
+        "tk",
         "n_words",
         F.when(F.col("gone"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("gone"), nothing).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha"),
@@ -324,13 +394,15 @@ def removal_digest(docs: DataFrame) -> DataFrame:
 
 def drop_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, less the covered words. Texts that lose none stay as they are; those that do are their words joined by blanks, and n_chars, where there is one, follows."""
-    changed = substring_dedup(docs, window).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("changed_id"), F.col("kept").alias("new"))
-    ids = changed.select("changed_id")
+    changed = substring_dedup(docs, window).where("n_removed > 0").dropDuplicates(["doc_id", "tk"])
+    changed = changed.select(F.col("doc_id").alias("changed_id"), F.col("tk").alias("changed_tk"), F.col("kept").alias("new"))
+    ids = changed.select("changed_id", "changed_tk")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
-    same = F.col("row.doc_id") == F.col("changed_id")
-    new = rows.join(ids, same, "left_semi").select(F.col("row").dropFields("text").alias("row")).join(changed, same)
+    # in one column, so that no name of theirs clashes
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.xxhash64(F.col("text").cast("binary")).alias("row_tk"))
+    same = (F.col("row.doc_id").cast("long") == F.col("changed_id")) & (F.col("row_tk") == F.col("changed_tk"))
+    new = rows.join(ids, same, "left_semi").select(F.col("row").dropFields("text").alias("row"), "row_tk").join(changed, same)
     text = F.coalesce("new", F.lit(""))
     columns = [(text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     return rows.join(ids, same, "left_anti").select("row.*").union(new.select(*columns))

@@ -548,9 +548,9 @@ def brute_substrings(texts, window):
     return out
 
 
-@pytest.mark.parametrize("large", [50_000, 0])
-def test_substrings(docs, large):
-    got = substring.substring_dedup(docs, large=large).collect()
+@pytest.mark.parametrize("words", [20_000, 300, 0])
+def test_substrings(docs, words):
+    got = substring.substring_dedup(docs, words=words).collect()
     want = brute_substrings(TEXTS, 50)
     assert len(got) == len(all_rows())
     for r in got:
@@ -569,24 +569,45 @@ def test_substrings_random(spark):
         texts[i] = " ".join(w for p in parts for w in p)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = brute_substrings(texts, 8)
-    for large in (50_000, 3):
-        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha"]) for x in substring.substring_dedup(df, window=8, gram=3, large=large).collect()}
+    for size in (20_000, 100, 0):
+        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha"]) for x in substring.substring_dedup(df, window=8, gram=3, words=size).collect()}
         assert got == want
 
 
-@pytest.mark.parametrize("large", [50_000, 0])
-def test_substrings_of_overlapping_copies(spark, large):
+@pytest.mark.parametrize("words", [20_000, 300, 0])
+def test_substrings_of_overlapping_copies(spark, words):
     for seed in range(2000):  # a passage whose windows all have one anchor
-        words = [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 88)]
-        if len(substring.anchors(substring.word_keys(" ".join(words).encode()), 50, 12)[0]) == 1:
+        passage = [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 88)]
+        if len(substring.anchors(substring.word_keys(" ".join(passage).encode()), 50, 12)[0]) == 1:
             break
-    texts = {i: " ".join(words[a:b]) for i, (a, b) in enumerate([(0, 60), (15, 88), (0, 88), (12, 62)])}
+    texts = {i: " ".join(passage[a:b]) for i, (a, b) in enumerate([(0, 60), (15, 88), (0, 88), (12, 62)])}
     want = brute_substrings(texts, 50)
-    got = substring.substring_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), large=large).collect()
+    got = substring.substring_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=words).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha"]) for r in got} == want
     assert want[3][1] == 50
 
 
+def test_substrings_of_a_passage_that_many_share(spark):
+    """Shards far beyond their size: one passage in different surroundings, repeated pairs of them, and texts that repeat themselves."""
+    passage = prose(80, 900)
+    texts = {i: f"{prose(30 + i % 7, 2000 + i // 2)} {passage} {prose(20, 3000 + i)}" for i in range(150)}
+    texts |= {200: "la " * 3000, 201: "la " * 70, 202: " ".join(["do re mi fa sol"] * 400), 203: " ".join(["re mi fa sol do"] * 30) + " end", 204: "la " * 2999 + "lo"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_substrings(texts, 50)
+    for size in (20_000, 2_000, 0):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha"]) for r in substring.substring_dedup(df, words=size).collect()}
+        assert got == want
+
+
+def test_substrings_of_one_id_with_two_texts(spark):
+    passage = prose(60, 901)
+    rows = [(1, passage + " one"), (1, prose(5, 1) + " " + passage), (2, passage), (2, "other"), (2, passage)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 61, 0), (1, 65, 0), (2, 1, 0), (2, 60, 60), (2, 60, 60)]
+    out = substring.drop_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == sorted([*rows[:2], (2, ""), (2, "other"), (2, "")])
+
+
 def test_substrings_empty(empty):
     assert substring.substring_dedup(empty).count() == 0
 
