@@ -12,7 +12,8 @@ mergeable (by their maximum) and two sets agree in one with a probability close
    dropped, the others are confirmed on their full sets.
 4. Confirmed links give components. Members of one component need no more pairs. Buckets that still hold
    several components are taken in blocks of BLOCK members, and the members of different components are
-   compared by their registers in memory. First only the likeliest pair of each two components leaves the
+   compared by their registers in memory; those of the bucket's largest component meet the others only, not
+   each other. First only the likeliest pair of each two components leaves the
    task; these are confirmed like the others and the components are closed. Then all likely pairs of the
    components that are still apart are confirmed, and the components closed for good.
 
@@ -22,8 +23,10 @@ registers; all of them serve the estimate, whose standard error at 0.85 is 0.011
 
 Defined results: words are runs of bytes other than blank and 0x09-0x0D, with A-Z in lower case; with fewer
 than five words the whole sequence is the one shingle; a null or empty text has an empty set, is linked with
-nothing and keeps its own id; repeated rows get the same component and are each returned; a null id is its
+nothing and keeps its own id; texts of any length give their whole set; repeated rows get the same component
+and are each returned; rows with one id and different texts are judged each by its own text; a null id is its
 own (null) component unless its set equals another's; extra columns are ignored; an empty table gives no rows.
+Sets are sets of 64-bit hashes of shingles, and are told apart by 128 bits; so are the counts and the links.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, ready, scratch, tidy
@@ -89,6 +92,11 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def marks(keys: np.ndarray) -> tuple[int, int]:
+    """Two sums of hashes, the same for equal sets."""
+    return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (keys ^ np.uint64(0x51ED270B), keys + np.uint64(0x632BE5AB)))
+
+
 def registers(keys: np.ndarray) -> np.ndarray:
     """The set's registers, a byte each; all 0 for the empty set."""
     if not len(keys):
@@ -139,23 +147,28 @@ def _matrix(column) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, s1, s2, sketch); s1 and s2 tell sets apart."""
+    """Rows (doc_id, tk, n_shingles, s1, s2, sketch); s1 and s2 tell sets apart, tk the texts of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 n, s1, s2, sketch = [], [], [], []
-                for text in batch.column(1):
+                for text in batch.column(2):
                     keys = shingle_set(text.as_py())
                     n.append(len(keys))
-                    s1.append(int(mix(keys ^ np.uint64(0x51ED270B)).sum(dtype=np.uint64).view(np.int64)))
-                    s2.append(int(mix(keys + np.uint64(0x632BE5AB)).sum(dtype=np.uint64).view(np.int64)))
+                    for column, value in zip((s1, s2), marks(keys), strict=True):
+                        column.append(value)
                     sketch.append(registers(keys).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(sketch, pa.binary())], ["doc_id", "tk", "n_shingles", "s1", "s2", "sketch"])
+
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(tidy(run), "doc_id long, tk long, n_shingles long, s1 long, s2 long, sketch binary")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidy(run), f"doc_id {kind}, n_shingles long, s1 long, s2 long, sketch binary")
+
+def node() -> Column:
+    """The number of a class of equal sets, from s1, s2 and n."""
+    return F.xxhash64(F.col("s1"), F.col("s2"), F.col("n").cast("long"))
 
 
 def _sizes_allow(a: str, b: str, percent: int):
@@ -165,8 +178,8 @@ def _sizes_allow(a: str, b: str, percent: int):
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose joint estimate isn't well below the threshold."""
     low = lowest_estimate(percent)
-    left = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    left = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,10 +191,11 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold."""
     pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = cut(ids.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -189,7 +203,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "keys"])
+                keys = [shingle_set(t.as_py()) for t in batch.column(0)]
+                sums = [marks(k) for k in keys]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                values = ([x for x, _ in sums], [x for _, x in sums], [len(k) for k in keys], [k.tobytes() for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["s1", "s2", "n", "keys"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -203,8 +221,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield whole.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi")
-    keys = cut(texts.mapInArrow(tidy(sets), "doc_id long, keys binary"), "sets").dropDuplicates(["doc_id"])
-    joined = pairs.join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("k_b")), "b").join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("k_a")), "a")
+    keys = texts.select("text").mapInArrow(tidy(sets), "s1 long, s2 long, n long, keys binary")
+    keys = cut(keys.select(node().alias("node"), "keys"), "sets").dropDuplicates(["node"])
+    joined = pairs.join(keys.select(F.col("node").alias("b"), F.col("keys").alias("k_b")), "b").join(keys.select(F.col("node").alias("a"), F.col("keys").alias("k_a")), "a")
     return joined.select("a", "b", "k_a", "k_b").mapInArrow(tidy(judge), "a long, b long")
 
 
@@ -227,16 +246,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def crossing(members: DataFrame, classes: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a bucket, or only the likeliest of each two components in a block. ``members``: rows (key, band, rep, component, size). A pair is looked at in the first band that it shares."""
+    """Likely pairs (a, b) of different components that share a bucket, or only the likeliest of each two components in a block. ``members``: rows (key, band, node, component), a table. A pair is looked at in the first band that it shares."""
     low = lowest_estimate(percent)
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "band", "rep", "component").join(classes, "rep")
-    rows = rows.select("key", "x", "y", "own", "band", "rep", "component", "n", "sketch").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    largest = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("several"))
+    largest = cut(largest.where("several > 1").select("key", F.col("most.component").alias("big"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("big_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("blocks")), "largest")
+    is_big, own = F.col("component") == F.col("big"), F.xxhash64("node")
+    rows = members.join(largest, "key").withColumn("own", F.when(is_big, F.col("blocks") + F.pmod(own, "big_blocks")).otherwise(F.pmod(own, "blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_big, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("big_blocks") - 1))))
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "band", "node", "component").join(classes.select("node", "n", "sketch"), "node")
+    rows = rows.select("key", "x", "y", "own", "band", "node", "component", "n", "sketch").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def judge(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        own, rep, comp, n = (group.column(c).to_numpy() for c in ("own", "rep", "component", "n"))
+        own, rep, comp, n = (group.column(c).to_numpy() for c in ("own", "node", "component", "n"))
         sketch = _matrix(group.column("sketch"))
         crossed = group.column("x")[0].as_py() != group.column("y")[0].as_py()
         band = group.column("band")[0].as_py()
@@ -286,46 +307,54 @@ def crossing(members: DataFrame, classes: DataFrame, percent: int, best_only: bo
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): documents linked at a similarity of ``percent`` hundredths or more, in components."""
+    return verdicts(docs, percent).drop("tk")
+
+
+def verdicts(docs: DataFrame, percent: int) -> DataFrame:
+    """Those rows with tk, the hash of the text."""
     ready(docs.sparkSession)
     with scratch():
         return cut(_near_duplicates(docs, percent), "neardup", result=True)
 
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
-    sketched = cut(sketch_documents(docs).withColumn("doc_id", F.col("doc_id").cast("long")), "sketch")
-    classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
-    classes = cut(classes.withColumnRenamed("n_shingles", "n"), "classes")
-    reps = classes.select("rep", "n", "sketch").dropDuplicates(["rep"])
+    sketched = cut(sketch_documents(docs), "sketch")
+    classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumnRenamed("n_shingles", "n").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
+    classes = cut(classes.withColumn("node", node()), "classes")
     keys = F.array(*(F.xxhash64(F.substring("sketch", i * ROWS + 1, ROWS), F.lit(i)) for i in range(BANDS)))
-    banded = classes.select("rep", "n", F.posexplode(keys).alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = cut(banded.join(buckets, "key").select("key", "band", "rep", "n", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n"), "size"), "members")
-    pairs = members.where((F.col("rep") != F.col("leader")) & _sizes_allow("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(confirm(likely(pairs, reps, percent), docs, percent), "links")
+    banded = classes.select("node", "rep", "n", F.posexplode(keys).alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "node", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    members = cut(banded.join(buckets, "key").select("key", "band", "node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"), "size"), "members")
+    pairs = members.where((F.col("node") != F.col("leader")) & _sizes_allow("n", "leader_n", percent)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    links = cut(confirm(likely(pairs, classes, percent), classes, docs, percent), "links")
     found = cut(components(links), "components")
 
     judged = pairs
     for best_only in (True, False):
-        open_ = members.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "size", F.coalesce("component", "rep").alias("component"))
-        several = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-        more = cut(crossing(open_.join(several, "key"), reps, percent, best_only), "crossing")
+        open_ = cut(members.where("size > 2").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "open")
+        more = cut(crossing(open_, classes, percent, best_only), "crossing")
         if more.isEmpty():
             break  # no two components share a bucket and look alike
-        fresh = cut(confirm(more.join(judged, ["a", "b"], "left_anti"), docs, percent), "links")
+        fresh = cut(confirm(more.join(judged, ["a", "b"], "left_anti"), classes, docs, percent), "links")
         judged = judged.union(more)
         if not fresh.isEmpty():
             links = links.union(fresh)
             found = cut(components(links), "components")
 
-    known = classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "s1", "s2").join(known, ["s1", "s2", "n_shingles"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    known = classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = known.join(names, "component").select("s1", "s2", "n_shingles", "component_id")
+    out = sketched.select("doc_id", "tk", "n_shingles", "s1", "s2").join(known, ["s1", "s2", "n_shingles"], "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "tk", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, less all but one of each component. The ids that go are broadcast up to BROADCAST_IDS of them."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = verdicts(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("tk").alias("gone_tk")).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    # in one column, so that no name of theirs clashes
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.xxhash64(F.col("text").cast("binary")).alias("row_tk"))
+    same = (F.col("row.doc_id").cast("long") == F.col("gone_id")) & (F.col("row_tk") == F.col("gone_tk"))
+    return rows.join(gone, same, "left_anti").select("row.*")

@@ -180,6 +180,43 @@ def test_near_duplicates_large_group(spark):
     assert got == brute_components(texts, 85)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_duplicates_of_strays_beside_a_group(spark, monkeypatch, block):
+    """Buckets that a large component shares with small ones, in blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base, texts = prose(150, 60).split(), {}
+    for i in range(90):
+        r = random.Random(i)
+        w = base[:] if i < 70 else base[: 75 + i % 3] + prose(75, 61 + i // 4).split()
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice(VOCAB) + "y"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 80).collect()}
+    assert got == brute_components(texts, 80)
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    a, b = prose(60, 70), prose(60, 71)
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, 80).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False), (4, 4, True)]
+    assert sorted(map(tuple, neardup.drop_near_duplicates(df, 80).collect())) == [(1, a), (2, b), (4, "x")]
+
+
+@pytest.mark.parametrize("names", ["gone string, changed_id int, new string, component_id long", "gone_id int, gone_tk string, row_tk string, row int", "changed_tk int, tk string, `a.b` string, kept int"])
+def test_drops_keep_clashing_columns(spark, names):
+    kinds = [n.split()[-1] for n in names.split(", ")]
+    texts = [(1, prose(120, 80)), (2, prose(120, 80)), (3, prose(60, 81) + " " + prose(60, 80)), (4, None), (5, "")]
+    rows = [(i, t, None, *("7" if k == "string" else 7 for k in kinds)) for i, t in texts]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, {names}")
+    for drop, left in ((neardup.drop_near_duplicates, 4), (substring.drop_substrings, 5), (lambda d: langid.drop_unidentified(d), 0), (lambda d: toxicity.drop_toxic(d, spark.createDataFrame([], "doc_id long, toxic int")), 5)):
+        out = drop(df)
+        assert out.columns == df.columns and out.count() == left
+        assert drop(df.where("false")).count() == 0 and drop(df.where("false")).columns == df.columns
+
+
 def test_near_duplicates_empty(empty):
     assert neardup.near_duplicates(empty, 85).count() == 0
 
