@@ -1,4 +1,4 @@
-"""python -m millrace GROUP STAGE key=path ... [--option key=value ...]; without arguments, or with a stage alone, prints help."""
+"""python -m millrace GROUP STAGE key=path ... [--option=value ...] [--config=FILE]; without arguments, or with a stage alone, prints help."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 def main(argv: list[str]) -> int:
     from millrace.plans.stages import STAGES, run
+    from millrace.sources.io import read_config
 
     name = " ".join(argv[:2])
     if len(argv) < 3 or name not in STAGES:
@@ -19,7 +20,10 @@ def main(argv: list[str]) -> int:
     paths = {k: v.split(",") if "," in v else v for k, v in pairs}
     from pyspark.sql import SparkSession
 
-    run(name, SparkSession.builder.appName(f"millrace {name}").getOrCreate(), paths, options)
+    spark = SparkSession.builder.appName(f"millrace {name}").getOrCreate()
+    if "config" in options:
+        options = read_config(spark, options.pop("config")) | options
+    run(name, spark, paths, options)
     return 0
 
 

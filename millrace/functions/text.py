@@ -76,6 +76,11 @@ def braces(c: Column) -> Column:
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)
 
 
+def brackets(c: Column) -> Column:
+    """From the first [ to the last ]; empty where there is no such pair."""
+    return F.regexp_extract(c, r"(?s)\[.*\]", 0)
+
+
 def first_tokens(c: Column, n: int) -> Column:
     """At most ``n`` white-space tokens."""
     return F.array_join(F.slice(words(c), 1, n), " ")

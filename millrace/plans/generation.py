@@ -86,14 +86,14 @@ def prompt_build(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN concat('system=', role, ';user=', substr(text, 1, 40)) WHEN 1 THEN concat('system=fixed;user=', substr(text, 1, 40)) ELSE concat('user=', substr(text, 1, 40)) END AS messages FROM conversations"""
+    """SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN concat('system=', role, ';user=', text) WHEN 1 THEN concat('system=fixed;user=', text) ELSE concat('user=', text) END) AS messages FROM conversations"""
 )
 def prompt_modes(spark, sf_dir) -> DataFrame:
     t = F.col("turn") % 3
     mode = F.when(t == 0, "system").when(t == 1, "fixed").otherwise("plain")
-    m = generate.prompt_messages(mode, F.col("role"), F.substring("text", 1, 40), "fixed")
+    m = generate.prompt_messages(mode, F.col("role"), F.col("text"), "fixed")
     shown = F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", shown.alias("messages"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(shown).alias("messages"))
 
 
 @query(r"SELECT doc_id, array_to_string((list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))[:50], ' ') AS cut FROM documents")
@@ -106,10 +106,10 @@ def skip_take(spark, sf_dir) -> DataFrame:
     return generate.skip_take(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 30, 100)
 
 
-@query("SELECT r_regionkey AS key, coalesce((SELECT arg_max(n_name, n_nationkey) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0), r_name) AS value FROM region")
+@query("SELECT r_regionkey AS key, coalesce((SELECT arg_max(n_name, n_nationkey) FROM nation WHERE n_regionkey + 1 = r_regionkey), r_name) AS value FROM region")
 def catalog_upsert(spark, sf_dir) -> DataFrame:
     cat = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("value"))
-    fresh = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_regionkey").alias("key"), F.col("n_name").alias("value"), "n_nationkey")
+    fresh = table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1).alias("key"), F.col("n_name").alias("value"), "n_nationkey")
     return generate.upsert(cat, fresh, "key", "value", "n_nationkey")
 
 
@@ -124,13 +124,13 @@ def llm_map_stub(spark, sf_dir) -> DataFrame:
 
 
 #: Stand-in of generated text: a thought, sections, and a fenced block with a language line.
-_TEXT = """t AS (SELECT doc_id AS id, text, concat(CASE WHEN doc_id % 3 = 0 THEN 'so</think>' ELSE '' END, '**Problem:** ', substr(text, 1, 30), CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat(chr(10), 'Description: d', doc_id) END, chr(10), 'Answer: a', doc_id, chr(10), '```', CASE WHEN doc_id % 2 = 0 THEN 'json' ELSE '{"k": 1}' END, chr(10), 'body', chr(10), '```') AS g FROM documents)"""
+_TEXT = """t AS (SELECT doc_id AS id, text, concat(CASE WHEN doc_id % 3 = 0 THEN 'so</think>' ELSE '' END, '**Problem:** ', text, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat(chr(10), 'Description: d', doc_id) END, chr(10), 'Answer: a', doc_id, chr(10), '```', CASE WHEN doc_id % 2 = 0 THEN 'json' ELSE '{"k": 1}' END, chr(10), 'body', chr(10), '```') AS g FROM documents)"""
 
 
 def _generated(spark, sf_dir) -> DataFrame:
     d, s = F.col("doc_id"), F.col("doc_id").cast("string")
     g = F.concat(
-        F.when(d % 3 == 0, "so</think>").otherwise(""), F.lit("**Problem:** "), F.substring("text", 1, 30), F.when(d % 4 == 0, "").otherwise(F.concat(F.lit("\nDescription: d"), s)),
+        F.when(d % 3 == 0, "so</think>").otherwise(""), F.lit("**Problem:** "), F.col("text"), F.when(d % 4 == 0, "").otherwise(F.concat(F.lit("\nDescription: d"), s)),
         F.lit("\nAnswer: a"), s, F.lit("\n```"), F.when(d % 2 == 0, "json").otherwise('{"k": 1}'), F.lit("\nbody\n```"),
     )
     return table(spark, sf_dir, "documents").select(d.alias("id"), "text", g.alias("g"))
@@ -138,11 +138,11 @@ def _generated(spark, sf_dir) -> DataFrame:
 
 @query(
     f"""WITH {_TEXT} SELECT id, CASE WHEN id % 2 = 0 THEN 'body' ELSE concat('{{"k": 1}}', chr(10), 'body') END AS code,
-CASE WHEN id % 4 = 0 THEN concat(regexp_replace(substr(replace(text, '**', ''), 1, 0), 'x', ''), problem) ELSE problem END AS problem, CASE WHEN id % 4 = 0 THEN '' ELSE concat('d', id) END AS description, concat('a', id) AS answer
+md5(problem) AS problem, CASE WHEN id % 4 = 0 THEN '' ELSE concat('d', id) END AS description, concat('a', id) AS answer
 FROM (SELECT id, text, regexp_replace(CASE WHEN id % 4 = 0 THEN split_part(replace(g, '**', ''), 'Problem:', 2) ELSE split_part(split_part(replace(g, '**', ''), 'Problem:', 2), 'Description:', 1) END, '^\\s+|\\s+$', '', 'g') AS problem FROM t)"""
 )
 def extract_sections(spark, sf_dir) -> DataFrame:
-    return _generated(spark, sf_dir).select("id", *(c.alias(k) for k, c in generate.post_process(F.col("g")).items()))
+    return _generated(spark, sf_dir).select("id", *((F.md5(c) if k == "problem" else c).alias(k) for k, c in generate.post_process(F.col("g")).items()))
 
 
 @query(

@@ -67,10 +67,10 @@ def split_struct(spark, sf_dir) -> DataFrame:
     return split.thirds(rows.where("id % 3 = 0"), rows.where("id % 3 <> 0"), "cat_lang", "id", _N, "struct")
 
 
-@query(f"WITH {_KEYED} SELECT cat_lang, bool_or(id % 2 = 0) AS in_a, bool_or(id % 5 = 0) AS in_b FROM keyed WHERE id % 2 = 0 OR id % 5 = 0 GROUP BY cat_lang")
+@query(f"WITH {_KEYED} SELECT cat_lang, bool_or(id % 2 = 0) AS in_a, bool_or(id % 2 <> 0 OR id % 5 = 0) AS in_b FROM keyed GROUP BY cat_lang")
 def split_setops(spark, sf_dir) -> DataFrame:
     rows = _keyed(spark, sf_dir)
-    a, b = rows.where("id % 2 = 0").select("cat_lang").distinct(), rows.where("id % 5 = 0").select("cat_lang").distinct()
+    a, b = rows.where("id % 2 = 0").select("cat_lang").distinct(), rows.where("id % 2 <> 0 OR id % 5 = 0").select("cat_lang").distinct()
     keys = a.union(b).distinct()
     only_b = keys.exceptAll(a).withColumn("not_a", F.lit(True))
     return keys.join(only_b, "cat_lang", "left").join(b.withColumn("b", F.lit(True)), "cat_lang", "left").select("cat_lang", F.col("not_a").isNull().alias("in_a"), F.coalesce("b", F.lit(False)).alias("in_b"))
@@ -83,20 +83,20 @@ def split_chart_branch(spark, sf_dir) -> DataFrame:
 
 
 _TRAIN = """train AS (
-  SELECT concat('p', doc_id) AS id, 'qa_problem' AS type, 'problem' AS user, md5(text) AS assistant, source AS category_key, lang AS domain, 'low' AS difficulty FROM documents WHERE doc_id % 2 = 0
+  SELECT concat('p', doc_id) AS id, CASE WHEN doc_id % 2 = 0 THEN 'qa_problem' ELSE 'qa_detail' END AS type, 'problem' AS user, md5(text) AS assistant, source AS category_key, lang AS domain, 'low' AS difficulty FROM documents
   UNION ALL SELECT concat('b', item_id), 'description', 'describe', md5(text), 'benchmark', '', 'medium' FROM benchmark
   UNION ALL SELECT concat('c', conv_id, '_', turn), 'captioning', role, md5(text), 'chat', '', 'high' FROM conversations)"""
 
 
 def _train(spark, sf_dir) -> DataFrame:
     def part(df, id_, kind, user, category, domain, difficulty):
-        return df.select(id_.alias("id"), F.lit(kind).alias("type"), user.alias("user"), F.md5("text").alias("assistant"), category.alias("category_key"), domain.alias("domain"), F.lit(difficulty).alias("difficulty"))
+        return df.select(id_.alias("id"), kind.alias("type"), user.alias("user"), F.md5("text").alias("assistant"), category.alias("category_key"), domain.alias("domain"), F.lit(difficulty).alias("difficulty"))
 
     d, b, c = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "conversations"))
     parts = [
-        part(d.where("doc_id % 2 = 0"), F.concat(F.lit("p"), F.col("doc_id").cast("string")), "qa_problem", F.lit("problem"), F.col("source"), F.col("lang"), "low"),
-        part(b, F.concat(F.lit("b"), F.col("item_id").cast("string")), "description", F.lit("describe"), F.lit("benchmark"), F.lit(""), "medium"),
-        part(c, F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")), "captioning", F.col("role"), F.lit("chat"), F.lit(""), "high"),
+        part(d, F.concat(F.lit("p"), F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 2 == 0, "qa_problem").otherwise("qa_detail"), F.lit("problem"), F.col("source"), F.col("lang"), "low"),
+        part(b, F.concat(F.lit("b"), F.col("item_id").cast("string")), F.lit("description"), F.lit("describe"), F.lit("benchmark"), F.lit(""), "medium"),
+        part(c, F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")), F.lit("captioning"), F.col("role"), F.lit("chat"), F.lit(""), "high"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

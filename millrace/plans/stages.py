@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions import image
 from millrace.functions import stablerand as R
+from millrace.functions import templates as T
 from millrace.functions import text as X
 from millrace.functions.lineage import cut as saved
-from millrace.operators import assign, cluster, dedup, evaluate, filters, generate, split, stats, vector
+from millrace.operators import assign, cluster, dedup, evaluate, filters, generate, qa, split, stats, vector
 from millrace.sources import io
 
 TEXT = "id string, text string"
@@ -25,6 +27,8 @@ EMBEDDED = "id string, persona string, embedding array<float>"
 INPUT = "struct<id:string,id_compl:string,category_key:string,category_name:string,lang_key:string,lang_name:string,code_instruct:string,complexity:string,persona:struct<id:string,persona:string>,domain:string>"
 GENERATION = f"input {INPUT}, generation string, finish_reason string"
 RENDERED = f"input {INPUT}, code string, problem string, description string, answer string, path_img_1 string, path_img_2 string, image_hash string, size struct<width:bigint,height:bigint>, statistics string"
+REFINED = f"id string, input {INPUT}, category_key string, category_name string, lang_key string, lang_name string, domain string, path_img string, path_img_1 string, code string, problem string, answer string, description string, caption string, llm_user string, llm_assistant string, statistics string"
+SUBJECTS = ("problem", "description")
 ANSWERS = "type string, category_key string, difficulty string, answer string, generation string, stop string"
 TRAIN = ["id", "type", "user", "assistant", "category_name", "category_key", "lang_key", "lang_name", "domain", "difficulty", "path_img", "code"]
 
@@ -57,9 +61,10 @@ def _limited(rows: DataFrame, options: dict, order: str = "id") -> DataFrame:
 
 
 def _asked(rows: DataFrame, options: dict) -> DataFrame:
-    """Rows with generation and finish_reason joined on by id."""
+    """Rows with generation and finish_reason; the whole row goes through the model's client, so ids may repeat or be null."""
     rows = _limited(rows, options)
-    return rows.join(generate.model_map(rows, "prompt", _complete(options)), "id")
+    whole = rows.select(F.struct(*(f"`{c}`" for c in rows.columns)).alias("id"), "prompt")
+    return generate.model_map(whole, "prompt", _complete(options)).select("id.*", "generation", "finish_reason")
 
 
 @stage("personas generate", "persona candidates from texts")
@@ -77,7 +82,7 @@ def personas_query(spark, paths, options):
     template = options.get("template", "Give search queries for {name}: {terms}")
     rows = cat.select(F.col("category_key").alias("id"), X.fill(template, name=F.col("name"), terms=F.col("terms_semantic")).alias("prompt"))
     body = X.braces(X.after_tag(F.col("generation"), "</think>"))
-    found = _asked(rows, options).where("finish_reason = 'stop'").select(F.col("id").alias("category_key"), F.from_json(F.get_json_object(body, "$.queries"), "array<string>").alias("search_queries"), F.lit(0).alias("pos"))
+    found = _asked(rows, options).where("finish_reason = 'stop'").select(F.col("id").alias("category_key"), F.from_json(F.coalesce(F.get_json_object(body, "$.queries.queries"), F.get_json_object(body, "$.queries"), X.brackets(F.col("generation"))), "array<string>").alias("search_queries"), F.lit(0).alias("pos"))
     io.write_jsonl(generate.upsert(cat, found, "category_key", "search_queries", "pos"), paths["output"])
 
 
@@ -160,6 +165,13 @@ def dataset_filter(spark, paths, options):
 
     rows = capped(rows, F.md5(X.squash(F.col("code"))), options.get("max_dups_code", 3), "copy")
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & ~second, "image").otherwise(F.col("reason")))
+    if "images" in paths:  # the folder of the rendered pictures
+        seen = saved(image.examined(io.read_pictures(spark, paths["images"])), "images")
+        seen = seen.select(F.element_at(F.split("path", "/"), -1).alias("_file"), "width", "height", "colour", F.col("image_hash").alias("_hash")).dropDuplicates(["_file"])
+        rows = rows.withColumn("_file", F.element_at(F.split(F.coalesce("path_img_1", F.lit("")), "/"), -1)).join(seen, "_file", "left")
+        unreadable = F.col("width").isNull()
+        rows = rows.withColumn("reason", F.when(F.col("reason").isNull(), F.when(unreadable, "image").when(F.col("colour") != "normal", "colour")).otherwise(F.col("reason")))
+        rows = rows.withColumn("image_hash", F.coalesce("_hash", "image_hash")).drop("_file", "_hash", "width", "height", "colour")
     pictured = F.coalesce("image_hash", F.md5("path_img_1"))
     rows = saved(capped(rows, pictured, options.get("max_dups_img", 3), "copy_image"), "judged")
     limits_ = [c for c in limits.columns if c not in ("category_key", "lang_key")]
@@ -207,21 +219,93 @@ def dataset_caption(spark, paths, options):
     _sectioned(spark, paths, options, {"caption": ("Caption:", "\x00")}, "Describe this. Caption: ...\n{description}\n{code}")
 
 
+def _source(spark, path, kind: str) -> DataFrame:
+    """Rows of a refinement subset with the training columns, numbered by _row as ids may repeat."""
+    rows = io.read_jsonl(spark, path, REFINED)
+    given = {c: F.coalesce(c, F.col(f"input.{c}")) for c in ("id", "category_key", "category_name", "lang_key", "lang_name", "domain")}
+    given |= {"path_img": F.coalesce("path_img", "path_img_1"), "type": F.lit(kind), "difficulty": F.col("input.complexity")}
+    rows = rows.withColumn("given_domain", F.col("input.domain")).withColumns(given)
+    rows = rows.withColumn("domain", F.coalesce(F.col("domain"), filters.domain(F.col("category_key"), F.col("lang_key"))))
+    return saved(rows.withColumn("_row", F.monotonically_increasing_id()), kind)
+
+
+def _training(rows: DataFrame, user: Column, assistant: Column) -> DataFrame:
+    return rows.withColumns({"user": user, "assistant": assistant}).select(*TRAIN)
+
+
+def _questions(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with the question found for each of them."""
+    return rows.drop("difficulty").join(found.select(F.col("id").alias("_row"), "user", "assistant", "difficulty"), "_row").select(*TRAIN)
+
+
+def assembled(spark, paths: dict, options: dict) -> tuple[list[tuple[str, DataFrame]], DataFrame | None]:
+    """(name and training rows of each subset that ``paths`` has; rows that no structural question fits)."""
+    words = {k: {**getattr(T, k.upper()), **options.get(k, {})} for k in ("questions", "answers")}
+    read = lambda role, kind: _source(spark, paths[role], kind) if role in paths else None
+    draw = [F.col("id"), F.col("_row")]
+    out: list[tuple[str, DataFrame]] = []
+    for role, kind, user, assistant in (("qa_problem", "qa_problem", "problem", "answer"), ("llm_qa", "qa_detail", "llm_user", "llm_assistant")):
+        if rows := read(role, kind):
+            out.append((role, _training(rows, F.col(user), F.col(assistant))))
+    for role, kind, asked, said in (("ps_description", "description", "describe", "description"), ("ps_caption", "captioning", "captioning", "caption")):
+        if rows := read(role, kind):
+            out.append((role, _training(rows, qa.worded(words["questions"][asked], "asked", draw), F.col(said))))
+    if rows := read("code_translate", "code"):
+        half = split.halves(rows.withColumn("_k", R.key("code", *draw)), "_k", "type").where("half = 1")
+        lead = qa.worded(words["answers"]["code"], "said", draw, language=F.col("lang_name"))
+        out.append(("code_translate", _training(half, qa.worded(words["questions"]["code"], "asked", draw), F.concat(lead, F.lit("\n```\n"), F.coalesce("code", F.lit("")), F.lit("\n```")))))
+    left = None
+    if rows := read("structural", "structural"):
+        nodes = rows.withColumn("nodes", filters.node_counts(F.col("statistics"), F.col("lang_key")))
+        found = saved(qa.node_questions(nodes, "nodes", "_row", options.get("structural"), words["answers"]["structural"]).where("chosen"), "asked")
+        out.append(("structural", rows.join(found.select("_row", "user", "assistant"), "_row").select(*TRAIN)))
+        left = rows.join(found, "_row", "left_anti")
+    if not {"association_persona", "association_caption", "consistency"} & set(paths):
+        return out, left
+    cat = io.catalogue(spark, spark.read.text(paths["categories"], wholetext=True).first()[0])
+    listed = lambda c: F.broadcast(cat.select(F.col("category_key").alias("category"), F.explode(c).alias("other")))
+    excluded = cat.select(F.col("category_key").alias("other"), F.explode("exclude_domains").alias("domain"))
+
+    def pool_rows(rows: DataFrame, value: Column) -> DataFrame:
+        return rows.select(F.col("_row").alias("id"), F.col("category_key").alias("category"), F.col("category_name").alias("name"), value.alias("value"), F.col("given_domain").alias("domain"))
+
+    for role, subject, kinds, value, contrary, but in (("association_persona", "persona", qa.PERSONA, "input.persona.persona", "contrary_personas", excluded), ("association_caption", "caption", qa.CAPTION, "caption", "contrary_categories", None)):
+        if rows := read(role, "association"):
+            base = pool_rows(rows, F.col(value))
+            found = qa.association(qa.variants(base.where("value IS NOT NULL"), kinds, True, subject), listed(contrary), base.select("category", "value"), subject, but, words["questions"][subject], words["answers"])
+            out.append((role, _questions(rows, found)))
+    if rows := read("consistency", "consistency"):
+        kinds = [k for k in qa.CONSISTENCY for _ in SUBJECTS]
+        base = qa.variants(pool_rows(rows, F.struct(*SUBJECTS)), kinds, True, "consistency", 2)
+        parts = []
+        for i, subject in enumerate(SUBJECTS):
+            own = base.where(F.col("variant") % len(SUBJECTS) == i).withColumn("value", F.col(f"value.{subject}"))
+            pool = rows.select(F.col("category_key").alias("category"), F.col(subject).alias("value"))
+            parts.append(qa.consistency(own, listed("contrary_categories"), pool, subject, words["questions"][subject], words["answers"]))
+        out.append(("consistency", _questions(rows, parts[0].union(parts[1]))))
+    return out, left
+
+
 @stage("dataset assemble", "one training table of all question types, its halves and statistics")
 def dataset_assemble(spark, paths, options):
     schema = ", ".join(f"{c} string" for c in TRAIN)
-    parts = [io.read_jsonl(spark, p, schema).select(*TRAIN) for p in paths["input"]]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    given = paths.get("input", [])
+    parts = [(str(i), io.read_jsonl(spark, p, schema).select(*TRAIN)) for i, p in enumerate([given] if isinstance(given, str) else given)]
+    found, left = assembled(spark, paths, options)
+    rows = None
+    for name, part in parts + found:
+        part = part.withColumn("_part", F.concat_ws(":", F.lit(name), "type"))
+        rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("_k", R.key("42", F.col("type"), F.col("id"), F.md5(F.concat_ws(":", "user", "assistant"))))
-    out = saved(split.halves(rows, "_k", "type"), "train")
+    out = saved(split.halves(rows, "_k", "_part").drop("_part"), "train")
     io.write_jsonl(out.orderBy("_k").drop("_k", "half"), f"{paths['output']}/all")
     for n in (1, 2):
         half = out.where(F.col("half") == n)
         io.write_jsonl(half.orderBy("_k").drop("_k", "half"), f"{paths['output']}/half_{n}")
         io.write_jsonl(stats.counts_by(half, ["type", "difficulty", "domain", "category_key"]), f"{paths['output']}/statistics_{n}")
     io.write_jsonl(stats.counts_by(out, ["type", "difficulty", "domain", "category_key"]), f"{paths['output']}/statistics")
+    if left is not None:
+        io.write_jsonl(left.drop("_row", "given_domain"), f"{paths['output']}/no_structural")
 
 
 @stage("train format", "chat rows for fine-tuning")

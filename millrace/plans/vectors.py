@@ -118,14 +118,14 @@ def nn_label_propagate(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT vec_id AS id, label, 0 AS prio FROM embeddings WHERE vec_id % 3 = 0), b AS (SELECT vec_id AS id, (label + vec_id % 2)::INTEGER AS label, 1 AS prio FROM embeddings WHERE vec_id % 2 = 0 AND vec_id NOT IN (SELECT id FROM a)),
+    f"""WITH a AS (SELECT vec_id AS id, label, 0 AS prio FROM embeddings WHERE vec_id % 3 = 0), b AS (SELECT vec_id AS id, (label + vec_id % 2)::INTEGER AS label, 1 AS prio FROM embeddings WHERE vec_id NOT IN (SELECT id FROM a)),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY prio, CASE WHEN prio = 0 THEN lpad(id::VARCHAR, 20, '0') ELSE md5(concat_ws(':', '42', id)) END)::INTEGER AS place FROM u)
 SELECT label, place, id, prio FROM r WHERE place <= 30"""
 )
 def label_quota_sample(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     first = e.where("id % 3 = 0").select("id", "label", F.lit(0).alias("prio"))
-    second = e.where("id % 2 = 0").select("id", (F.col("label") + F.col("id") % 2).cast("int").alias("label"), F.lit(1).alias("prio")).join(first.select("id"), "id", "left_anti")
+    second = e.select("id", (F.col("label") + F.col("id") % 2).cast("int").alias("label"), F.lit(1).alias("prio")).join(first.select("id"), "id", "left_anti")
     order = F.when(F.col("prio") == 0, F.lpad(F.col("id").cast("string"), 20, "0")).otherwise(R.key("42", F.col("id")))
     return vector.quota(first.unionByName(second), "label", [F.col("prio"), order], 30).select("label", "place", "id", "prio")
 
@@ -188,13 +188,14 @@ def pca_projection(spark, sf_dir) -> DataFrame:
     return out.select("vec_id", F.col("projection")[0].alias("x"), F.col("projection")[1].alias("y"))
 
 
-_PX = "px AS (SELECT doc_id AS id, list_transform(string_split(substr(md5(doc_id::VARCHAR), 1, 12), ''), lambda h: CASE WHEN doc_id % 5 = 0 THEN 10 WHEN doc_id % 5 = 1 THEN 250 ELSE ('0x' || h)::INTEGER * 17 END) AS p FROM documents)"
+#: Stand-in of grey pictures: a value for each character of the text, darkened, brightened or as it is.
+_PX = "px AS (SELECT doc_id AS id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: CASE WHEN doc_id % 5 = 0 THEN least(ord(c), 255) // 4 WHEN doc_id % 5 = 1 THEN 255 - least(ord(c), 255) // 4 ELSE least(ord(c), 255) END) AS p FROM documents)"
 
 
-@query(f"WITH {_PX} SELECT id, CASE WHEN len(list_filter(p, lambda v: v <= 50)) / len(p) >= 0.9 THEN 'black' WHEN len(list_filter(p, lambda v: v >= 205)) / len(p) >= 0.9 THEN 'white' END AS tone, len(list_distinct(p)) = 1 AS plain FROM px")
+@query(f"WITH {_PX} SELECT id, CASE WHEN len(list_filter(p, lambda v: v <= 50)) / nullif(len(p), 0) >= 0.992 THEN 'black' WHEN len(list_filter(p, lambda v: v >= 205)) / nullif(len(p), 0) >= 0.992 THEN 'white' END AS tone, len(list_distinct(p)) = 1 AS plain FROM px")
 def image_rules(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
-    digits = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.conv(F.md5(d.cast("string")).substr(i, F.lit(1)), 16, 10).cast("int") * 17)
-    p = F.when(d % 5 == 0, F.array_repeat(F.lit(10), 12)).when(d % 5 == 1, F.array_repeat(F.lit(250), 12)).otherwise(digits)
+    grey = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), lambda c: F.least(F.ascii(c), F.lit(255)))
+    p = F.when(d % 5 == 0, F.transform(grey, lambda v: F.floor(v / 4).cast("int"))).when(d % 5 == 1, F.transform(grey, lambda v: F.lit(255) - F.floor(v / 4).cast("int"))).otherwise(grey)
     rows = table(spark, sf_dir, "documents").select(d.alias("id"), p.alias("p"))
-    return rows.select("id", cluster.image_shares("p").alias("tone"), cluster.one_colour("p").alias("plain"))
+    return rows.select("id", cluster.image_shares("p", threshold=0.992).alias("tone"), cluster.one_colour("p").alias("plain"))

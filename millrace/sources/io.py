@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import text as X
 
+DOCUMENT_ROWS = 100_000
 CATALOGUE = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("category_key", "name", "group", "terms_semantic")]
     + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("search_queries", "contrary_personas", "contrary_categories", "exclude_domains")]
@@ -30,9 +31,47 @@ def read_document(spark: SparkSession, path: str, schema: str | T.StructType) ->
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file, through Hadoop's file systems, with what it says in UTF-8."""
+    write_bytes(spark, text.encode(), path)
+
+
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_document(df: DataFrame, path: str) -> None:
-    """A small result as one pretty JSON document per partition, non-ASCII kept."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A result of at most DOCUMENT_ROWS rows as one file with one JSON document, indented by 4, non-ASCII kept; more rows are an error."""
+    rows = df.select(F.to_json(F.struct(*(f"`{c}`" for c in df.columns)), {"ignoreNullFields": "false"})).limit(DOCUMENT_ROWS + 1).collect()
+    if len(rows) > DOCUMENT_ROWS:
+        raise ValueError(f"a document holds at most {DOCUMENT_ROWS} rows; write JSON lines instead")
+    write_text(df.sparkSession, json.dumps([json.loads(r[0]) for r in rows], indent=4, ensure_ascii=False), path)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """Options of a stage from a YAML (if PyYAML is there) or JSON file."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("reading YAML needs PyYAML; JSON options need nothing") from e
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
+def measure_files(spark: SparkSession, paths: DataFrame, folder: str, path_col: str = "path") -> DataFrame:
+    """Rows (path, lines, characters) of every path asked for: lines that aren't blank, characters of the stripped text; 0 where there is no such file. Files are matched by their name below ``folder``."""
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_file"), F.col("value").alias("_text")).dropDuplicates(["_file"])
+    asked = paths.select(F.col(path_col).alias("path")).withColumn("_file", F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1))
+    joined = asked.join(found, "_file", "left")
+    return joined.select("path", F.coalesce(X.line_count(F.col("_text")), F.lit(0)).cast("long").alias("lines"), F.coalesce(X.char_count(F.col("_text")), F.lit(0)).cast("long").alias("characters"))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +83,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
+def read_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, height, width, channels, data) of decoded image files (PNG, JPEG and what else the JVM reads); a file that can't be decoded has a height of -1."""
+    rows = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    return rows.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
+
+
 def catalogue(spark: SparkSession, text: str) -> DataFrame:
     """The category catalogue from the text of its JSON document {key: {...}}: a few hundred rows at most."""
-    rows = [{"category_key": k, **{f.name: v.get(f.name) for f in CATALOGUE.fields[1:]}} for k, v in json.loads(text).items()]
+    rows = [{"category_key": k, **{f.name: v.get(f.name, (v.get("benchmark") or {}).get(f.name)) for f in CATALOGUE.fields[1:]}} for k, v in json.loads(text).items()]
     return spark.createDataFrame(rows, CATALOGUE)
 
 

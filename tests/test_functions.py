@@ -159,11 +159,13 @@ def test_halves_odd(spark):
 
 
 def test_distractors(spark):
-    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, category string, value string")
+    rows = spark.createDataFrame([(1, 0, "a", "x", 2, False, ""), (2, 0, "b", "y", 2, False, ""), (3, 1, "a", "q", 2, False, "no b"), (4, 0, "c", "w", 1, True, ""), (5, 0, "b", "x", 2, True, None)], "id long, variant int, category string, value string, need int, hard boolean, domain string")
     contrary = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "category string, other string")
     pool = spark.createDataFrame([("b", "x"), ("b", "z"), ("c", "w")], "category string, value string")
-    out = {r["id"]: r["options"] for r in qa.distractors(rows, contrary, pool, 2, "s").collect()}
-    assert out == {1: ["w", "z"]}  # never the gold value; too few categories leave row 2 out
+    excluded = spark.createDataFrame([("b", "no b")], "other string, domain string")
+    out = {r["id"]: sorted(r["options"]) for r in qa.options(rows, contrary, pool, "s", excluded).collect()}
+    # never the gold value; too few categories leave rows 2 and 3 out; 4 has no other value of its category
+    assert out == {1: ["w", "z"], 5: ["w", "z"]}
 
 
 def test_token_repair(spark):

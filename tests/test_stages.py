@@ -1,6 +1,9 @@
 """The stages over small files, with a stub for the model; images by their functions."""
 
 import json
+import struct
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.__main__ import main
 from millrace.functions import image
 from millrace.plans import stages
+from millrace.sources import io
 
 
 def lines(path, rows):
@@ -63,6 +67,111 @@ def test_split_assemble_and_format(spark, tmp_path):
     assert all([m["role"] for m in r["messages"]] == ["system", "user", "assistant"] for r in read(spark, tmp_path / "f"))
 
 
+def png(path, pixels):
+    raw = b"".join(b"\0" + bytes(row) for row in pixels)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_quality_filter_reads_images(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    rng = np.random.default_rng(1)
+    same = np.kron(rng.integers(0, 256, (8, 8)), np.ones((8, 8), int)).tolist()
+    for i in range(6):
+        png(tmp_path / "img" / f"{i}.png", same if i < 4 else [[255] * 64] * 64 if i == 4 else np.kron(rng.integers(0, 256, (8, 8)), np.ones((8, 8), int)).tolist())
+    (tmp_path / "img" / "6.png").write_bytes(b"no picture")
+    rows = [sample(i, code=f"(a{i}, b);") for i in range(8)]  # there is no file for the last one
+    limits = lines(tmp_path / "l.jsonl", [{"category_key": "tree", "lang_key": "newick"}])
+    paths = {"input": lines(tmp_path / "i.jsonl", rows), "limits": limits, "images": str(tmp_path / "img"), **{k: str(tmp_path / k) for k in ("output", "removed", "statistics")}}
+    stages.run("dataset filter", spark, paths)
+    assert sorted(r["input"]["id"] for r in read(spark, tmp_path / "output")) == ["0", "1", "2", "5"]
+    assert sorted((r["input"]["id"], r["reason"]) for r in read(spark, tmp_path / "removed")) == [("3", "copy_image"), ("4", "colour"), ("6", "image"), ("7", "image")]
+    seen = {r["path"].rpartition("/")[2]: r for r in image.examined(io.read_pictures(spark, str(tmp_path / "img"))).collect()}
+    assert (seen["0.png"]["width"], seen["0.png"]["height"], seen["4.png"]["colour"], seen["6.png"]["image_hash"]) == (64, 64, "white", None)
+    assert seen["0.png"]["image_hash"] == seen["3.png"]["image_hash"] != seen["5.png"]["image_hash"]
+
+
+def test_assemble_builds_questions(spark, tmp_path):
+    keys = ["tree", "circuit", "music"]
+    langs = {"tree": "newick", "circuit": "spice", "music": "abc"}
+
+    def row(i):
+        k = keys[i % 3]
+        base = sample(i)["input"] | {"category_key": k, "lang_key": langs[k], "category_name": k + "s", "persona": {"id": str(i), "persona": f"person {i}"}, "domain": "art" if i % 5 == 0 else None}
+        return sample(i, problem=f"p{i}", description=f"d{i}" if i % 4 else None, caption=f"c{i}", llm_user="u", llm_assistant="a") | {"id": str(i), "input": base, "statistics": '{"node_types": {"nodes": 5, "start_events": 2}}' if i % 6 else "{}"}
+
+    rows = [row(i) for i in range(60)]
+    benchmark = {"contrary_personas": keys, "contrary_categories": keys, "exclude_domains": []}
+    cats = {k: {"name": k, "benchmark": benchmark | {"contrary_personas": [x for x in keys + ["chess", "kg"] if x != k], "contrary_categories": [x for x in keys if x != k]}} for k in keys}
+    (tmp_path / "cats.json").write_text(json.dumps(cats))
+    src = lines(tmp_path / "i.jsonl", rows)
+    roles = ["qa_problem", "ps_description", "ps_caption", "llm_qa", "structural", "code_translate", "consistency"]
+    stages.run("dataset assemble", spark, {"categories": str(tmp_path / "cats.json"), "output": str(tmp_path / "a"), **dict.fromkeys(roles, src)})
+    out = read(spark, tmp_path / "a" / "all")
+    count = Counter(r["type"] for r in out)
+    assert count == {"qa_problem": 60, "description": 60, "captioning": 60, "qa_detail": 60, "structural": 50, "code": 30, "consistency": count["consistency"]}
+    assert 40 < count["consistency"] <= 60 and len(read(spark, tmp_path / "a" / "no_structural")) == 10
+    halves = [Counter(r["type"] for r in read(spark, tmp_path / "a" / f"half_{n}")) for n in (1, 2)]
+    assert halves[0] + halves[1] == count and halves[0]["code"] == 15
+    yes = [r for r in out if r["type"] == "consistency" and r["assistant"].startswith("Yes")]
+    assert yes and all(r["difficulty"] == "low" and (f"p{r['id']}\n" in r["user"] or f"d{r['id']}\n" in r["user"]) for r in yes)
+    assert {r["difficulty"] for r in out if r["type"] == "consistency"} == {"low", "high"}
+    assert all("nodes" in r["user"] and r["assistant"].startswith("5") for r in out if r["type"] == "structural")
+    assert all(r["assistant"].endswith(f"\n```\n(a,b{r['id']});\n```") for r in out if r["type"] == "code")
+
+
+def test_assemble_builds_associations(spark, tmp_path):
+    langs = ["newick", "spice", "abc", "fen", "dbml", "qasm"]
+    rows = [{"id": str(i), "input": {"category_key": f"k{i % 6}", "category_name": f"k{i % 6}s", "lang_key": langs[i % 6], "complexity": "low", "persona": {"persona": f"person {i}"}, "domain": "art" if i % 2 else None}, "caption": f"caption {i}"} for i in range(120)]
+    cats = {f"k{i}": {"name": "n", "benchmark": {c: [f"k{j}" for j in range(6) if j != i] for c in ("contrary_personas", "contrary_categories")} | {"exclude_domains": ["art"] if i < 2 else []}} for i in range(6)}
+    (tmp_path / "cats.json").write_text(json.dumps(cats))
+    src = lines(tmp_path / "i.jsonl", rows)
+    stages.run("dataset assemble", spark, {"categories": str(tmp_path / "cats.json"), "output": str(tmp_path / "a"), "association_persona": src, "association_caption": src})
+    out = [r for r in read(spark, tmp_path / "a" / "all")]
+    captions, personas = ([r for r in out if word in r["user"]] for word in ("caption ", "person "))
+    assert {r["difficulty"] for r in captions} == {"low", "medium", "high"} and {r["difficulty"] for r in personas} == {"low"}
+    home = lambda line: int(line.split()[-1]) % 6
+    for r in out:
+        shown = [x for x in r["user"].splitlines() if x[:1] == "("]
+        kinds = [home(x) for x in shown]
+        own = int(r["id"]) % 6
+        right = [x[1] for x in shown if int(x.split()[-1]) == int(r["id"])]
+        assert len(set(kinds)) == 4 - (r["difficulty"] == "medium") and r["assistant"].split("\n")[0] == (right[0] if right else "None")
+        assert (own in kinds) == (bool(right) or r["difficulty"] == "high")
+        if "person " in r["user"] and int(r["id"]) % 2:
+            assert not {0, 1} & {k for k, x in zip(kinds, shown) if x[1] not in right}
+
+
+def test_documents_files_and_options(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é"), (2, None)], "a int, b string")
+    io.write_document(df, str(tmp_path / "d.json"))
+    text = (tmp_path / "d.json").read_text(encoding="utf-8")
+    assert json.loads(text) == [{"a": 1, "b": "é"}, {"a": 2, "b": None}] and '\n        "b": "é"' in text
+    assert sorted(map(tuple, io.read_document(spark, str(tmp_path / "d.json"), "a int, b string").collect())) == [(1, "é"), (2, None)]
+    io.write_bytes(spark, b"\x00\xff", str(tmp_path / "x.bin"))
+    assert (tmp_path / "x.bin").read_bytes() == b"\x00\xff"
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.py").write_text("x\n\n  \ny = 1\n")
+    asked = spark.createDataFrame([("/else/a.py",), ("b.py",), (None,)], "path string")
+    assert sorted((r["path"] or "", r["lines"], r["characters"]) for r in io.measure_files(spark, asked, str(tmp_path / "f")).collect()) == [("", 0, 0), ("/else/a.py", 2, 11), ("b.py", 0, 0)]
+    (tmp_path / "o.json").write_text('{"cut": 3}')
+    assert io.read_config(spark, str(tmp_path / "o.json")) == {"cut": 3}
+    (tmp_path / "o.yaml").write_text("cut: 3\n")
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        with pytest.raises(ValueError):
+            io.read_config(spark, str(tmp_path / "o.yaml"))
+    else:
+        assert io.read_config(spark, str(tmp_path / "o.yaml")) == {"cut": 3}
+
+
+def test_repeated_ids_go_through_the_model_once_each(spark, tmp_path):
+    src = lines(tmp_path / "t.jsonl", [{"id": "1", "text": "a"}, {"id": "1", "text": "b"}, {"id": None, "text": "c"}])
+    stages.run("personas generate", spark, {"input": src, "output": str(tmp_path / "o")}, {"complete": lambda ps: [p[-1] for p in ps]})
+    assert sorted(r["persona"] for r in read(spark, tmp_path / "o")) == ["a", "b", "c"]
+
+
 def test_evaluation(spark, tmp_path):
     stages.run("eval codegen", spark, {"input": lines(tmp_path / "i.jsonl", [sample(i) for i in range(6)]), "output": str(tmp_path / "o")})
     assert spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "o" / "overall")).first()["n"] == "6"
