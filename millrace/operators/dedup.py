@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from millrace.functions import text as X
 from millrace.functions.lineage import cut as saved
 
+PARITY_LONGS = 8
+
 
 def duplicate_report(df: DataFrame, group: str, content: Column, order: str, cap: int) -> DataFrame:
     """A row for each content that repeats within its group: rank by copies, number, first row, rows beyond the cap, preview."""
@@ -18,29 +20,54 @@ def duplicate_report(df: DataFrame, group: str, content: Column, order: str, cap
 
 
 def word_sets(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, set): distinct words of each text, sorted; texts without words take no part."""
-    return df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(X.words(F.col(text_col)))).alias("set")).where(F.size("set") > 0)
+    """Rows (id, key, set): distinct words of each text, sorted, and a 128-bit hash of them; texts without words take no part."""
+    # as a table, since both the key and the rest read the set, and a filter on it would compute it again
+    rows = saved(df.where(X.nonblank(F.col(text_col))).select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(X.words(F.col(text_col)))).alias("set")), "word-sets")
+    return rows.select("id", F.md5(F.array_join("set", "\n")).alias("key"), "set")
+
+
+def parity(tokens: DataFrame) -> DataFrame:
+    """Rows (rep, bits) from rows (rep, w), w a hash: a bitmap of 64 * PARITY_LONGS bits in which each word flips the bit of its hash. Two bitmaps differ in no more bits than their sets in words."""
+    place = F.pmod("w", F.lit(64 * PARITY_LONGS)).cast("int")
+    rows = tokens.select("rep", F.shiftright(place, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63)).alias("bit"))
+    longs = [F.bit_xor(F.when(F.col("i") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(PARITY_LONGS)]
+    return rows.groupBy("rep").agg(*longs).select("rep", F.array(*(f"b{i}" for i in range(PARITY_LONGS))).alias("bits"))
 
 
 def similar_classes(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, links). Equal sets form a class (rep, set, members); links (a, b) are classes with Jaccard similarity of at least num / den.
+    """(classes, links). Equal sets form a class (key, rep, set, members); links (a, b) are classes with Jaccard similarity of at least num / den.
 
-    Exact by prefix filtering: with words in the order of rarity, two sets that similar share a word among the
-    first n - ceil(n * num / den) + 1, so only rare words are joined on; sizes are tested before the sets are.
+    Exact by filters that lose no link. Prefix: with words in the order of rarity, two similar sets share a word
+    among the first n - ceil(n * num / den) + 1, so only rare words are joined on. Sizes: similar sets lie in the
+    same or in neighbouring classes of sizes, which are part of the key, so a word that many prefixes have is split.
+    Position: the words left after a shared one bound the overlap. Parity: bitmaps that differ in too many bits
+    belong to sets that do. Only what is left after all four is compared word by word.
     """
-    classes = sets.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    classes = sets.groupBy("key").agg(F.min("id").alias("rep"), F.first("set").alias("set"), F.count("*").alias("members"))
     classes = saved(classes, "classes")
-    tokens = classes.select("rep", F.size("set").alias("n"), F.explode("set").alias("w"))
+    # words by a 64-bit hash; they are compared themselves at the end
+    tokens = classes.select("rep", F.size("set").alias("n"), F.explode("set").alias("w")).select("rep", "n", F.xxhash64("w").alias("w"))
     rarity = tokens.groupBy("w").agg(F.count("*").alias("df"))
-    by_rarity = tokens.join(rarity, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    by_rarity = tokens.join(rarity, "w").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
     keep = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    prefix = saved(by_rarity.select("rep", "n", F.explode(F.slice("ws", F.lit(1), keep.cast("int"))).alias("t")).where("t.df > 1").select("rep", "n", "t.w"), "prefix")
-    a, b = (prefix.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), "w") for x in "ab")
-    pairs = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)).select("a", "b").distinct()
+    prefix = by_rarity.select("rep", "n", F.posexplode(F.slice("ws", F.lit(1), keep.cast("int"))).alias("at", "t")).where("t.df > 1")
+    # sizes n <= m of similar sets have n * den >= m * num; a class spans that ratio, so m's is n's or the next
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) - 1e-9).cast("int") if num < den else F.col("n").cast("int")
+    prefix = saved(prefix.select("rep", "n", (F.col("n") - F.col("at")).alias("left"), F.col("t.w").alias("w"), size_class.alias("c")), "prefix")
+    b = prefix.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), "w", "c")
+    a = prefix.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), "w", F.explode(F.array("c", F.col("c") + 1, F.col("c") + 2)).alias("c"))
+    fits = (F.col("n_a") <= F.col("n_b")) & ((F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b"))) & (F.col("n_a") * den >= F.col("n_b") * num)
+    # an overlap of k words in n_a + n_b is similar enough if k * (num + den) >= (n_a + n_b) * num
+    enough = F.least("left_a", "left_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    pairs = a.join(b, ["w", "c"]).where(fits & enough).select("a", "b", "n_a", "n_b").distinct()
+    bits = saved(parity(tokens), "parity")
+    bits_a, bits_b = (bits.select(F.col("rep").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = pairs.join(bits_a, "a").join(bits_b, "b").where(differ * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
     left, right = (classes.select(F.col("rep").alias(x), F.col("set").alias(f"s_{x}")) for x in "ab")
     same = F.size(F.array_intersect("s_a", "s_b"))
-    links = pairs.join(left, "a").join(right, "b").where(same * den >= (F.size("s_a") + F.size("s_b") - same) * num).select("a", "b")
-    return classes, links
+    links = saved(pairs, "pairs").join(left, "a").join(right, "b").where(same * den >= (F.size("s_a") + F.size("s_b") - same) * num)
+    return classes, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def link_counts(df: DataFrame, num: int, den: int) -> DataFrame:
@@ -51,8 +78,8 @@ def link_counts(df: DataFrame, num: int, den: int) -> DataFrame:
     sizes = classes.select("rep", "members")
     both = links.select(F.col("a").alias("x"), F.col("b").alias("rep")).union(links.select(F.col("b").alias("x"), F.col("a").alias("rep")))
     outside = both.join(sizes, "rep").groupBy("x").agg(F.sum("members").alias("outside"))
-    per_class = classes.join(outside, classes["rep"] == outside["x"], "left").select("set", "rep", (F.col("members") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"))
-    return sets.join(per_class, "set").select(F.col("id").alias("doc_id"), F.size("set").cast("long").alias("n_tokens"), F.col("rep").alias("class_id"), "n_links")
+    per_class = classes.join(outside, classes["rep"] == outside["x"], "left").select("key", "rep", (F.col("members") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"))
+    return sets.join(per_class, "key").select(F.col("id").alias("doc_id"), F.size("set").cast("long").alias("n_tokens"), F.col("rep").alias("class_id"), "n_links")
 
 
 def greedy_keep_first(df: DataFrame, num: int, den: int) -> DataFrame:
@@ -73,7 +100,7 @@ def greedy_keep_first(df: DataFrame, num: int, den: int) -> DataFrame:
         left = open_.join(kept, open_["a"] == kept["x"], "left_anti")
         left = left.join(out, left["a"] == out["x"], "left_anti").join(out, F.col("b") == out["x"], "left_anti")
         open_ = saved(left, "links")
-    decided = sets.join(classes.select("set", "rep"), "set").select(F.col("id").alias("doc_id"), "rep")
+    decided = sets.join(classes.select("key", "rep"), "key").select(F.col("id").alias("doc_id"), "rep")
     if gone is not None:
         decided = decided.join(gone.withColumnRenamed("x", "rep").withColumn("gone", F.lit(True)), "rep", "left")
     else:
