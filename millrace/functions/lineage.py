@@ -35,6 +35,13 @@ def cut(df: DataFrame, hint: str = "t", result: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, hint: str) -> str:
+    """A new path in the shared folder, deleted at exit."""
+    path = f"{shared_dir(spark)}/millrace-{hint}-{uuid.uuid4().hex}"
+    _results.append((spark, path))
+    return path
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes at its end what was cut inside."""

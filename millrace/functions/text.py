@@ -37,6 +37,11 @@ def char_count(c: Column) -> Column:
     return F.coalesce(F.length(strip(c)), F.lit(0))
 
 
+def examples(texts: Column) -> Column:
+    """Texts as Example 1:, Example 2: and so on, a blank line between them."""
+    return F.array_join(F.transform(texts, lambda x, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), x)), "\n\n")
+
+
 def capitalize(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import stablerand as R
-from millrace.operators import assign, cluster, vector
+from millrace.functions import text as X
+from millrace.functions.lineage import shared_path
+from millrace.operators import assign, cluster, index, vector
 from millrace.plans.base import pick_sql, query, table
 
 _VEC = """v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS vec FROM embeddings),
@@ -143,6 +145,26 @@ def cluster_sample(spark, sf_dir) -> DataFrame:
     return vector.quota(rows, "label", [R.key("sample", F.col("id"))], 10).select("label", "id")
 
 
+@query(
+    """SELECT label, count(*) AS n, md5(string_agg(concat('Example ', r, ':', chr(10), 'vector ', id), chr(10) || chr(10) ORDER BY r)) AS prompt
+FROM (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', 'sample', vec_id))) AS r FROM embeddings WHERE label <> -1) WHERE r <= 10 GROUP BY label"""
+)
+def cluster_examples(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where("label <> -1").select("label", F.col("vec_id").alias("id"))
+    rows = vector.quota(rows, "label", [R.key("sample", F.col("id"))], 10)
+    listed = rows.groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("place", F.concat(F.lit("vector "), F.col("id").cast("string")).alias("t")))).alias("r"))
+    return listed.select("label", "n", F.md5(X.examples(F.col("r.t"))).alias("prompt"))
+
+
+@query(f"WITH {_VEC} SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT v.id, q.id AS query_id, round(list_dot_product(v.vec, q.vec), 6) AS score FROM v JOIN v q ON q.id % 50 = 0)) WHERE rank <= 5")
+def vector_index_search(spark, sf_dir) -> DataFrame:
+    """The saved index, all lists probed."""
+    rows = _corpus(spark, sf_dir).select("id", "vec")
+    found = index.build(rows, shared_path(spark, "index"), 8)
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    return index.search(found, queries, 5).select("query_id", "rank", "id", "score")
+
+
 @query("SELECT vec_id AS id, CASE WHEN label % 4 = 3 THEN 'None' ELSE concat('group ', label) END AS summary FROM embeddings")
 def cluster_label_join(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 4 == 3, -1).otherwise(F.col("label")).alias("label"))

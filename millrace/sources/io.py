@@ -36,10 +36,39 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     write_bytes(spark, text.encode(), path)
 
 
-def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+def _file(spark: SparkSession, path: str):
+    """(Hadoop's file system, its path) of a path."""
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file(spark, path)
+    return system.exists(target)
+
+
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    system, target = _file(spark, path)
+    system.mkdirs(target)
+
+
+def prepend_line(spark: SparkSession, path: str, line: str) -> None:
+    """Puts a line before the first of a small file."""
+    old = spark.read.text(path, wholetext=True).first()
+    write_text(spark, f"{line}\n{old[0] if old else ''}", path)
+
+
+def remove_files(spark: SparkSession, folder: str, suffix: str) -> int:
+    """Deletes the files of a folder whose names end so; how many there were."""
+    system, target = _file(spark, folder)
+    found = [s.getPath() for s in (system.listStatus(target) if system.exists(target) else []) if s.isFile() and s.getPath().getName().endswith(suffix)]
+    return sum(system.delete(f, False) for f in found)
+
+
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    system, target = _file(spark, path)
+    out = system.create(target, True)
     try:
         out.write(bytearray(data))
     finally:

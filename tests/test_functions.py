@@ -1,11 +1,15 @@
 """Hand-written cases of the helpers: blanks, nulls, absent terms, ties."""
 
+from collections import defaultdict
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import stablerand as R
 from millrace.functions import text as X
-from millrace.operators import assign, cluster, dedup, evaluate, filters, generate, qa, split, vector
+from millrace.operators import assign, cluster, dedup, evaluate, filters, generate, index, qa, split, vector
+from millrace.sources import io
 
 
 def one(spark, column, **values):
@@ -224,3 +228,38 @@ def test_placed_equals_a_plain_rank(spark):
     w = Window.partitionBy("k")
     want = {tuple(r) for r in rows.select("id", F.row_number().over(w.orderBy("o")), F.count("*").over(w)).collect()}
     assert {(r["id"], r["rn"], r["n"]) for r in split.placed(rows, ["k"], "o", "rn", "n").collect()} == want
+
+
+def test_index(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 16))
+    v = centres[rng.integers(0, 6, 600)] + 0.2 * rng.normal(size=(600, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    want = {q: set(np.lexsort((np.arange(600), -(v @ v[q]).round(6)))[:10].tolist()) for q in range(0, 600, 50)}
+    index.build(rows, str(tmp_path / "i"), 6)
+    found = index.load(spark, str(tmp_path / "i"))
+    assert found.lists == 6 and found.rows.count() == 600
+    for probes, least in ((None, 1.0), (2, 0.9)):
+        got = defaultdict(set)
+        for r in index.search(found, queries, 10, probes).collect():
+            got[r["query_id"]].add(r["id"])
+        assert sum(len(got[q] & want[q]) for q in want) >= least * 10 * len(want)
+    flat = index.build(rows, str(tmp_path / "flat"))
+    assert flat.lists == 1 and index.search(flat, queries, 3).count() == 36
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        index.build(rows.where("false"), str(tmp_path / "empty"))
+
+
+def test_file_helpers(spark, tmp_path):
+    io.ensure_folder(spark, str(tmp_path / "a" / "b"))
+    assert (tmp_path / "a" / "b").is_dir()
+    io.write_text(spark, "two\n", str(tmp_path / "a" / "x.txt"))
+    io.prepend_line(spark, str(tmp_path / "a" / "x.txt"), "one é")
+    assert (tmp_path / "a" / "x.txt").read_text(encoding="utf-8") == "one é\ntwo\n"
+    io.write_text(spark, "", str(tmp_path / "a" / "y.log"))
+    assert io.remove_files(spark, str(tmp_path / "a"), ".log") == 1 and io.remove_files(spark, str(tmp_path / "no"), ".log") == 0
+    assert (tmp_path / "a" / "x.txt").exists() and not (tmp_path / "a" / "y.log").exists()
