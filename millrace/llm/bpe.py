@@ -285,7 +285,7 @@ def lexicon_image(docs: DataFrame, tokenizer_path: str, share: float = SHARE) ->
         counts = cut(count_words(docs).where("word IS NULL OR n > 1"), "words")
         total = counts.where("word IS NULL").first()
         frequent = counts.where(F.col("word").isNotNull() & (F.octet_length("word") <= WORD_BYTES) & (F.col("n") >= share * (total["n"] if total else 0)))
-        listed = [w for w in frequent.select("word").toPandas()["word"] if not _ODD.search(w)]
+        listed = [w for w in frequent.select("word").toArrow().column(0).to_pylist() if not _ODD.search(w)]
     return build_image({w.encode(): ids for w, ids in zip(listed, vocabulary(tokenizer_path)[1].words(listed), strict=True)})
 
 

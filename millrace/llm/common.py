@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,14 @@ from pyspark.sql import functions as F
 from millrace.functions.lineage import cut, release, scratch, shared_dir
 from millrace.session import ship
 
-__all__ = ["cut", "is_held_out", "ready", "release", "scratch", "shared_dir", "table", "tidy"]
+__all__ = ["columns", "cut", "is_held_out", "ready", "release", "scratch", "shared_dir", "table", "tidy"]
 
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ready(spark: SparkSession) -> None:
-    """Makes the session fit for whole texts: workers can import the package, and an Arrow batch holds at most BATCH_ROWS rows, as both the JVM and the worker hold a batch whole."""
+    """Makes the session fit for whole texts: workers can import the package, and an Arrow batch holds at most BATCH_ROWS rows, as both the JVM and the worker hold a batch whole. The option stays set: results are lazy, and read it when they run."""
     ship(spark)
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
@@ -40,6 +41,12 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
+def columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded frame of numbers; it reaches the driver in Arrow batches, not as rows."""
+    found = df.toArrow()
+    return [found.column(i).to_numpy() for i in range(found.num_columns)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, is_held_out, ready, scratch, tidy
+from millrace.llm.common import columns, cut, is_held_out, ready, scratch, tidy
 from millrace.llm.lexical import Marked, longs, lookup, mixed, words_of
 
 SIZES = (4, 3, 2, 1)
@@ -140,17 +140,16 @@ def _train(docs: DataFrame) -> Model:
             break
         share *= 2
     number = counts.sparkSession.createDataFrame(list(enumerate(languages)), "language int, lang string")
-    found = entries.join(F.broadcast(number), "lang").select("kind", "key", "language", "n").toPandas()  # at most MODEL_ENTRIES rows
+    kinds, keys, codes, counted = columns(entries.join(F.broadcast(number), "lang").select("kind", "key", "language", "n"))  # at most MODEL_ENTRIES rows
     tables: dict[int, Table] = {}
-    for kind, part in found.groupby("kind"):
-        key = part["key"].to_numpy().view(np.uint64)
-        language = part["language"].to_numpy()
-        order = np.lexsort((language, key))
-        key, language, n = key[order], language[order], part["n"].to_numpy(float)[order]
-        total = np.array([sums.get((lang, int(kind)), 0) for lang in languages], float)
+    for kind in np.unique(kinds).tolist():
+        part = np.flatnonzero(kinds == kind)
+        part = part[np.lexsort((codes[part], keys[part].view(np.uint64)))]
+        key, language, n = keys[part].view(np.uint64), codes[part], counted[part].astype(float)
+        total = np.array([sums.get((lang, kind), 0) for lang in languages], float)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         more = (np.log(n + 0.1) - np.log(0.1)).astype(np.float32)
-        tables[int(kind)] = Table(key[new], np.append(new, len(key)), language.astype(np.int32), more, np.log(0.1 / (total + 1)))
+        tables[kind] = Table(key[new], np.append(new, len(key)), language.astype(np.int32), more, np.log(0.1 / (total + 1)))
     return Model(languages, tables)
 
 

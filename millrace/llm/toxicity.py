@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, is_held_out, ready, scratch, tidy
+from millrace.llm.common import columns, cut, is_held_out, ready, scratch, tidy
 from millrace.llm.lexical import Marked, id_share, longs, lookup, mixed, words_of
 
 HISTORY = 5
@@ -192,10 +192,9 @@ def _train_counts(rows: DataFrame) -> Model:
 
     if grams.count() > WHOLE:
         ratios, others = cut(ratios, "ratios", result=True), cut(others, "others", result=True)
-        table = ratios.where("frequent").toPandas()  # at most 2 / SHARE rows
-        return Model(*ordered(table["g"], table["llr"]), *ordered([], []), rest=(ratios.select("g", "llr"), others))
-    table, other = ratios.toPandas(), others.toPandas()  # at most WHOLE rows, and no more histories
-    return Model(*ordered(table["g"], table["llr"]), *ordered(other["h"], other["llr"]))
+        table = columns(ratios.where("frequent").select("g", "llr"))  # at most 2 / SHARE rows
+        return Model(*ordered(*table), *ordered([], []), rest=(ratios.select("g", "llr"), others))
+    return Model(*ordered(*columns(ratios.select("g", "llr"))), *ordered(*columns(others)))  # at most WHOLE rows, and no more histories
 
 
 def fit_curve(figure: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -290,10 +289,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     fold = id_share(F.col("doc_id"), "curve", parts)
     model = train_counts(rows.where(fold != 0))
     if model.constant is None:
-        sample = score_rows(rows.where(fold == 0), model, ["toxic"]).select("figure", "toxic").toPandas()  # about CALIBRATION_ROWS at most
-        toxic = (sample["toxic"].to_numpy() > 0).astype(int)
+        figure, toxic = columns(score_rows(rows.where(fold == 0), model, ["toxic"]).select("figure", "toxic"))  # about CALIBRATION_ROWS at most
+        toxic = (toxic > 0).astype(int)
         if 0 < toxic.sum() < len(toxic):
-            model.slope, model.middle = fit_curve(sample["figure"].to_numpy(), toxic)
+            model.slope, model.middle = fit_curve(figure, toxic)
     return model
 
 
