@@ -15,7 +15,7 @@ whole by the vocabulary's own pipeline. Each worker finds these characters by tr
 meets, once, in PLACES.
 
 Defined results: a null or empty text has no ids and the digests of the empty string; texts of any length are
-coded whole, word by word; equal texts get equal
+coded whole, those with words of more than LONGEST_WORD characters by the vocabulary's pipeline; equal texts get equal
 rows; repeated rows and null ids are kept; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -45,6 +45,7 @@ WORD_BYTES = 48
 MEMO_WORDS = 200_000
 FLUSH_WORDS = 400_000
 NEVER = 2**31 - 1
+LONGEST_WORD = 1000  # merging side by side takes a step for each merge of the longest word
 PLACES = ("a@b", "@\u0323\u0301")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -346,6 +347,7 @@ class Coder:
     def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(decimal ids, decoded text) of each text, both joined by single blanks as the vocabulary, which has no decoder, does."""
         split = [split_words(t) if self.is_plain(t) else None for t in texts]
+        split = [words if words and max(map(len, words)) <= LONGEST_WORD else words and None for words in split]
         at = 0
         while at < len(texts):  # as many texts as the memo holds words of
             need: set[str] = set()

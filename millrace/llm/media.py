@@ -5,7 +5,8 @@ encoder picks a filter for each row, deflates the rows into IDAT chunks and seal
 checksum. The decoder tests every checksum, inflates, and undoes the five row filters with numpy. The
 fingerprint is the sign pattern of the 63 lowest cosine frequencies of the image shrunk to 32 x 32 grey.
 
-Defined results: a null or empty text is one row of blanks; equal texts give equal images and prints;
+Defined results: a null or empty text is one row of blanks; texts of any length are stored whole, one image
+each (PNG allows 2 ** 31 - 1 rows); equal texts give equal images and prints;
 repeated rows and null ids are kept as they are; extra columns are ignored; an empty table gives no rows.
 """
 

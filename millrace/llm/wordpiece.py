@@ -10,7 +10,8 @@ greedily: the first among the pieces that begin with a blank, the others among t
 that fits. Every single byte is a piece, so every word can be cut; if a vocabulary lacks one, the whole
 word counts as one unknown piece.
 
-Defined results: a null or empty text has no words and no tokens; repeated rows and null ids are kept; extra
+Defined results: a null or empty text has no words and no tokens; texts and words of any length are counted
+whole, byte by byte; repeated rows and null ids are kept; extra
 columns are ignored; an empty table gives no rows.
 """
 

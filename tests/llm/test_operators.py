@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -659,6 +660,31 @@ def test_drop_substrings_keeps_columns(docs):
     assert rows[12]["text"] == ""
 
 
+def test_very_long_texts(spark):
+    """Texts of megabytes, whole: many words, one word, blanks."""
+    long = prose(100_000, 950)
+    words = long.split()
+    rows = [(1, long), (2, "pre " + " ".join(words[40_000:90_000]) + " post"), (3, "x" * 400_000), (4, " \n" * 600_000), (5, "a" + " " * 500_000 + "b")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    texts = dict(rows)
+    by = lambda out: {r["doc_id"]: r for r in out.collect()}
+    for i, r in by(media.media_digest(df)).items():
+        payload = media.pad_payload(texts[i].encode())
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(texts[i].encode()), len(payload), hashlib.sha256(payload).hexdigest())
+    removed = by(substring.substring_dedup(df))
+    assert {i: r["n_removed"] for i, r in removed.items()} == {1: 0, 2: 50_000, 3: 0, 4: 0, 5: 0}
+    assert {i: r["n_shingles"] for i, r in by(neardup.near_duplicates(df, 85)).items()} == {i: n for i, (n, _) in brute_components(texts, 85).items()}
+    slow = packing.library_encoder(registry.tokenizer_file("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(df, registry.tokenizer_file("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"))
+    assert {r["doc_id"]: r["n"] for r in pieces.collect()} == {i: len(slow(t)) + 1 for i, t in rows}
+    whole = bpe.vocabulary(registry.tokenizer_file("word_bpe_49k.json"))[0]
+    assert {i: r["n_tokens"] for i, r in by(bpe.code_documents(df, registry.tokenizer_file("word_bpe_49k.json"))).items()} == {i: len(whole.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert {i: r["n_words"] for i, r in by(wordpiece.count_tokens(df, registry.tokenizer_file("byte_bpe_50k.json"))).items()} == {i: len(t.split()) for i, t in rows}
+    assert sum(r["size"] for r in sharding.shard_documents(df, 8).collect()) == sum(len(t.encode()) + 1 for t in texts.values())
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    assert len(by(toxicity.score_toxicity(df, labels))) == len(by(langid.identify_documents(df))) == 5
+
+
 # 9 toxicity
 
 
@@ -829,7 +855,11 @@ def test_languages(spark, empty):
 
 
 def brute_language(rows, text):
-    """(language, score) by plain dictionaries of words and n-grams."""
+    return brute_languages(rows, [text])[0]
+
+
+def brute_languages(rows, texts):
+    """(language, score) of each text by plain dictionaries of words and n-grams."""
     counts = defaultdict(lambda: defaultdict(lambda: defaultdict(int)))
 
     def grams(w, n):
@@ -849,6 +879,7 @@ def brute_language(rows, text):
         by = counts[n].get(key, {})
         return any(by.get(lang, 0) >= langid.SHARE * total[n, lang] and by.get(lang, 0) > (n == 0) for lang in languages)
 
+    @lru_cache(maxsize=None)
     def logs(w):
         for n, keys in [(0, [w])] + [(n, grams(w, n)) for n in langid.SIZES]:
             found = [k for k in keys if known(n, k)]
@@ -856,12 +887,15 @@ def brute_language(rows, text):
                 return [np.mean([np.log((counts[n][k][lang] + 0.1) / (total[n, lang] + 1)) for k in found]) for lang in languages]
         return [0.0] * len(languages)
 
-    words = lexical.words_of(text)
-    if not words:
-        return "und", 0.0
-    sums = np.array([logs(w) for w in words]).sum(axis=0)
-    share = np.exp((sums - sums.max()) / max(1.0, np.sqrt(len(words))))
-    return languages[int(sums.argmax())], 1 / share.sum()
+    def told(text):
+        words = lexical.words_of(text)
+        if not words:
+            return "und", 0.0
+        sums = np.array([logs(w) for w in words]).sum(axis=0)
+        share = np.exp((sums - sums.max()) / max(1.0, np.sqrt(len(words))))
+        return languages[int(sums.argmax())], 1 / share.sum()
+
+    return [told(t) for t in texts]
 
 
 def test_languages_against_brute_force(spark):

@@ -1,9 +1,12 @@
 """The pipeline's stages follow the operators on their own input; the registered queries run."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import test_operators as brute
 from millrace.llm import neardup, registry, substring, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +38,42 @@ def test_stages(spark, tmp_path):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
+def test_stages_against_brute_force(spark):
+    """Language, near duplicates and substrings on documents of all kinds; repeated ids and rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000")
+    rows = [r.asDict() for r in docs.collect()]
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    again = spark.createDataFrame([tuple(rows[0].values()), tuple(rows[1].values()), (None, "unnumbered words", "en", "s", 16), (10**9, None, "en", "s", 0)], docs.schema)
+    more = docs.union(again)
+
+    training = [(r["lang"], brute.lexical.words_of(r["text"])) for r in rows if r["lang"] and not brute.crc_held_out(r["doc_id"])]
+    training += [(r["lang"], brute.lexical.words_of(r["text"])) for r in rows[:2] if r["lang"] and not brute.crc_held_out(r["doc_id"])] + [("en", ["unnumbered", "words"])]
+    told = brute.brute_languages(training, [r["text"] for r in more.collect()])
+    want = sorted(str(r["doc_id"]) for r, (lang, score) in zip(more.collect(), told, strict=True) if lang != "und" and score >= 0.5)
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.language_stage(spark, more, SF).collect()) == want
+
+    parts = brute.brute_components(texts, 80)
+    left = [str(r["doc_id"]) for r in rows + rows[:2] if parts[r["doc_id"]][1] == r["doc_id"]]
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicate_stage(spark, more, SF).collect()) == sorted([*left, "None", str(10**9)])
+
+    cut = brute.brute_substrings(texts, 50)
+    for r in corpus_pipeline.substring_stage(spark, more, SF).collect():
+        if r["doc_id"] in texts:
+            n, removed, sha = cut[r["doc_id"]]
+            assert len(r["text"].encode().split()) == n - removed
+            if removed:
+                assert hashlib.sha256(r["text"].encode()).hexdigest() == sha and r["n_chars"] == len(r["text"])
+            else:
+                assert r["text"] == texts[r["doc_id"]]
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
 def test_run_equals_stages_in_number(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
