@@ -265,14 +265,14 @@ def _finer(contexts: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _by_automaton(contexts: DataFrame, window: int) -> DataFrame:
-    """Rows (doc_id, tk, s, e): spans of words that an earlier document's context of the same anchor holds."""
+    """Rows (doc_id, tk, spans): spans of words that an earlier document's context of the same anchor holds."""
     rows = contexts.select("fp", "doc_id", "tk", "words", "spans").repartition("fp").sortWithinPartitions("fp", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = owner = None
         automaton, names, waiting = SuffixAutomaton(), {}, []
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [])
             for fp, doc_id, tk, words, places in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if fp != anchor:
                     anchor, owner, automaton, names, waiting = fp, doc_id, SuffixAutomaton(), {}, []
@@ -282,16 +282,17 @@ def _by_automaton(contexts: DataFrame, window: int) -> DataFrame:
                     owner, waiting = doc_id, []
                 coded = [names.setdefault(w, len(names)) for w in words.split(b" ")]
                 spans, held = automaton.spans(coded, window)
-                for r in places:
-                    for s, e in spans:
-                        more = r["e"] - r["s"] - len(coded)  # of one window that stands at several places in a row
-                        for column, value in zip(out, (doc_id, tk, r["s"] + s, r["s"] + e + more), strict=True):
-                            column.append(value)
+                if spans:
+                    # a window that stands at several places in a row is longer than its words
+                    found = [{"s": r["s"] + s, "e": r["e"] - len(coded) + e} for r in places for s, e in spans]
+                    for column, value in zip(out, (doc_id, tk, found), strict=True):
+                        column.append(value)
                 if held <= len(coded) - window:  # spans that cover it can still miss windows where they overlap
                     waiting.append(coded)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "tk", "s", "e"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "tk", "spans"])
 
-    return rows.mapInArrow(tidy(run), "doc_id long, tk long, s int, e int")
+    return rows.mapInArrow(tidy(run), "doc_id long, tk long, spans array<struct<s:int,e:int>>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -300,13 +301,13 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _spans(contexts: DataFrame, window: int, grams: list[int], words: int) -> DataFrame:
-    """Rows (doc_id, tk, s, e) of all words that an earlier document's windows cover."""
+    """Rows (doc_id, tk, spans), some of them empty, of all words that an earlier document's windows cover."""
     found = []
     for gram in [*grams, None]:
         contexts = cut(contexts, "contexts")
-        classes = cut(contexts.groupBy("fp", "c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n").alias("size")), "classes")
-        again = contexts.drop("words").join(classes.where("first < last").select("fp", "c1", "c2", "first"), ["fp", "c1", "c2"]).where("doc_id > first")
-        found.append(again.select("doc_id", "tk", F.explode("spans").alias("r")).select("doc_id", "tk", "r.s", "r.e"))
+        classes = cut(contexts.groupBy("fp", "c1", "c2").agg(F.min("doc_id").alias("first"), F.first("n").alias("size")), "classes")
+        again = contexts.drop("words").join(classes.drop("size"), ["fp", "c1", "c2"])
+        found.append(again.select("doc_id", "tk", F.when(F.col("doc_id") > F.col("first"), F.col("spans")).otherwise(F.slice("spans", 1, 0)).alias("spans")))
         several = cut(classes.groupBy("fp").agg(F.count("*").alias("classes"), F.sum("size").alias("shard")).where("classes > 1").select("fp", "shard"), "several")
         if several.isEmpty():
             break
@@ -374,7 +375,7 @@ def _substring_dedup(docs: DataFrame, window: int, gram: int, words: int) -> Dat
     wanted = cut(runs.join(_shared(runs), "fp").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("fp", "lo", "hi")).alias("at")), "wanted")
     contexts = _contexts(_only(docs, wanted.select("doc_id", "tk")).join(wanted, ["doc_id", "tk"]), window)
     spans = _spans(contexts, window, [n for n in (2 * gram,) if n < window] + [window], words)
-    spans = cut(spans.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    spans = cut(spans.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")).where(F.size("spans") > 0), "spans")
     removed = _removed(_only(docs, spans.select("doc_id", "tk")).join(spans, ["doc_id", "tk"]).select("doc_id", "tk", "text", "spans"))
     out = profile.select("doc_id", "tk", "n_words", "sha", (F.col("copy") & (F.col("n_words") >= window)).alias("gone")).join(removed, ["doc_id", "tk"], "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
