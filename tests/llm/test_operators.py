@@ -252,7 +252,8 @@ def test_bpe_equals_library(docs, empty):
 
 def test_bpe_equals_library_on_every_character():
     coder = bpe.Coder(bpe.build_image({}), registry.tokenizer_file("word_bpe_49k.json"))
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # all of the planes that have characters; the others are unassigned or private throughout
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x40000 or c >> 16 == 14 or c % 50 == 0)]
     for at in range(0, len(every), 20_000):
         part = every[at : at + 20_000]
         plain = [c for c in part if c == "\n" or coder.is_plain(c)]
