@@ -75,8 +75,26 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.runs import run_digest
+
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.merkle import proof_digest
+
+    return proof_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.hmm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_neardup, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts, op8_substrings, op9_toxicity, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_neardup, op3_bpe, op4_sharding, op5_packing, op6_topk, op7_token_counts, op8_substrings, op9_toxicity, op10_langid, op11_runs, op12_manifest, op13_lm)}
 
 
 OP6_SQL = """
@@ -136,5 +154,46 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 """
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text that isn't null, bit by bit."""
+    step = "list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), lambda a, c: {step}), 4294967295)"
+
+
+def _fields_sql(*fields: str) -> str:
+    return "sha256(concat(" + ", ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE concat(strlen({f}::VARCHAR), ':', {f}) END" for f in fields) + "))"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE leaf AS (
+    SELECT doc_id, lang, {_fields_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+           CASE WHEN coalesce({crc32_sql("doc_id::VARCHAR")} % 7 = 0, false) THEN {_fields_sql("doc_id", "source", "lang", "(n_chars + 1)", "text")} END AS raised FROM documents
+), n AS (
+    SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) AS tree FROM leaf GROUP BY lang
+), numbered AS (
+    SELECT doc_id, leaf, coalesce(raised, leaf) AS shown, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf JOIN n ON leaf.lang IS NOT DISTINCT FROM n.lang
+), node AS (
+    SELECT tree, 0 AS level, pos, n, leaf AS h FROM numbered
+    UNION ALL SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, level, pos // 2, n
+), sub AS (
+    SELECT tree, h AS subroot FROM node WHERE n = 1
+), top AS (
+    SELECT 0 AS tree, 0 AS level, tree - 1 AS pos, (SELECT count(*) FROM sub) AS n, subroot AS h FROM sub
+    UNION ALL SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY tree, level, pos // 2, n
+), every AS (
+    SELECT * FROM node UNION ALL SELECT * FROM top
+), step AS (
+    SELECT doc_id, tree AS home, pos AS place, shown AS h, '' AS proof, tree, 0 AS level, pos, n FROM numbered
+    UNION ALL
+    SELECT s.doc_id, s.home, s.place, CASE WHEN s.n = 1 THEN s.h WHEN e.h IS NULL THEN sha256(s.h) WHEN s.pos % 2 = 1 THEN sha256(concat(e.h, s.h)) ELSE sha256(concat(s.h, e.h)) END,
+           concat(s.proof, CASE WHEN s.n > 1 THEN e.h END), CASE WHEN s.n = 1 THEN 0 ELSE s.tree END, CASE WHEN s.n = 1 THEN 0 ELSE s.level + 1 END,
+           CASE WHEN s.n = 1 THEN s.tree - 1 ELSE s.pos // 2 END, CASE WHEN s.n = 1 THEN (SELECT count(*) FROM n) ELSE (s.n + 1) // 2 END
+    FROM step s LEFT JOIN every e ON e.tree = s.tree AND e.level = s.level AND e.pos = xor(s.pos, 1) WHERE s.tree > 0 OR s.n > 1
+)
+SELECT d.doc_id, d.leaf, sub.subroot, r.h AS root, sha256(s.proof) AS proof_sha256, s.h AS folded_root, s.h = r.h AS verified
+FROM numbered d JOIN sub ON d.tree = sub.tree JOIN (SELECT h FROM top WHERE n = 1) r ON true JOIN (SELECT * FROM step WHERE tree = 0 AND n = 1) s ON s.home = d.tree AND s.place = d.pos
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": OP2_SQL, "op6_topk": OP6_SQL, "op8_substrings": OP8_SQL}
+    return {"op2_neardup": OP2_SQL, "op6_topk": OP6_SQL, "op8_substrings": OP8_SQL, "op12_manifest": OP12_SQL}
