@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from millrace.functions import stablerand as R
 from millrace.functions import text as X
 from millrace.functions.lineage import shared_path
-from millrace.operators import assign, cluster, index, vector
+from millrace.operators import assign, cluster, embed, index, vector
 from millrace.plans.base import pick_sql, query, table
 
 _VEC = """v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS vec FROM embeddings),
@@ -158,13 +158,34 @@ def cluster_examples(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_VEC} SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT v.id, q.id AS query_id, round(list_dot_product(v.vec, q.vec), 6) AS score FROM v JOIN v q ON q.id % 50 = 0)) WHERE rank <= 5")
 def vector_index_search(spark, sf_dir) -> DataFrame:
-    """The saved index, all lists probed."""
+    """The saved index, exact: lists whose bound can't reach the k-th score stay closed."""
     rows = _corpus(spark, sf_dir).select("id", "vec")
     found = index.build(rows, shared_path(spark, "index"), 8)
     queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
     return index.search(found, queries, 5).select("query_id", "rank", "id", "score")
 
 
+@query()
+def vector_index_probed(spark, sf_dir) -> DataFrame:
+    """The saved index, as many lists as were measured to find enough; no SQL, as the result is approximate (tests state its recall)."""
+    rows = _corpus(spark, sf_dir).select("id", "vec")
+    found = index.build(rows, shared_path(spark, "index"), 8)
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    return index.search(found, queries, 5, found.probes).select("query_id", "rank", "id", "score")
+
+
+@query()
+def neighbour_graph(spark, sf_dir) -> DataFrame:
+    """About the 15 nearest others of every vector, by NN-descent; no SQL, as the result is approximate (tests state its recall)."""
+    return embed.neighbours(_corpus(spark, sf_dir).select("id", "vec"))
+
+
+@query()
+def neighbour_embedding(spark, sf_dir) -> DataFrame:
+    """Two dimensions for every vector; no SQL, as it is an iterated layout (tests state how many neighbours it keeps)."""
+    return embed.embed(_corpus(spark, sf_dir).select("id", "vec")).withColumnRenamed("id", "vec_id")
+
+
 @query("SELECT vec_id AS id, CASE WHEN label % 4 = 3 THEN 'None' ELSE concat('group ', label) END AS summary FROM embeddings")
 def cluster_label_join(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 4 == 3, -1).otherwise(F.col("label")).alias("label"))
