@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder; nothing where there is none."""
+    system, target = _file(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
+def put(spark: SparkSession, text: str, path: str) -> bool:
+    """Makes a small file whole or not at all; False, and nothing done, where there is one already."""
+    system, target = _file(spark, path)
+    part = f"{target.getParent()}/.{target.getName()}.{uuid.uuid4().hex}"
+    write_text(spark, text, part)
+    done = not system.exists(target) and system.rename(_file(spark, part)[1], target)
+    if not done:
+        system.delete(_file(spark, part)[1], False)
+    return done
+
+
 def ensure_folder(spark: SparkSession, path: str) -> None:
     system, target = _file(spark, path)
     system.mkdirs(target)
