@@ -9,10 +9,10 @@ broadcast; every Python worker writes it to an unnamed temporary file and maps t
 distinct words run through the automaton together. Words that it doesn't hold are merged exactly: all words
 of a batch side by side, each step joining in every word its first pair of the lowest rank.
 
-Texts with the vocabulary's special tokens, with the separators U+001C to U+001F, or with a character that the
-library and Python split, compose or lower differently (their Unicode versions aren't the same) are encoded
-whole by the vocabulary's own pipeline. Each worker finds these characters by trying every character that it
-meets, once, in PLACES.
+Texts are composed by the library's own normaliser, as Python's tables of combining classes are of another Unicode
+version. Texts with the vocabulary's special tokens, with the separators U+001C to U+001F, or with a character that
+the library and Python split or lower differently are encoded whole by the vocabulary's own pipeline. Both work
+character by character, so each worker finds these by trying every character that it meets, once, between letters.
 
 Defined results: a null or empty text has no ids and the digests of the empty string; texts of any length are
 coded whole, those with words of more than LONGEST_WORD characters by the vocabulary's pipeline; equal texts get equal
@@ -26,7 +26,6 @@ import json
 import mmap
 import re
 import tempfile
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,8 +45,9 @@ MEMO_WORDS = 200_000
 FLUSH_WORDS = 400_000
 NEVER = 2**31 - 1
 LONGEST_WORD = 1000  # merging side by side takes a step for each merge of the longest word
-PLACES = ("a@b", "@\u0323\u0301")
 _ODD = re.compile("[\x1c-\x1f]")
+#: All but some blocks of letters and signs that composition leaves alone as long as only they meet.
+_COMPOSES = re.compile("[^\0-\u02ff\u0388-\u0482\u048a-\u0590\u05d0-\u05ea\u0621-\u064a\u0904-\u0939\u2002-\u2069\u3000-\u3029\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff01-\uff60]")
 
 
 def build_image(entries: dict[bytes, list[int]]) -> bytes:
@@ -248,11 +248,18 @@ def vocabulary(path: str):
     return whole, Merger(spec), tokens, special
 
 
+@lru_cache(maxsize=1)
+def _composer():
+    from tokenizers.normalizers import NFC
+
+    return NFC()
+
+
 def split_words(text: str) -> list[str]:
     """The words of the normalised text: composed, lower case letter by letter (without the special final sigma)."""
     if not text.isascii():
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+        if _COMPOSES.search(text):  # by the library, whose classes of marks aren't those of Python's tables
+            text = _composer().normalize_str(text)
         text = text.replace("Σ", "σ")
     return text.lower().split()
 
@@ -319,14 +326,13 @@ class Coder:
 
     def _try(self, characters: set[str]) -> None:
         self.tried |= characters
-        for place in PLACES:
-            texts = [place.replace("@", c) for c in characters]
-            split = [split_words(t) for t in texts]
-            each = iter(self.merge.words([w for words in split for w in words]))
-            for c, text, words in zip(characters, texts, split, strict=True):
-                own = [i for _ in words for i in next(each)]
-                if own != self.whole.encode(text, add_special_tokens=False).ids:
-                    self.strange.add(c)
+        texts = [f"a{c}b" for c in characters]
+        split = [split_words(t) for t in texts]
+        each = iter(self.merge.words([w for words in split for w in words]))
+        for c, text, words in zip(characters, texts, split, strict=True):
+            own = [i for _ in words for i in next(each)]
+            if own != self.whole.encode(text, add_special_tokens=False).ids:
+                self.strange.add(c)
 
     def learn(self, words: set[str]) -> None:
         listed = list(words)

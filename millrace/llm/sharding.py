@@ -5,11 +5,12 @@ hash, reach the driver as a histogram of at most 2 ** BITS sums whatever the inp
 for which a greedy sweep needs no more than the wanted shards is found by binary search: the histogram
 narrows the capacity, and only the few histogram cells that a cut can fall into are opened to single groups,
 at most OPEN_CELLS at a time and from the first shard on, as what a shard ends with settles where the next
-one starts (cells are split further on the cluster while they hold more than OPEN_GROUPS groups). The cuts are hash
-values, so placing a row is a comparison, without a join. Law: ``bytes``.
+one starts (cells are split further on the cluster while they hold more than OPEN_GROUPS groups). Within that
+capacity a second binary search finds the largest size that every shard can have, so a large group leaves no shard
+empty. The cuts are hash values, so placing a row is a comparison, without a join. Law: ``bytes``.
 
 Slots are numbered without a sort of a whole shard: rows are dealt to (shard, lane) by a hash of the id,
-numbered there, and shifted by the counts of the lanes before.
+and of the text, numbered there, and shifted by the counts of the lanes before.
 
 Defined results: a null text counts as empty (size 1, crc32 0) and shares the group of empty texts; texts of
 any length are groups like others (texts whose 64-bit hashes agree share one); ids may
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,6 +68,36 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return low, greedy_cuts(ends, low, shards)
 
 
+def _ends(before: np.ndarray, shards: int, least: int, most: int) -> list[np.ndarray]:
+    """For k = 0 .. shards: whether k shards of ``least`` to ``most`` each can hold all from a position on; ``before``: sums up to each position."""
+    held = [np.arange(len(before)) == len(before) - 1]
+    low, high = np.searchsorted(before, before + least, "left"), np.searchsorted(before, before + most, "right")
+    for _ in range(shards):
+        upto = np.concatenate([[0], np.cumsum(held[-1])])
+        held.append(upto[high] > upto[np.minimum(low, high)])
+    return held
+
+
+def balanced_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
+    """Cuts of a feasible ``capacity`` whose smallest shard is as large as it can be (found by binary search), each as near as these bounds allow to an equal part of what the shards before left."""
+    before = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int64)
+    low, high = 0, int(before[-1]) // shards
+    while low < high:
+        mid = (low + high + 1) // 2
+        if _ends(before, shards, mid, capacity)[shards][0]:
+            low = mid
+        else:
+            high = mid - 1
+    held, cuts, at = _ends(before, shards, low, capacity), [], 0
+    for left in range(shards, 0, -1):
+        a, b = np.searchsorted(before, before[at] + low, "left"), np.searchsorted(before, before[at] + capacity, "right")
+        open_ = a + np.flatnonzero(held[left - 1][a:b])
+        goal = before[at] + (before[-1] - before[at]) / left
+        at = int(open_[np.argmin(np.abs(before[open_] - goal))])
+        cuts.append(at)
+    return cuts
+
+
 def _open_cells(cells: list[tuple[int, int, int, int]], shards: int) -> list[int]:
     """Some of the cells (lo, size, groups, largest) of several groups that a cut can fall into, at any capacity between a lower bound and a feasible one; none only if there are none."""
     total, ends = 0, []
@@ -114,7 +146,8 @@ def _plan_shards(groups: DataFrame, shards: int) -> list[int]:
         opened = [(c << below, size, n, most, below) for c, size, n, most in rows.collect()]  # at most OPEN_GROUPS, or 256 for each of the cells
         gone = set(todo)
         items = sorted([i for k, i in enumerate(items) if k not in gone] + opened)
-    _, cuts = minimax_cuts([i[1] for i in items], shards)
+    sizes = [i[1] for i in items]
+    cuts = balanced_cuts(sizes, shards, minimax_cuts(sizes, shards)[0])
     last = 2**63 - 1
     return [(items[c][0] - 1 if c < len(items) else last) for c in cuts[: shards - 1]]
 
@@ -127,7 +160,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     shard = F.lit(0)
     for b in bounds:
         shard = shard + F.when(F.col("key") > b, 1).otherwise(0)
-    lane = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lane")), F.lit(LANES)).cast("int")
+    lane = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("key"), F.lit("lane")), F.lit(LANES)).cast("int")
     placed = rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), lane.alias("lane"))
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = placed.groupBy("shard", "lane").agg(F.count("*").alias("n")).select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))

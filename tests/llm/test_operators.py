@@ -268,6 +268,30 @@ def test_bpe_equals_library_on_every_character():
         assert next(coder.run([f"x{c}y"]))[0] == " ".join(map(str, coder.whole.encode(f"x{c}y", add_special_tokens=False).ids))
 
 
+def test_bpe_equals_library_on_sequences_of_marks():
+    import unicodedata
+
+    coder = bpe.Coder(bpe.build_image({}), registry.tokenizer_file("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M"]
+    classes = list({unicodedata.combining(m): m for m in marks}.values())
+    r = random.Random(5)
+    texts = [f"a{x}{y}b" for m in marks for c in r.sample(classes, 10) for x, y in ((m, c), (c, m))]
+    letters = "aeoAO Σσ's1가각क\u0f40\u1100\u1161\u11a8\u212b\u0374\u2000"
+    texts += ["".join(r.choice(marks if r.random() < 0.6 else letters) for _ in range(r.randint(2, 12))) for _ in range(100_000)]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        want = coder.whole.encode_batch(part, add_special_tokens=False)
+        assert [ids for ids, _ in coder.run(part)] == [" ".join(map(str, w.ids)) for w in want]
+
+
+def test_bpe_blocks_that_composition_leaves_alone():
+    quiet = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not bpe._COMPOSES.search(chr(c))]
+    r = random.Random(6)
+    for _ in range(20):
+        r.shuffle(quiet)
+        assert bpe._composer().normalize_str("".join(quiet)) == "".join(quiet)
+
+
 def test_transducer_is_minimal_and_exact():
     words = {w.encode(): [i, i + 1] for i, w in enumerate(sorted(set(VOCAB) | {"a", "ab", "abc", "zbc"}))}
     t = bpe.Transducer(bpe.build_image(words))
@@ -303,6 +327,32 @@ def test_minimax_cuts_against_brute_force():
         assert sharding.minimax_cuts(sizes, shards)[0] == best
 
 
+def test_balanced_cuts_against_brute_force():
+    from itertools import combinations
+
+    for seed in range(200):
+        r = random.Random(seed)
+        sizes = [r.choice([1, r.randint(1, 40)]) for _ in range(r.randint(1, 9))]
+        shards = r.randint(1, 4)
+        capacity = sharding.minimax_cuts(sizes, shards)[0]
+        cuts = sharding.balanced_cuts(sizes, shards, capacity)
+        own = [sum(sizes[a:b]) for a, b in zip((0, *cuts), cuts, strict=False)]
+        assert len(cuts) == shards and cuts[-1] == len(sizes) and max(own) == capacity
+        every = ([sum(sizes[a:b]) for a, b in zip((0, *c), (*c, len(sizes)), strict=True)] for c in combinations(range(1, len(sizes)), shards - 1))
+        assert min(own) == max((min(x) for x in every if max(x) <= capacity), default=0)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.5])
+def test_a_large_group_leaves_no_shard_empty(share):
+    r = random.Random(1)
+    for place in (0, 1000, 6500, 8191):
+        sizes = [r.randint(50, 150) for _ in range(8192)]
+        sizes[place] = int(share / (1 - share) * sum(sizes))
+        cuts = sharding.balanced_cuts(sizes, 8, sharding.minimax_cuts(sizes, 8)[0])
+        own = [sum(sizes[a:b]) for a, b in zip((0, *cuts), cuts, strict=False)]
+        assert max(own) == sizes[place] and min(own) > 0.8 * (sum(sizes) - sizes[place]) / 8
+
+
 @pytest.mark.parametrize("bits", [16, 3])
 def test_sharding(docs, empty, monkeypatch, bits):
     monkeypatch.setattr(sharding, "BITS", bits)
