@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space (of any kind) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def nonblank(c: Column) -> Column:
@@ -52,18 +63,20 @@ def singular(c: Column) -> Column:
 
 def section(c: Column, first: str, second: str, empty_if_missing: bool, reverse: bool = False, drop_first_line: bool = False) -> Column:
     """The stripped text between ``first`` (its last place if ``reverse``) and the next ``second``, or the end."""
-    at = F.locate(first, c)
-    if reverse:
-        tail = F.substring_index(c, first, -1)
-        at = F.when(F.contains(c, F.lit(first)), F.length(c) - F.length(tail) - len(first) + 1).otherwise(0)
-    body = c.substr(at + len(first), F.length(c))
-    end = F.locate(second, body)
-    body = F.when(end > 0, body.substr(F.lit(1), end - 1)).otherwise(body)
-    if drop_first_line:
+
+    def without_line(body: Column) -> Column:
         line = F.substring_index(body, "\n", 1)
         short = F.contains(body, F.lit("\n")) & ~F.contains(line, F.lit("{")) & (F.length(strip(line)) < 10)
-        body = F.when(short, body.substr(F.length(line) + 2, F.length(body))).otherwise(body)
-    return strip(F.when(at > 0, body).otherwise(F.lit("") if empty_if_missing else c))
+        return F.when(short, body.substr(F.length(line) + 2, F.length(body))).otherwise(body)
+
+    def found(x: Column) -> Column:
+        body = F.substring_index(x, first, -1) if reverse else x.substr(F.locate(first, x) + len(first), F.length(x))
+        body = F.substring_index(body, second, 1)
+        if drop_first_line:
+            body = once(body, without_line)
+        return F.when(F.contains(x, F.lit(first)), body).otherwise(F.lit("") if empty_if_missing else x)
+
+    return strip(once(c, found))
 
 
 def after_tag(c: Column, tag: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from millrace.functions import constants as K
 from millrace.functions import stablerand as R
 from millrace.functions import text as X
+from millrace.functions.position import between
 
 
 def expand(personas: DataFrame, languages: DataFrame, cap: int | None = None) -> DataFrame:
@@ -38,11 +39,8 @@ def accepted(df: DataFrame, prompt: str, order: str, most: int | None = None) ->
 
 
 def skip_take(df: DataFrame, order: str, start: int | None, end: int | None) -> DataFrame:
-    """Rows from ``start`` to ``end`` of a total order; a start of 0 or None means all, whatever the end."""
-    if not start:
-        return df
-    rows = df.orderBy(order).offset(start)
-    return rows if end is None else rows.limit(max(0, end - start))
+    """Rows from ``start`` to ``end`` of a total order, by counts of ranges of it; a start of 0 or None means all, whatever the end."""
+    return between(df, [order], start, end) if start else df
 
 
 def message(role: str | Column, content: Column) -> Column:

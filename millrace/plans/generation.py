@@ -12,8 +12,8 @@ from millrace.functions import text as X
 from millrace.functions.lineage import shared_dir
 from millrace.operators import filters, generate
 from millrace.plans.base import GEN_SQL, gen, pick_sql, query, table
-from millrace.sources import io
-from millrace.streaming import ingest
+from millrace.sources import io, pages
+from millrace.streaming import ingest, ledger
 
 
 def _folder(spark, name: str) -> str:
@@ -58,6 +58,15 @@ def stream_ingest_docs(spark, sf_dir) -> DataFrame:
     return spark.read.schema("doc_id long, prompt string").parquet(out).select("doc_id", F.length("prompt").alias("n"))
 
 
+@query("SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents")
+def stream_pages_docs(spark, sf_dir) -> DataFrame:
+    docs, hub, out, marks = table(spark, sf_dir, "documents").select("doc_id", "text"), *(_folder(spark, x) for x in ("hub", "sink", "marks"))
+    docs.write.parquet(f"{hub}/main/train")
+    batch = max(pages.BATCH_ROWS, -(-spark.read.parquet(f"{hub}/main/train").count() // 16))
+    sink = ledger.drain(pages.stream_pages(spark, hub, marks, "main", "train", batch_rows=batch), out, marks)
+    return sink.read(docs.schema).select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
 _LANGS = "langs AS (SELECT unnest(['BUILDING', 'FURNITURE']) AS category_key, unnest(['x1', 'y1']) AS lang_key UNION ALL SELECT 'BUILDING', 'x2')"
 
 

@@ -89,7 +89,7 @@ def personas_query(spark, paths, options):
 @stage("personas dedup", "near-equal personas dropped, the first kept")
 def personas_dedup(spark, paths, options):
     rows = io.read_jsonl(spark, paths["input"], PERSONA)
-    numbered = rows.withColumn("doc_id", F.xxhash64("id"))
+    numbered = saved(io.in_order(rows, "doc_id"), "personas", result=True)  # ids may repeat
     kept = dedup.greedy_keep_first(numbered.select("doc_id", F.col("persona").alias("text")), *options.get("similarity", (9, 10)))
     flagged = numbered.join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(True))).drop("doc_id")
     io.write_jsonl(flagged.where("kept").drop("kept"), paths["output"])
@@ -99,7 +99,7 @@ def personas_dedup(spark, paths, options):
 @stage("personas cluster", "projection and density clusters of embedded personas")
 def personas_cluster(spark, paths, options):
     rows = io.read_jsonl(spark, paths["input"], EMBEDDED)
-    flat = cluster.project(rows, "embedding", 2).withColumn("n", F.xxhash64("id"))
+    flat = cluster.project(saved(io.in_order(rows, "n"), "personas", result=True), "embedding", 2)  # ids may repeat
     points = flat.select(F.col("n").alias("id"), F.col("projection")[0].alias("x"), F.col("projection")[1].alias("y"))
     labels = cluster.dbscan(points, options.get("eps", 0.11), options.get("least", 20)).withColumnRenamed("id", "n")
     io.write_jsonl(flat.join(labels, "n").drop("n", "embedding"), paths["output"])
@@ -166,12 +166,9 @@ def dataset_filter(spark, paths, options):
     rows = capped(rows, F.md5(X.squash(F.col("code"))), options.get("max_dups_code", 3), "copy")
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & ~second, "image").otherwise(F.col("reason")))
     if "images" in paths:  # the folder of the rendered pictures
-        seen = saved(image.examined(io.read_pictures(spark, paths["images"])), "images")
-        seen = seen.select(F.element_at(F.split("path", "/"), -1).alias("_file"), "width", "height", "colour", F.col("image_hash").alias("_hash")).dropDuplicates(["_file"])
-        rows = rows.withColumn("_file", F.element_at(F.split(F.coalesce("path_img_1", F.lit("")), "/"), -1)).join(seen, "_file", "left")
-        unreadable = F.col("width").isNull()
-        rows = rows.withColumn("reason", F.when(F.col("reason").isNull(), F.when(unreadable, "image").when(F.col("colour") != "normal", "colour")).otherwise(F.col("reason")))
-        rows = rows.withColumn("image_hash", F.coalesce("_hash", "image_hash")).drop("_file", "_hash", "width", "height", "colour")
+        rows = io.with_file(rows, "path_img_1", image.examined(io.read_pictures(spark, paths["images"])), paths["images"])
+        broken = F.when(F.col("_found.width").isNull(), "image").when(F.col("_found.colour") != "normal", "colour")
+        rows = rows.withColumns({"reason": F.coalesce("reason", broken), "image_hash": F.coalesce("_found.image_hash", "image_hash")}).drop("_found")
     pictured = F.coalesce("image_hash", F.md5("path_img_1"))
     rows = saved(capped(rows, pictured, options.get("max_dups_img", 3), "copy_image"), "judged")
     limits_ = [c for c in limits.columns if c not in ("category_key", "lang_key")]

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
+from millrace.functions.lineage import cut
+from millrace.functions.position import numbered
 
 DOCUMENT_ROWS = 100_000
+SCHEME = "^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)"
 CATALOGUE = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("category_key", "name", "group", "terms_semantic")]
     + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("search_queries", "contrary_personas", "contrary_categories", "exclude_domains")]
@@ -113,12 +117,37 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return json.loads(text)
 
 
+def with_file(rows: DataFrame, path: str, files: DataFrame, folder: str) -> DataFrame:
+    """The rows with ``_found``, the columns of ``files`` (path, ...) but its path, or null: of the file at the same place below ``folder``, else (the folder may have moved) of the only file there with that name."""
+    system, target = _file(rows.sparkSession, folder)
+    root = re.sub(SCHEME, "", system.makeQualified(target).toString()).rstrip("/")
+
+    def below(c: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, SCHEME, ""), f"^\\Q{root}\\E/+", "")
+
+    def name(c: str) -> Column:
+        return F.element_at(F.split(c, "/"), -1)
+
+    values = F.struct(*(c for c in files.columns if c != "path"))
+    files = cut(files.select(below("path").alias("_below"), name("path").alias("_name"), values.alias("_value")), "files", result=True)
+    alone = files.groupBy("_name").agg(F.count("*").alias("_n"), F.first("_value").alias("_only")).where("_n = 1").drop("_n")
+    asked = rows.withColumns({"_below": below(path), "_name": name(path)})
+    met = asked.join(files.drop("_name"), "_below", "left").join(alone, "_name", "left")
+    return met.select(*(met[f"`{c}`"] for c in rows.columns), F.coalesce("_value", "_only").alias("_found"))
+
+
 def measure_files(spark: SparkSession, paths: DataFrame, folder: str, path_col: str = "path") -> DataFrame:
-    """Rows (path, lines, characters) of every path asked for: lines that aren't blank, characters of the stripped text; 0 where there is no such file. Files are matched by their name below ``folder``."""
-    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_file"), F.col("value").alias("_text")).dropDuplicates(["_file"])
-    asked = paths.select(F.col(path_col).alias("path")).withColumn("_file", F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1))
-    joined = asked.join(found, "_file", "left")
-    return joined.select("path", F.coalesce(X.line_count(F.col("_text")), F.lit(0)).cast("long").alias("lines"), F.coalesce(X.char_count(F.col("_text")), F.lit(0)).cast("long").alias("characters"))
+    """Rows (path, lines, characters) of every path asked for: lines that aren't blank, characters of the stripped text; 0 where there is no such file. Files are matched as by ``with_file``."""
+    text = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    files = text.select(F.col("_metadata.file_path").alias("path"), X.line_count(F.col("value")).cast("long").alias("lines"), X.char_count(F.col("value")).cast("long").alias("characters"))
+    asked = with_file(paths.select(F.col(path_col).alias("path")), "path", files, folder)
+    return asked.select("path", *(F.coalesce(f"_found.{c}", F.lit(0).cast("long")).alias(c) for c in ("lines", "characters")))
+
+
+def in_order(rows: DataFrame, place: str) -> DataFrame:
+    """Rows read from files with their ``place``, from 0, in the order of the files' names and of the lines."""
+    where = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    return numbered(rows.select("*", *(c.alias(n) for n, c in where.items())), [], list(where), place).drop(*where)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

@@ -113,6 +113,8 @@ class FolderStore:
                         if a < b:
                             yield batch.slice(a, b - a).select(schema.names)
                         here += batch.num_rows
+                        if here >= end:
+                            break
             at += n
 
 

@@ -263,3 +263,27 @@ def test_file_helpers(spark, tmp_path):
     io.write_text(spark, "", str(tmp_path / "a" / "y.log"))
     assert io.remove_files(spark, str(tmp_path / "a"), ".log") == 1 and io.remove_files(spark, str(tmp_path / "no"), ".log") == 0
     assert (tmp_path / "a" / "x.txt").exists() and not (tmp_path / "a" / "y.log").exists()
+
+
+def test_long_blank_runs(spark):
+    """White space inside a text costs a pass over it, not its square."""
+    df = spark.createDataFrame([("a" + " " * 3_000_000 + "b",), ("\u3000\x85 x\u00a0",), (" \t" * 9,), (None,)], "t string")
+    assert [tuple(r) for r in df.select(F.length(X.strip(F.col("t"))), X.nonblank(F.col("t"))).collect()] == [(3_000_002, True), (1, True), (0, False), (None, False)]
+    said = df.select(X.section(F.concat(F.lit("Code:"), "t", F.lit("End")), "Code:", "End", True).alias("s"))
+    assert [r["s"] and len(r["s"]) for r in said.collect()] == [3_000_002, 1, "", ""]
+
+
+def test_section_names_its_text_once(spark):
+    df = spark.createDataFrame([("x User: hi Assistant: yo User: last",)], "t string")
+    plan = df.select(X.section(F.regexp_replace("t", "x", "y"), "User:", "Assistant:", True, reverse=True).alias("s"))
+    assert plan.first()["s"] == "last"
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_skip_take_of_ranges(spark):
+    from millrace.operators import generate
+
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("id"))
+    for start, end in ((1, None), (999, None), (1000, None), (30, 100), (100, 30), (0, 5), (None, 5), (998, 2000)):
+        want = list(range(1000)) if not start else list(range(1000))[start:end]
+        assert sorted(r["id"] for r in generate.skip_take(df, "id", start, end).collect()) == want

@@ -154,6 +154,12 @@ def test_documents_files_and_options(spark, tmp_path):
     (tmp_path / "f" / "a.py").write_text("x\n\n  \ny = 1\n")
     asked = spark.createDataFrame([("/else/a.py",), ("b.py",), (None,)], "path string")
     assert sorted((r["path"] or "", r["lines"], r["characters"]) for r in io.measure_files(spark, asked, str(tmp_path / "f")).collect()) == [("", 0, 0), ("/else/a.py", 2, 11), ("b.py", 0, 0)]
+    for place, body in (("x", "1\n2\n3"), ("y", "1")):
+        (tmp_path / "f" / place).mkdir()
+        (tmp_path / "f" / place / "code.txt").write_text(body)
+    asked = spark.createDataFrame([("x/code.txt",), (str(tmp_path / "f" / "y" / "code.txt"),), ("file://" + str(tmp_path / "f" / "x" / "code.txt"),), ("/else/code.txt",)], "path string")
+    got = {r["path"]: r["lines"] for r in io.measure_files(spark, asked, str(tmp_path / "f")).collect()}
+    assert sorted((p.replace(str(tmp_path), ""), n) for p, n in got.items()) == [("/else/code.txt", 0), ("/f/y/code.txt", 1), ("file:///f/x/code.txt", 3), ("x/code.txt", 3)]
     (tmp_path / "o.json").write_text('{"cut": 3}')
     assert io.read_config(spark, str(tmp_path / "o.json")) == {"cut": 3}
     (tmp_path / "o.yaml").write_text("cut: 3\n")
@@ -193,6 +199,17 @@ def test_personas_dedup_and_assignment(spark, tmp_path):
     assert len(read(spark, tmp_path / "m")) == 4
 
 
+def test_personas_with_repeated_ids(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    src = lines(tmp_path / "p.jsonl", [{"id": i, "persona": p} for i, p in (("z", text), ("a", "one"), ("a", "two"), ("b", text), ("a", "two"))])
+    stages.run("personas dedup", spark, {"input": src, "output": str(tmp_path / "k"), "removed": str(tmp_path / "r")})
+    assert sorted((r["id"], r["persona"][:3]) for r in read(spark, tmp_path / "k")) == [("a", "one"), ("a", "two"), ("z", "w0 ")]
+    assert sorted((r["id"], r["persona"][:3]) for r in read(spark, tmp_path / "r")) == [("a", "two"), ("b", "w0 ")]
+    emb = lines(tmp_path / "e.jsonl", [{"id": i, "persona": i, "embedding": [1.0, n / 10, 0.5]} for n, i in enumerate("aabcde")])
+    stages.run("personas cluster", spark, {"input": emb, "output": str(tmp_path / "c")})
+    assert sorted(r["id"] for r in read(spark, tmp_path / "c")) == list("aabcde")
+
+
 def test_command_line_help(capsys):
     assert main([]) == 0
     assert "dataset filter" in capsys.readouterr().out
