@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.lineage import cut, shared_path
+
 BROADCAST_QUERIES = 20_000
 
 
@@ -67,3 +71,29 @@ def nearest_label(scored: DataFrame, label: str) -> DataFrame:
 def quota(df: DataFrame, label: str, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each label."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("place") <= n)
+
+
+def quota_until_full(df: DataFrame, label_of: Callable[[DataFrame], DataFrame], label: str, labels: int, order: list[Column], n: int, parts: int = 64) -> tuple[DataFrame, int]:
+    """(the first ``n`` rows of each label with their ``place``, ranges read): as ``quota`` over ``label_of(df)``, for a labelling that costs much.
+
+    Rows are dealt into ``parts`` ranges of the order, which must be total. Ranges are labelled in growing groups,
+    1, 2, 4, ... at a time, until ``labels`` different labels have n rows each or no range is left; a range that isn't
+    reached is neither labelled nor read. ``label_of`` adds the column ``label`` row by row; rows with a null label
+    count for none.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(parts, *names).withColumn("_range", F.spark_partition_id())
+    path = shared_path(df.sparkSession, "quota")
+    dealt.write.partitionBy("_range").parquet(path)
+    ranges = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    kept, at, step = None, 0, 1
+    while at < parts:
+        group = ranges.where((F.col("_range") >= at) & (F.col("_range") < min(at + step, parts))).drop("_range")
+        found = quota(label_of(group).where(F.col(label).isNotNull()), label, [F.col(c) for c in names], n).drop("place")
+        found = cut(found, "quota", result=True)
+        kept = found if kept is None else kept.unionByName(found)
+        at, step = min(at + step, parts), step * 2
+        full = kept.groupBy(label).agg(F.count("*").alias("rows")).where(F.col("rows") >= n).count()
+        if full >= labels:
+            break
+    return quota(kept, label, [F.col(c) for c in names], n).drop(*names), at

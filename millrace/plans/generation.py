@@ -11,9 +11,9 @@ from millrace.functions import stablerand as R
 from millrace.functions import text as X
 from millrace.functions.lineage import shared_dir
 from millrace.operators import filters, generate
-from millrace.plans.base import GEN_SQL, gen, pick_sql, query, table
+from millrace.plans.base import GEN_SQL, GREEDY_SQL, gen, pick_sql, query, table
 from millrace.sources import io, pages
-from millrace.streaming import ingest, ledger
+from millrace.streaming import ingest, ledger, near
 
 
 def _folder(spark, name: str) -> str:
@@ -67,6 +67,14 @@ def stream_pages_docs(spark, sf_dir) -> DataFrame:
     return sink.read(docs.schema).select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
+@query(f"WITH RECURSIVE {GREEDY_SQL}, flags AS (SELECT sz.doc_id, NOT list_contains(last.gone, sz.doc_id) AS kept FROM sz, last) SELECT doc_id, coalesce(kept, true) AS kept FROM documents LEFT JOIN flags USING (doc_id)")
+def stream_dedup_docs(spark, sf_dir) -> DataFrame:
+    docs, hub, out, marks = table(spark, sf_dir, "documents").select("doc_id", "text"), *(_folder(spark, x) for x in ("hub", "sink", "marks"))
+    docs.orderBy("doc_id").write.parquet(f"{hub}/main/train")
+    batch = max(pages.BATCH_ROWS, -(-spark.read.parquet(f"{hub}/main/train").count() // 16))
+    return near.keep_first(pages.stream_pages(spark, hub, marks, "main", "train", batch_rows=batch), out, marks)
+
+
 _LANGS = "langs AS (SELECT unnest(['BUILDING', 'FURNITURE']) AS category_key, unnest(['x1', 'y1']) AS lang_key UNION ALL SELECT 'BUILDING', 'x2')"
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import constants as K
 from millrace.functions import text as X
-from millrace.operators import dedup, filters, stats
-from millrace.plans.base import GEN_SQL, gen, query, table
+from millrace.operators import dedup, filters, pictures, stats
+from millrace.plans.base import GEN_SQL, GREEDY_SQL, JACCARD_SQL, gen, query, table
 
 _DOMAIN_SQL = "CASE " + " ".join("WHEN k IN (" + ", ".join(f"'{n}'" for n in names) + f") THEN '{d}'" for d, names in K.DOMAINS.items()) + " ELSE '' END"
 _ALLOW_SQL = "(" + " OR ".join(f"(category_key = '{c}' AND lang_key IN (" + ", ".join(f"'{x}'" for x in langs) + "))" for c, langs in K.ALLOWED.items()) + ")"
@@ -191,20 +191,27 @@ def dup_report(spark, sf_dir) -> DataFrame:
     return dedup.duplicate_report(table(spark, sf_dir, "documents"), "source", X.squash(F.col("text")), "doc_id", 3)
 
 
-_JACCARD = r"""tok AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS w FROM documents) WHERE w <> ''),
-sz AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM tok a JOIN tok b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT p.a, p.b, k::DOUBLE / (x.n + y.n - k) AS j, x.n = k AND y.n = k AS same FROM p JOIN sz x ON p.a = x.doc_id JOIN sz y ON p.b = y.doc_id WHERE 10 * k >= 9 * (x.n + y.n - k))"""
-
-
 @query(
-    f"""WITH {_JACCARD}, both_ways AS (SELECT a AS x, b AS y, same FROM links UNION ALL SELECT b, a, same FROM links)
+    f"""WITH {JACCARD_SQL}, both_ways AS (SELECT a AS x, b AS y, same FROM links UNION ALL SELECT b, a, same FROM links)
 SELECT sz.doc_id, sz.n AS n_tokens, least(sz.doc_id, coalesce(min(y) FILTER (same), sz.doc_id)) AS class_id, count(y) AS n_links FROM sz LEFT JOIN both_ways ON sz.doc_id = x GROUP BY 1, 2"""
 )
 def jaccard_pairs(spark, sf_dir) -> DataFrame:
     return dedup.link_counts(table(spark, sf_dir, "documents"), 9, 10)
 
 
-@query()
+@query(f"WITH RECURSIVE {GREEDY_SQL} SELECT doc_id, NOT list_contains(gone, doc_id) AS kept FROM sz, last")
 def minhash_dedup(spark, sf_dir) -> DataFrame:
     return dedup.greedy_keep_first(table(spark, sf_dir, "documents"), 9, 10)
+
+
+@query(
+    """WITH t AS (SELECT doc_id, [ascii(substr(text, 1 + CAST(floor(i * length(text) / 64.0) AS INTEGER), 1)) FOR i IN range(64)] AS thumb FROM documents WHERE length(text) > 0),
+h AS (SELECT *, array_to_string([CASE WHEN v * 64 > list_sum(thumb) THEN '1' ELSE '0' END FOR v IN thumb], '')::BIT AS hash FROM t),
+p AS (SELECT a.doc_id, b.doc_id AS other, a.thumb = b.thumb AS same, list_max([abs(z[1] - z[2]) FOR z IN list_zip(a.thumb, b.thumb)]) <= 5 AS close FROM h a JOIN h b ON a.doc_id <> b.doc_id AND bit_count(xor(a.hash, b.hash)) <= 4)
+SELECT h.doc_id, least(h.doc_id, coalesce(min(other) FILTER (same), h.doc_id)) AS class_id, count(other) AS n_near, count(other) FILTER (close) AS n_close FROM h LEFT JOIN p USING (doc_id) GROUP BY h.doc_id"""
+)
+def pictures_near(spark, sf_dir) -> DataFrame:
+    # the grey values of the stand-in are the texts' characters
+    grey = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long"))
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("id"), pictures.thumbnail(grey).alias("thumb"))
+    return pictures.near_counts(rows).withColumnRenamed("id", "doc_id")

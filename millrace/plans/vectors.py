@@ -132,6 +132,14 @@ def label_quota_sample(spark, sf_dir) -> DataFrame:
     return vector.quota(first.unionByName(second), "label", [F.col("prio"), order], 30).select("label", "place", "id", "prio")
 
 
+@query("""SELECT label, place::INTEGER AS place, id FROM (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', 'stop', vec_id)), vec_id) AS place FROM embeddings WHERE label <> -1) WHERE place <= 10""")
+def label_quota_stop(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").where("label <> -1")
+    labels = rows.select("label").distinct().count()
+    out, _ = vector.quota_until_full(rows.withColumnRenamed("label", "seen"), lambda part: part.withColumn("label", F.col("seen")), "label", labels, [R.key("stop", F.col("id")), F.col("id")], 10)
+    return out.select("label", "place", "id")
+
+
 @query(f"WITH {_VEC} SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY score DESC, id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r > 3 AND r <= 8 GROUP BY query_id")
 def ranked_slice(spark, sf_dir) -> DataFrame:
     best = vector.top_k(_scored(spark, sf_dir), 8)
