@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import constants as K
 from millrace.functions import text as X
+from millrace.functions.molecules import molecule
 
 
 def code_size(lang: Column, code: Column) -> Column:
@@ -65,3 +66,12 @@ def atoms(c: Column) -> Column:
 def rings(c: Column) -> Column:
     bare = F.regexp_replace(c, r"\[[^\]]+\]", "")
     return F.floor(F.regexp_count(bare, F.lit(r"%[0-9]{2}|[0-9]")) / 2)
+
+
+def with_molecules(df: DataFrame, lang: Column, code: str = "code", statistics: str = "statistics") -> DataFrame:
+    """The statistics of molecules replaced by their atoms by element and their rings; malformed notation keeps what it had."""
+    is_one = F.coalesce(lang == "smiles", F.lit(False))
+    seen = df.withColumns({"_one": is_one, "_mol": molecule(F.when(is_one, F.col(code)))})
+    named = F.map_concat(F.transform_keys("_mol.elements", lambda k, _: F.concat(k, F.lit(" atoms"))), F.create_map(F.lit("rings"), F.col("_mol.rings")))
+    fresh = F.when(F.col("_one") & F.col("_mol.atoms").isNotNull(), F.to_json(F.struct(named.alias("node_types"))))
+    return seen.withColumn(statistics, F.coalesce(fresh, F.col(statistics))).drop("_one", "_mol")

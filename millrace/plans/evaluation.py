@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import constants as K
 from millrace.functions import text as X
+from millrace.functions.molecules import molecule
 from millrace.operators import evaluate, stats
 from millrace.plans.base import GEN_SQL, gen, query, table
 from millrace.sources import io
@@ -95,3 +96,15 @@ def testset_accuracy(spark, sf_dir) -> DataFrame:
 def smiles_atom_counts(spark, sf_dir) -> DataFrame:
     notation = F.concat("p_name", F.col("p_size").cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", evaluate.atoms(F.col("p_name")).alias("atoms"), evaluate.rings(notation).alias("rings"))
+
+
+@query(
+    """SELECT p_partkey, (1 + p_size % 7 + p_partkey % 2 + 6 * (p_partkey % 3 = 0)::INTEGER + 10 * (p_partkey % 4 = 0)::INTEGER)::INTEGER AS atoms, ((p_partkey % 3 = 0)::INTEGER + 2 * (p_partkey % 4 = 0)::INTEGER)::INTEGER AS rings, (p_partkey % 2)::INTEGER AS nitrogen
+FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL FROM part WHERE p_partkey % 11 = 0"""
+)
+def molecule_counts(spark, sf_dir) -> DataFrame:
+    # a chain, a branch, a benzene and two fused rings, as the part's numbers say; every eleventh has an open ring
+    k = F.col("p_partkey")
+    pieces = [F.repeat(F.lit("C"), (1 + F.col("p_size") % 7).cast("int")), F.when(k % 2 == 1, "(=[NH2+])").otherwise(""), F.when(k % 3 == 0, "c1ccccc1").otherwise(""), F.when(k % 4 == 0, ".c1ccc%12ccccc%12c1").otherwise(""), F.when(k % 11 == 0, ".C7").otherwise("")]
+    seen = table(spark, sf_dir, "part").select(k, molecule(F.concat(*pieces)).alias("m"))
+    return seen.select(k, "m.atoms", "m.rings", F.when(F.col("m.atoms").isNotNull(), F.coalesce(F.col("m.elements")["N"], F.lit(0))).alias("nitrogen"))

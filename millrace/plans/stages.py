@@ -18,6 +18,7 @@ from millrace.functions import stablerand as R
 from millrace.functions import templates as T
 from millrace.functions import text as X
 from millrace.functions.lineage import cut as saved
+from millrace.functions.tokens import first_model_tokens
 from millrace.operators import assign, cluster, dedup, evaluate, filters, generate, qa, split, stats, vector
 from millrace.sources import io
 
@@ -70,7 +71,8 @@ def _asked(rows: DataFrame, options: dict) -> DataFrame:
 @stage("personas generate", "persona candidates from texts")
 def personas_generate(spark, paths, options):
     texts = io.read_jsonl(spark, paths["input"], TEXT)
-    cut = X.first_tokens(X.strip(F.col("text")), options.get("tokens", 4000))
+    stripped, most = X.strip(F.col("text")), options.get("tokens", 4000)
+    cut = first_model_tokens(stripped, most, options["tokenizer"]) if "tokenizer" in options else X.first_tokens(stripped, most)
     rows = texts.select("id", F.when(cut != "", X.fill(options.get("template", "Who would write this?\n{text}"), text=cut)).otherwise("").alias("prompt"))
     out = _asked(rows, options).where("finish_reason = 'stop'").select("id", X.after_tag(X.strip(F.col("generation")), "</think>").alias("persona"))
     io.write_jsonl(out, paths["output"])
@@ -143,6 +145,10 @@ def keyed(df: DataFrame) -> DataFrame:
     return filters.with_keys(df.withColumns({n: F.coalesce(F.col(f"input.{n}"), F.lit("None")) for n in names}))
 
 
+#: Reasons of the quality cascade in the order in which they are judged.
+STEPS = ["allow", "blank", "stats", "ratio", "copy", "image", "colour", "copy_image"]
+
+
 @stage("dataset filter", "quality cascade with reasons, caps on copies, statistics of every step")
 def dataset_filter(spark, paths, options):
     limits = io.read_jsonl(spark, paths["limits"], "category_key string, lang_key string, max_node string, max_thresh double, min_node string, min_thresh double")
@@ -174,7 +180,16 @@ def dataset_filter(spark, paths, options):
     limits_ = [c for c in limits.columns if c not in ("category_key", "lang_key")]
     io.write_jsonl(rows.where("reason IS NULL").drop("reason", *limits_), paths["output"])
     io.write_routes(rows.where("reason IS NOT NULL").drop(*limits_), "reason", paths["removed"])
-    io.write_jsonl(stats.counts_by(rows.where("reason IS NULL"), ["category_key", "cat_lang", "cat_lang_compl"]), paths["statistics"])
+    keys = ["category_key", "cat_lang", "cat_lang_compl"]
+    io.write_jsonl(stats.counts_by(rows.where("reason IS NULL"), keys), paths["statistics"])
+    if "steps" in paths:  # what is left after each step, a folder a step
+        gone = {f"after_{step}": F.sum(F.coalesce(~F.col("reason").isin(*STEPS[: i + 1]), F.lit(True)).cast("bigint")) for i, step in enumerate(STEPS)}
+        left = F.explode(F.array(F.struct(F.lit("input").alias("step"), F.col("n").alias("left")), *(F.struct(F.lit(step).alias("step"), F.col(f"after_{step}").alias("left")) for step in STEPS)))
+        counts = stats.counts_by(rows, keys, **gone).select("key", "value", left.alias("s"))
+        io.write_routes(counts.select("s.step", "key", "value", F.col("s.left").alias("n")).where("n > 0 OR key = 'total'"), "step", paths["steps"])
+    if "images" in paths and "rejected" in paths:
+        pictures = rows.where("reason IN ('ratio', 'image', 'colour', 'copy_image') AND path_img_1 IS NOT NULL").select("reason", "path_img_1")
+        io.copy_pictures(pictures, "path_img_1", "reason", paths["images"], paths["rejected"])
 
 
 @stage("dataset score", "verdicts of a judge, routed to true, false, null, fail and not_stop")
@@ -192,7 +207,7 @@ def dataset_split(spark, paths, options):
     for kind, sizes, over, full in (("qa", (4000, 1000, 1000), ["quantum_qasm", "mol_smiles"], ["dna_vienna", "chess_fen"]), ("ps", (2000, 2000, 2000), options.get("ps_overlapping", []), ["chess_fen"])):
         if kind not in paths:
             continue
-        rows = keyed(io.read_jsonl(spark, paths[kind], RENDERED)).withColumn("id", F.col("input.id"))
+        rows = evaluate.with_molecules(keyed(io.read_jsonl(spark, paths[kind], RENDERED)), F.col("lang_key")).withColumn("id", F.col("input.id"))
         has = F.size(filters.node_counts(F.col("statistics"), F.col("lang_key"))) > 0
         out = split.quota_split(rows, "cat_lang", "id", options.get(f"{kind}_sizes", sizes), over, full, (F.col("cat_lang") == "chart_plotly") & has, options.get("reserve", 2000), kind)
         io.write_routes(out, "bucket", f"{paths['output']}/{kind}")

@@ -6,13 +6,15 @@ import json
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
-from millrace.functions.lineage import cut
+from millrace.functions.lineage import cut, drop
 from millrace.functions.position import numbered
+from millrace.session import ship
 
 DOCUMENT_ROWS = 100_000
 SCHEME = "^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)"
@@ -144,6 +146,51 @@ def measure_files(spark: SparkSession, paths: DataFrame, folder: str, path_col:
     return asked.select("path", *(F.coalesce(f"_found.{c}", F.lit(0).cast("long")).alias(c) for c in ("lines", "characters")))
 
 
+def _arrow_file(path: str):
+    """(Arrow's file system, its path) of a path with or without a scheme."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def copy_pictures(rows: DataFrame, path_col: str, group: str, folder: str, out: str) -> DataFrame:
+    """Copies the files that rows (path, group) name to ``out``/group/place below ``folder``; rows (source, target), one a file and group. Files are matched as by ``with_file``; what isn't there is left out, and so are empty files, which Spark doesn't list.
+
+    The executors copy, each file under a name of its own first and then renamed, so a task that runs again replaces a
+    copy by an equal one, and a task that dies leaves no part of a file among the copies.
+    """
+    spark = rows.sparkSession
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("path").alias("source"))
+    found = with_file(rows.select(path_col, group), path_col, listed, folder).where("_found IS NOT NULL").select(F.col(group).alias("group"), "_found.source").distinct()
+    system, root = _file(spark, folder)
+    root = re.sub(SCHEME, "", system.makeQualified(root).toString()).rstrip("/")
+    system, target = _file(spark, out)
+    to = system.makeQualified(target).toString().rstrip("/")
+    ship(spark)
+
+    def copy(batches):
+        for batch in batches:
+            targets = []
+            for kind, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = re.sub(SCHEME, "", source).removeprefix(root).lstrip("/")
+                goal = f"{to}/{kind}/{place}"
+                (there, origin), (here, final), (_, part) = _arrow_file(source), _arrow_file(goal), _arrow_file(f"{to}/_parts/{uuid.uuid4().hex}")
+                for name in (final, part):
+                    here.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with there.open_input_stream(origin) as data, here.open_output_stream(part) as sink:
+                    while chunk := data.read(1 << 20):
+                        sink.write(chunk)
+                here.move(part, final)
+                targets.append(goal)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(targets, pa.string())], ["source", "target"])
+
+    done = cut(found.mapInArrow(copy, "source string, target string"), "copies", result=True)
+    drop(spark, f"{to}/_parts")
+    return done
+
+
 def in_order(rows: DataFrame, place: str) -> DataFrame:
     """Rows read from files with their ``place``, from 0, in the order of the files' names and of the lines."""
     where = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}

@@ -43,8 +43,11 @@ def test_quality_filter(spark, tmp_path):
     rows = [sample(i, code="(a, b);") for i in range(5)] + [sample(9, code=" "), sample(10, size={"width": 1, "height": 0}), sample(11, statistics="{}")]
     rows.append(sample(12) | {"input": sample(12)["input"] | {"lang_key": "other"}})
     limits = lines(tmp_path / "l.jsonl", [{"category_key": "tree", "lang_key": "newick", "max_node": "sum", "max_thresh": 9.0}])
-    paths = {"input": lines(tmp_path / "i.jsonl", rows), "limits": limits, **{k: str(tmp_path / k) for k in ("output", "removed", "statistics")}}
+    paths = {"input": lines(tmp_path / "i.jsonl", rows), "limits": limits, **{k: str(tmp_path / k) for k in ("output", "removed", "statistics", "steps")}}
     stages.run("dataset filter", spark, paths)
+    left = {r["step"]: r["n"] for r in read(spark, tmp_path / "steps") if r["key"] == "total"}
+    assert left == {"input": 9, "allow": 8, "blank": 7, "stats": 6, "ratio": 5, "copy": 3, "image": 3, "colour": 3, "copy_image": 3}
+    assert {(r["value"], r["n"]) for r in read(spark, tmp_path / "steps") if r["key"] == "cat_lang" and r["step"] == "input"} == {("tree_newick", 8), ("tree_other", 1)}
     assert sorted(r["input"]["id"] for r in read(spark, tmp_path / "output")) == ["0", "1", "2"]
     assert sorted((r["input"]["id"], r["reason"]) for r in read(spark, tmp_path / "removed")) == [("10", "ratio"), ("11", "stats"), ("12", "allow"), ("3", "copy"), ("4", "copy"), ("9", "blank")]
 
@@ -82,8 +85,9 @@ def test_quality_filter_reads_images(spark, tmp_path):
     (tmp_path / "img" / "6.png").write_bytes(b"no picture")
     rows = [sample(i, code=f"(a{i}, b);") for i in range(8)]  # there is no file for the last one
     limits = lines(tmp_path / "l.jsonl", [{"category_key": "tree", "lang_key": "newick"}])
-    paths = {"input": lines(tmp_path / "i.jsonl", rows), "limits": limits, "images": str(tmp_path / "img"), **{k: str(tmp_path / k) for k in ("output", "removed", "statistics")}}
+    paths = {"input": lines(tmp_path / "i.jsonl", rows), "limits": limits, "images": str(tmp_path / "img"), **{k: str(tmp_path / k) for k in ("output", "removed", "statistics", "rejected")}}
     stages.run("dataset filter", spark, paths)
+    assert sorted(str(f.relative_to(tmp_path / "rejected")) for f in (tmp_path / "rejected").rglob("*.png")) == ["colour/4.png", "copy_image/3.png", "image/6.png"]
     assert sorted(r["input"]["id"] for r in read(spark, tmp_path / "output")) == ["0", "1", "2", "5"]
     assert sorted((r["input"]["id"], r["reason"]) for r in read(spark, tmp_path / "removed")) == [("3", "copy_image"), ("4", "colour"), ("6", "image"), ("7", "image")]
     seen = {r["path"].rpartition("/")[2]: r for r in image.examined(io.read_pictures(spark, str(tmp_path / "img"))).collect()}
