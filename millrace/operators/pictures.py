@@ -19,12 +19,6 @@ def average_hash(thumb: Column) -> Column:
     return F.when(F.size(thumb) == BITS, bits)
 
 
-def thumbnail(pixels: Column, side: int = 8) -> Column:
-    """side x side values of a row of grey values, nearest neighbours at even steps; null without any."""
-    n = F.size(pixels)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.element_at(pixels, (F.floor(i * n / (side * side)) + 1).cast("int"))))
-
-
 def _keys(hash_: Column, radius: int, agree: int) -> Column:
     """Array of (combination, bits): radius + agree bands of the hash, any ``agree`` of them together. Hashes within the radius differ in at most ``radius`` bands, so they have a key in common."""
     parts = radius + agree
@@ -51,7 +45,7 @@ def near_counts(pictures: DataFrame, radius: int = 4, agree: int = 2, tolerance:
     the join is of distinct hashes and the first number comes from their counts. Only classes in neighbouring cells of
     a grid are compared value by value.
     """
-    rows = pictures.where(F.size("thumb") == BITS)
+    rows = cut(pictures.where(F.size("thumb") == BITS).select("id", "thumb"), "thumbs", result=True)
     classes = cut(rows.groupBy("thumb").agg(F.min("id").alias("rep"), F.count("*").alias("members")).withColumn("hash", average_hash(F.col("thumb"))), "classes", result=True)
     hashes = classes.groupBy("hash").agg(F.sum("members").alias("members"))
     keyed = cut(hashes.select("hash", F.explode(_keys(F.col("hash"), radius, agree)).alias("k")).select("hash", "k.comb", "k.bits"), "keyed", result=True)

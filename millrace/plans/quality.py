@@ -211,7 +211,7 @@ p AS (SELECT a.doc_id, b.doc_id AS other, a.thumb = b.thumb AS same, list_max([a
 SELECT h.doc_id, least(h.doc_id, coalesce(min(other) FILTER (same), h.doc_id)) AS class_id, count(other) AS n_near, count(other) FILTER (close) AS n_close FROM h LEFT JOIN p USING (doc_id) GROUP BY h.doc_id"""
 )
 def pictures_near(spark, sf_dir) -> DataFrame:
-    # the grey values of the stand-in are the texts' characters
-    grey = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long"))
-    rows = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("id"), pictures.thumbnail(grey).alias("thumb"))
-    return pictures.near_counts(rows).withColumnRenamed("id", "doc_id")
+    # the stand-in's thumbnail is made of 64 of the text's characters at even steps; a text isn't split, as it may be long
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("id"), "text", F.length("text").alias("n"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.ascii(F.substring("text", (F.floor(i * F.col("n") / 64) + 1).cast("int"), 1)).cast("long"))
+    return pictures.near_counts(rows.select("id", at.alias("thumb"))).withColumnRenamed("id", "doc_id")
