@@ -88,6 +88,6 @@ sz AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM tok a JOIN tok b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT p.a, p.b, k::DOUBLE / (x.n + y.n - k) AS j, x.n = k AND y.n = k AS same FROM p JOIN sz x ON p.a = x.doc_id JOIN sz y ON p.b = y.doc_id WHERE 10 * k >= 9 * (x.n + y.n - k))"""
 GREEDY_SQL = f"""{JACCARD_SQL},
-later AS (SELECT b AS x, list(a) AS smaller, row_number() OVER (ORDER BY b) AS i FROM links GROUP BY b),
+later AS MATERIALIZED (SELECT b AS x, list(a) AS smaller, row_number() OVER (ORDER BY b) AS i FROM links GROUP BY b),
 step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT later.i, CASE WHEN len(list_filter(smaller, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, x) ELSE gone END FROM step JOIN later ON later.i = step.i + 1),
-last AS (SELECT arg_max(gone, i) AS gone FROM step)"""
+last AS MATERIALIZED (SELECT arg_max(gone, i) AS gone FROM step)"""
