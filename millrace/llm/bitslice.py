@@ -13,8 +13,9 @@ Where a component of a row or a query is so large that slices or sums could leav
 run on doubles: the margin is the proven rounding error of the approximate sum, and the boundary rows are
 scored in integers of any length.
 
-Queries are a stated set and meet all candidates in blocks: query blocks are dealt the same way, and each pair
-of a candidate block and a query block is a key of its own in an equi-join.
+Queries are a stated set and meet all candidates in blocks. Up to BROADCAST_QUERIES queries are broadcast, each once,
+to candidate blocks that aren't copied. More are dealt to blocks of ASK queries, and each of these and a group of SUPER
+candidate blocks is a key of its own in a sorted join, so nothing of them passes the driver.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 without id; all others do, whatever their size. Ranks follow the exact scores; a score that a long can't hold
@@ -40,6 +41,9 @@ from millrace.llm.common import cut, ready, tidy
 SCALE = 1024
 BLOCK = 1024
 QUERY_BLOCK = 512
+BROADCAST_QUERIES = 20_000
+ASK = 8192
+SUPER = 16
 SLICES = 8
 NARROW = 2**62
 LONG = 2**63
@@ -229,15 +233,22 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10) -> DataFrame:
     rows = cut(rows, "vectors", result=True)
     queries = rows.where(query_filter(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("row")).select("vec_id", "row.dims", "row.v", F.lit(1).cast("long").alias("copies"))
     n_rows, n_queries = rows.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    blocks, few = max(1, -(-n_rows // BLOCK)), n_queries <= BROADCAST_QUERIES
+    query_blocks = max(1, -(-n_queries // (QUERY_BLOCK if few else ASK)))
+    supers = -(-blocks // SUPER)
 
-    def dealt(df: DataFrame, n: int, name: str, against: int, other: str) -> DataFrame:
+    def dealt(df: DataFrame, n: int, name: str) -> DataFrame:
         lane = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int").alias(name)
         lists = df.select("dims", lane, F.struct("vec_id", "v", "copies").alias("row")).groupBy("dims", name).agg(F.array_sort(F.collect_list("row")).alias("rows"))
-        lists = lists.select("dims", name, F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_values"), F.col("rows.copies").alias(f"{name}_copies"))
-        return lists.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(against - 1))))
-
-    pairs = dealt(rows, blocks, "block", query_blocks, "ask").join(dealt(queries, query_blocks, "ask", blocks, "block"), ["dims", "block", "ask"])
+        return lists.select("dims", name, F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_values"), F.col("rows.copies").alias(f"{name}_copies"))
+
+    held, asked = dealt(rows, blocks, "block"), dealt(queries, query_blocks, "ask")
+    if few:
+        pairs = held.join(F.broadcast(asked), "dims")
+    else:
+        held = held.withColumn("super", F.floor(F.col("block") / SUPER)).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        asked = asked.withColumn("super", F.explode(F.sequence(F.lit(0), F.lit(supers - 1)).cast("array<long>")))
+        pairs = held.join(asked.hint("merge"), ["dims", "super", "ask"])
     pairs = pairs.select("dims", "block_ids", "block_values", "ask_ids", "ask_values", "block_copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and very long texts, ties, repeated rows, clashing columns, and none."""
 
 import hashlib
+import itertools
 import json
 import random
 import zlib
@@ -524,6 +525,32 @@ def test_top_k(spark):
     assert bitslice.top_k(df.where("false"), lambda i: i % 10 == 0, 7).count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_top_k_in_many_blocks(spark, monkeypatch, most):
+    """Queries are broadcast once each, not once for every block of candidates; too many of them aren't broadcast."""
+    for name, n in {"BLOCK": 16, "QUERY_BLOCK": 4, "ASK": 5, "SUPER": 3, "BROADCAST_QUERIES": most}.items():
+        monkeypatch.setattr(bitslice, name, n, raising=False)
+    draw = np.random.default_rng(5)
+    vecs = draw.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    found = bitslice.top_k(df, lambda i: i % 10 == 0, 7)
+    got = sorted(map(tuple, found.collect()))
+    whole = np.floor(vecs * 1024).astype(int)
+    want = []
+    for q in range(0, 300, 10):
+        score = whole @ whole[q]
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-score[i], i))[:7]
+        want += [(q, r + 1, i, score[i]) for r, i in enumerate(best)]
+    assert got == sorted(want)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    sent = [i for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    for i in sent:
+        under = [line for line in itertools.takewhile(lambda line: depth(line) > depth(lines[i]), lines[i + 1 :])]
+        assert not [line for line in under if "Generate" in line]
+    assert bool(sent) == (most > 30)
+
+
 @pytest.mark.parametrize("low,high", [(19, 20), (21, 40), (5, 60)])
 def test_top_k_of_large_components(spark, low, high):
     """Scores are exact whatever the components' size; those past a long are ranked exactly and returned as the nearest long."""
