@@ -101,8 +101,7 @@ def _measured(rows: DataFrame, centroids: np.ndarray) -> tuple[int, float]:
     parts = max(1, -(-rows.count() // MEASURED))
     asked = rows.where(F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)) == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
     ranked = asked.withColumn("order", _nearest(centroids, len(centroids))("qvec")).select("query_id", "order")
-    scored = vector.scores(rows.select("id", F.struct("vec", "list").alias("held")).select("id", "held.vec", "held.list"), asked).where("id <> query_id")
-    best = vector.top_k(scored, NEIGHBOURS).join(ranked, "query_id")
+    best = vector.nearest(rows, asked, NEIGHBOURS, tag="list").join(ranked, "query_id")
     at = best.select(F.array_position("order", F.col("list")).alias("at")).groupBy("at").count().collect()  # a row a list
     found = np.zeros(len(centroids) + 1)
     for r in at:
@@ -122,11 +121,17 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*(column(c) for c in ("vec", "middle", "radius", "norm")), spark.read.parquet(f"{path}/rows"), probes, recall)
 
 
-def _in_lists(index: Index, asked: DataFrame, few: bool) -> DataFrame:
-    """Scored rows of (query_id, qvec, list, ...): only the folders of lists that are asked for are read."""
+def _in_lists(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """The k best for each query of (query_id, qvec, list, ...) in the lists asked for: only their folders are read."""
     wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # at most a row a list
     rows = index.rows.where(F.col("list").isin(wanted))
-    return rows.join(F.broadcast(asked) if few else asked, "list").withColumn("score", F.round(vector.dot("vec", "qvec"), 6)).drop("vec", "qvec")
+    return vector.nearest(rows, asked.select("query_id", "qvec", "list"), k, other=False, on="list")
+
+
+def _with_columns(best: DataFrame, queries: DataFrame) -> DataFrame:
+    """Adds the other columns of the queries."""
+    more = [c for c in queries.columns if c not in ("query_id", "qvec")]
+    return best.join(queries.select("query_id", *more), "query_id") if more else best
 
 
 def _bounds(index: Index):
@@ -148,9 +153,8 @@ def _bounds(index: Index):
 
 def _opened(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(best of the nearest lists, rows (query columns, list, late) of the lists that an exact search opens)."""
-    few = queries.count() <= vector.BROADCAST_QUERIES
     early = queries.withColumn("list", F.explode(_nearest(index.centroids, index.probes)("qvec")))
-    first = cut(vector.top_k(_in_lists(index, early, few), k).drop("list"), "nearest", result=True)
+    first = cut(_in_lists(index, early, k), "nearest", result=True)
     reached = first.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("least")).select("query_id", F.when(F.col("found") >= k, F.col("least")).alias("least"))
     every = queries.withColumn("b", F.explode(_bounds(index)("qvec"))).select(*queries.columns, "b.list", "b.bound").join(reached, "query_id", "left")
     late = every.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
@@ -166,10 +170,9 @@ def opened(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """Rows (query columns, id, score, rank): the k best for queries (query_id, qvec, ...), exact; with ``probes`` the best of that many nearest lists (``index.probes`` of them find ``index.recall`` of all)."""
-    few = queries.count() <= vector.BROADCAST_QUERIES
     if probes is not None and probes < index.lists:
         asked = queries.withColumn("list", F.explode(_nearest(index.centroids, probes)("qvec")))
-        return vector.top_k(_in_lists(index, asked, few).drop("list"), k)
+        return _with_columns(_in_lists(index, asked, k), queries)
     first, lists = _opened(index, queries, k)
-    more = _in_lists(index, lists.where("late").drop("late"), few).drop("list")
-    return vector.top_k(first.drop("rank").unionByName(more), k)
+    more = _in_lists(index, lists.where("late"), k)
+    return _with_columns(vector.top_k(first.unionByName(more).drop("rank"), k), queries)
