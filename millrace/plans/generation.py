@@ -61,7 +61,8 @@ def stream_ingest_docs(spark, sf_dir) -> DataFrame:
 @query("SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents")
 def stream_pages_docs(spark, sf_dir) -> DataFrame:
     docs, hub, out, marks = table(spark, sf_dir, "documents").select("doc_id", "text"), *(_folder(spark, x) for x in ("hub", "sink", "marks"))
-    docs.write.parquet(f"{hub}/main/train")
+    # a page is found by decoding its row group up to it, so groups are small
+    docs.write.option("parquet.block.size", 2**23).parquet(f"{hub}/main/train")
     batch = max(pages.BATCH_ROWS, -(-spark.read.parquet(f"{hub}/main/train").count() // 16))
     sink = ledger.drain(pages.stream_pages(spark, hub, marks, "main", "train", batch_rows=batch), out, marks)
     return sink.read(docs.schema).select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
@@ -70,7 +71,7 @@ def stream_pages_docs(spark, sf_dir) -> DataFrame:
 @query(f"WITH RECURSIVE {GREEDY_SQL}, flags AS (SELECT sz.doc_id, NOT list_contains(last.gone, sz.doc_id) AS kept FROM sz, last) SELECT doc_id, coalesce(kept, true) AS kept FROM documents LEFT JOIN flags USING (doc_id)")
 def stream_dedup_docs(spark, sf_dir) -> DataFrame:
     docs, hub, out, marks = table(spark, sf_dir, "documents").select("doc_id", "text"), *(_folder(spark, x) for x in ("hub", "sink", "marks"))
-    docs.orderBy("doc_id").write.parquet(f"{hub}/main/train")
+    docs.orderBy("doc_id").write.option("parquet.block.size", 2**23).parquet(f"{hub}/main/train")
     batch = max(pages.BATCH_ROWS, -(-spark.read.parquet(f"{hub}/main/train").count() // 16))
     return near.keep_first(pages.stream_pages(spark, hub, marks, "main", "train", batch_rows=batch), out, marks)
 

@@ -30,6 +30,9 @@ PAGE_ROWS = 1000
 BATCH_ROWS = 10_000
 TRIES = 4
 WAIT_S = 0.2
+#: A folder's page is decoded so many rows at a time, from so large a buffer: what a task holds doesn't grow with a file's row groups.
+STEP_ROWS = 128
+BUFFER_BYTES = 2**20
 
 
 class HttpStore:
@@ -108,7 +111,7 @@ class FolderStore:
             if at < end and at + n > start:
                 with self.system.open_input_file(path) as f:
                     here = at
-                    for batch in pq.ParquetFile(f).iter_batches(row_groups=[group], columns=schema.names):
+                    for batch in pq.ParquetFile(f, buffer_size=BUFFER_BYTES).iter_batches(STEP_ROWS, row_groups=[group], columns=schema.names, use_threads=False):
                         a, b = max(start - here, 0), min(end - here, batch.num_rows)
                         if a < b:
                             yield batch.slice(a, b - a).select(schema.names)

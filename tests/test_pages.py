@@ -134,3 +134,12 @@ def test_two_streams_share_a_sink(spark, folder, tmp_path):
 def test_an_empty_ledger(spark, tmp_path):
     sink = ledger.Ledger(spark, str(tmp_path / "none"))
     assert sink.read("id long").count() == 0 and sink.sweep() == 0
+
+
+def test_a_page_of_a_large_row_group_comes_in_small_steps(tmp_path):
+    """What a task holds of a folder's page doesn't grow with the row group."""
+    pq.write_table(pa.table({"i": list(range(5000)), "text": ["x" * 50] * 5000}), tmp_path / "a.parquet")
+    store = pages.FolderStore(str(tmp_path), {})
+    found = list(store.page(1100, 2100, store.schema()))
+    assert [x for b in found for x in b.column(0).to_pylist()] == list(range(1100, 2100))
+    assert max(b.num_rows for b in found) <= 128 and max(b.get_total_buffer_size() for b in found) < 50_000
