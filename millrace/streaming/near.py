@@ -4,14 +4,18 @@ A row is dropped if it is similar to a row kept before it, of an earlier batch o
 one pass over all rows in the order of arrival, whatever the batches. A batch is one entry of the ledger, which holds
 its rows' flags and, of the kept ones, sets of words and prefixes: a batch that runs again meets the same store.
 
-Similar sets share a word among the first n - ceil(n * num / den) + 1, in any one order of words. The order must not
-change while the stream runs, so it isn't by counts, as ``operators.dedup`` has it, but long words come first, which are
-rare. A batch reads the index of the store once, so its cost is the store's size a batch: choose large batches.
+Similar sets of sizes n <= m differ in few words, at most k of them. Words are dealt by their hash into more than k
+parts, so at least one part is the same in both, and the parts' hashes are what sets are found by: some words together,
+which few other sets have, as one word need not be. The number of parts goes by the class of the smaller size, so a set
+has the parts of its own class and, where it is the larger one, of the class below. A batch reads the index of the store
+once, so its cost is the store's size a batch: choose large batches.
 Rows without words, null texts among them, are kept; ids may repeat or be null; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,29 +27,44 @@ from millrace.streaming import ledger
 STORED = "n long, id {}, kept boolean, words array<string>, prefix array<long>, batch string"
 
 
+def parts_of(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set of words' hashes: similar sets have one in common."""
+    out = []
+    c = int(np.floor(np.log(len(hashes)) / np.log(den / num) - 1e-9)) if num < den else 0
+    for scheme in (c, c - 1) if num < den else (c,):
+        # of sets below these sizes, similar ones differ in at most so many words
+        sizes = (den / num) ** (scheme + 1) + (den / num) ** (scheme + 2)
+        differ = int(np.ceil(sizes * (den - num) / (den + num)))
+        spare = differ // 8 + 1
+        parts = differ + 1 + spare
+        place = (hashes % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, place, hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        held = np.zeros(parts, bool)
+        held[place] = True
+        # at least spare + 1 parts agree; unless more than spare are empty, one of these has words
+        chosen = np.flatnonzero(held) if parts - held.sum() <= spare else np.arange(parts)
+        key = (sums[chosen] ^ (sums[chosen] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(key + chosen.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + np.uint64((scheme + 1000) * 0xD6E8FEB86659FD93 % 2**64))
+    return np.concatenate(out).view(np.int64)
+
+
 def with_prefix(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Adds ``prefix``: hashes of the words by one of which every similar set of ``words`` is found."""
-    keyed = F.transform("words", lambda w: F.struct((-F.length(w)).alias("l"), F.xxhash64(w).alias("h")))
-    n = F.size("words")
-    keep = (n - F.ceil(n * num / den) + 1).cast("int")
-    return sets.withColumn("prefix", F.when(n > 0, F.slice(F.transform(F.sort_array(keyed), lambda x: x["h"]), F.lit(1), keep)))
+    """Adds ``prefix``: the keys by one of which every similar set of ``words`` is found; null without words."""
 
+    @F.pandas_udf("array<long>")
+    def keys(hashes: pd.Series) -> pd.Series:
+        return pd.Series([parts_of(np.asarray(h, np.int64).view(np.uint64), num, den) if len(h) else None for h in hashes], dtype=object)
 
-def _tokens(sets: DataFrame, names: list[str], num: int, den: int) -> DataFrame:
-    """Rows (names, size, left, w, c): of each word of a prefix, the words from it on and the class of sizes."""
-    size = F.size("words")
-    c = F.floor(F.log(size.cast("double")) / F.log(F.lit(den / num)) - 1e-9).cast("int") if num < den else size
-    return sets.select(*names, size.alias("size"), c.alias("c"), F.posexplode("prefix").alias("at", "w")).withColumn("left", F.col("size") - F.col("at"))
+    return sets.withColumn("prefix", keys(F.transform("words", lambda w: F.xxhash64(w))))
 
 
 def similar_to_stored(new: DataFrame, store: DataFrame, num: int, den: int) -> DataFrame:
     """The n of the rows (n, words, prefix) that are similar to one of the store's rows (batch, n, words, prefix)."""
-    near = range(-2, 3) if num < den else range(1)  # sizes of similar sets lie in neighbouring classes
-    a = _tokens(new, ["n"], num, den).select("n", F.col("size").alias("size_a"), F.col("left").alias("left_a"), "w", F.explode(F.array(*(F.col("c") + i for i in near))).alias("c"))
-    b = _tokens(store, ["batch", F.col("n").alias("n_b")], num, den).select("batch", "n_b", F.col("size").alias("size_b"), F.col("left").alias("left_b"), "w", "c")
-    both = F.col("size_a") + F.col("size_b")
-    pairs = a.join(b, ["w", "c"]).where(F.least("left_a", "left_b") * (num + den) >= both * num).select("n", "batch", "n_b").distinct()
-    pairs = cut(pairs, "pairs")
+    a = new.select("n", F.size("words").alias("size_a"), F.explode("prefix").alias("k"))
+    b = store.select("batch", F.col("n").alias("n_b"), F.size("words").alias("size_b"), F.explode("prefix").alias("k"))
+    fits = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
+    pairs = cut(a.join(b, "k").where(fits).select("n", "batch", "n_b").distinct(), "pairs")
     left = pairs.join(new.select("n", F.col("words").alias("words_a")), "n")
     met = left.join(store.select("batch", F.col("n").alias("n_b"), F.col("words").alias("words_b")), ["batch", "n_b"])
     same = F.size(F.array_intersect("words_a", "words_b"))

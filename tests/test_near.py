@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -149,3 +150,23 @@ def test_one_pass_agrees(spark):
     rows = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
     kept = {r["doc_id"]: r["kept"] for r in dedup.greedy_keep_first(rows, 9, 10).collect()}
     assert [kept.get(i, True) for i in range(60)] == greedy(found)
+
+
+def test_keys_lose_no_similar_set():
+    """Sets as unlike as the threshold allows, of the same and of different sizes, share a key; unlike ones with common words don't."""
+    draw = np.random.default_rng(6)
+    for n in [*range(1, 60), 97, 250, 1000, 3000]:
+        for _ in range(8):
+            a = draw.integers(0, 2**64, n, dtype=np.uint64)
+            cut_, add = int(draw.integers(0, n // 9 + 1)), 0
+            while 10 * (n - cut_) >= 9 * (n + add + 1):
+                add += 1
+            if 10 * (n - cut_) < 9 * (n + add):
+                continue
+            b = np.concatenate([a[cut_:], draw.integers(0, 2**64, add, dtype=np.uint64)])
+            assert np.intersect1d(near.parts_of(a, 9, 10), near.parts_of(b, 9, 10)).size, (n, cut_, add)
+    common = draw.integers(0, 2**64, 100, dtype=np.uint64)
+    sets = [np.concatenate([common, draw.integers(0, 2**64, 100, dtype=np.uint64)]) for _ in range(40)]
+    keys = [near.parts_of(x, 9, 10) for x in sets]
+    met = sum(np.intersect1d(keys[i], keys[j]).size > 0 for i in range(40) for j in range(i))
+    assert met < 200  # of 780
