@@ -123,6 +123,23 @@ def test_pictures_equal_brute_force(spark):
     assert pictures.near_counts(spark.createDataFrame([], "id long, thumb array<long>")).count() == 0
 
 
+def test_pairs_of_hashes_are_added_up_where_they_meet(spark, monkeypatch):
+    """276 hashes, all within 4 bits of each other: what is written of them doesn't grow with their pairs."""
+    draw = random.Random(3)
+    flips = [(i, j) for i in range(24) for j in range(i)]
+    thumbs = [[draw.randrange(170, 250) if (k % 2 == 1) != (k in f) else draw.randrange(40) for k in range(64)] for f in flips]
+    written, real = {}, pictures.cut
+
+    def cut(df, hint="t", result=False):
+        written[hint] = real(df, hint, result)
+        return written[hint]
+
+    monkeypatch.setattr(pictures, "cut", cut)
+    rows = pictures.near_counts(spark.createDataFrame(list(enumerate(thumbs)), "id long, thumb array<long>")).collect()
+    assert len({bits_of(t) for t in thumbs}) == len(rows) == 276 and all(r["n_near"] == 275 for r in rows)
+    assert written["near"].count() < 276 * 275 / 2 / 4
+
+
 def test_a_bit_at_each_end_of_the_hash(spark):
     thumb = [9] + [0] * 62 + [9]
     got = spark.range(1).select(pictures.average_hash(F.array(*(F.lit(v).cast("long") for v in thumb))).alias("h")).first()["h"]
