@@ -1,5 +1,6 @@
 """Near duplicates across batches, similar pictures, the quota that stops early."""
 
+import os
 import random
 
 import numpy as np
@@ -169,6 +170,40 @@ def test_one_pass_agrees(spark):
     assert [kept.get(i, True) for i in range(60)] == greedy(found)
 
 
+def test_words_of_texts_without_partner_are_not_written(spark, monkeypatch):
+    """Of unlike texts only sizes, hashes and bitmaps are kept; the words are read again of those that look alike."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(12))
+    texts = [[word() for _ in range(300)] for _ in range(150)]
+    texts.append(texts[4][:290] + ["other"])
+    texts.append([*texts[4][:290], "other", "other"])
+    written, real = [], dedup.saved
+
+    def saved(df, *args, **more):
+        written.append(real(df, *args, **more))
+        return written[-1]
+
+    monkeypatch.setattr(dedup, "saved", saved)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["class_id"], r["n_links"]) for r in dedup.link_counts(df, 9, 10).collect()}
+    assert got == {i: (300, i, 2 if i == 4 else 0) for i in range(150)} | {150: (291, 150, 2), 151: (291, 150, 2)}
+    size = sum(os.path.getsize(f.removeprefix("file://")) for t in written for f in t.inputFiles())
+    assert size < sum(len(" ".join(t)) for t in texts) / 4
+
+
+@pytest.mark.parametrize("num, den", [(9, 10), (1, 2), (1, 1)])
+def test_links_do_not_depend_on_what_frequencies_say(spark, monkeypatch, num, den):
+    """Nor on how many slots the table has: collisions change the order of words, not the links."""
+    texts = [t for t in texts_of(90, 11) if t and t.strip()]
+    want = [sum(den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets) if j != i) for sets in [[set(t.split()) for t in texts]] for i, a in enumerate(sets)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for slots, chunk, ids in ((1 << 24, 1 << 16, 2_000_000), (16, 4, 0)):
+        for name, value in (("SLOTS", slots), ("CHUNK", chunk), ("BROADCAST_IDS", ids)):
+            monkeypatch.setattr(dedup, name, value)
+        got = {r["doc_id"]: r["n_links"] for r in dedup.link_counts(df, num, den).collect()}
+        assert [got[i] for i in range(len(texts))] == want and sum(want)
+
+
 def test_keys_lose_no_similar_set():
     """Sets as unlike as the threshold allows, of the same and of different sizes, share a key; unlike ones with common words don't."""
     draw = np.random.default_rng(6)
