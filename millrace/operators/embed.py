@@ -42,11 +42,27 @@ DIGITS = 9
 A, B = 1.577, 0.8951
 
 
-def usable(points: DataFrame) -> DataFrame:
-    """Rows (id, vec): unit vectors of doubles."""
+def _whole(points: DataFrame) -> DataFrame:
+    """Rows (id, vec): vectors of doubles as they are, those that take part."""
     vec = F.col("vec").cast("array<double>")
     whole = F.coalesce((F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    return points.where(F.col("id").isNotNull() & whole).select("id", vector.normalized(F.col("vec")).alias("vec")).dropDuplicates(["id"])
+    return points.where(F.col("id").isNotNull() & whole).select("id", vec.alias("vec")).dropDuplicates(["id"])
+
+
+def usable(points: DataFrame) -> DataFrame:
+    """Rows (id, vec): unit vectors of doubles."""
+    return _whole(points).select("id", vector.normalized(F.col("vec")).alias("vec"))
+
+
+def _light(points: DataFrame) -> DataFrame:
+    """Rows (id, vec, norm) of rows (id, vec): vectors to be divided by their lengths where they are used, as floats if all of them are."""
+    short = F.col("vec").cast("array<float>")
+    same = points.where(short.cast("array<double>") != F.col("vec")).isEmpty()
+    return points.select("id", (short if same else F.col("vec")).alias("vec"), F.sqrt(vector.dot(F.col("vec"), F.col("vec"))).alias("norm"))
+
+
+def _unit(vecs: list, norms: np.ndarray) -> np.ndarray:
+    return np.array(vecs, float) / np.where(norms > 0, norms, 1.0)[:, None]
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -68,15 +84,15 @@ def _similar(ids: np.ndarray, vecs: np.ndarray, floor: np.ndarray, k: int) -> tu
 
 
 def _first(points: DataFrame, k: int, dims: int, seed: int) -> DataFrame:
-    found = None
+    found, unit = None, F.when(F.col("norm") > 0, F.transform("vec", lambda x: x.cast("double") / F.col("norm"))).otherwise(F.col("vec").cast("array<double>"))
     for way in range(DIRECTIONS):
         direction = np.random.default_rng([seed, way]).normal(size=dims)
-        along = F.aggregate(F.zip_with("vec", F.array(*map(F.lit, direction.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        along = F.aggregate(F.zip_with(unit, F.array(*map(F.lit, direction.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         places = numbered(points.select("id", F.round(along, DIGITS).alias("along")), [], ["along", "id"], "place").select("id", F.floor(F.col("place") / BLOCK).alias("block"))
 
         def within(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("id")
-            a, b, sim = _similar(rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy()), np.full(len(rows), -np.inf), k)
+            a, b, sim = _similar(rows["id"].to_numpy(), _unit(list(rows["vec"]), rows["norm"].to_numpy()), np.full(len(rows), -np.inf), k)
             return pd.DataFrame({"a": a, "b": b, "sim": sim})
 
         pairs = places.join(points, "id").groupBy("block").applyInPandas(within, "a long, b long, sim double")
@@ -84,20 +100,26 @@ def _first(points: DataFrame, k: int, dims: int, seed: int) -> DataFrame:
     return _best(found, k)
 
 
-def _meet(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b, sim) of points that share a neighbour or are one's neighbour, where they beat a's last one."""
+def _lists(graph: DataFrame, k: int) -> DataFrame:
+    """Rows (c, ms): each point with its neighbours, those that list it (the k nearest) and itself, at most 2 k + 1."""
     back = graph.select(F.col("b").alias("c"), F.col("a").alias("m"), "sim")
     back = back.withColumn("_n", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("sim"), "m"))).where(F.col("_n") <= k)
-    members = graph.select(F.col("a").alias("c"), F.col("b").alias("m")).union(back.select("c", "m")).union(graph.select(F.col("a").alias("c"), F.col("a").alias("m")).distinct()).distinct()
+    members = graph.select(F.col("a").alias("c"), F.col("b").alias("m")).union(back.select("c", "m")).union(graph.select(F.col("a").alias("c"), F.col("a").alias("m")).distinct())
+    return members.groupBy("c").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+
+
+def _meet(points: DataFrame, graph: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b, sim) of points of one list, where they beat a's last one."""
+    members = lists.select("c", F.explode("ms").alias("m"))
     last = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
-    known = points.join(last, points["id"] == last["a"]).select(F.col("id").alias("m"), "vec", "floor")
-    lists = members.join(known, "m").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("m", "floor", "vec"))).alias("l"))  # at most 2 k + 1 a list
+    known = points.join(last, points["id"] == last["a"]).select(F.col("id").alias("m"), "floor", "vec", "norm")
+    lists = members.join(known, "m").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("m", "floor", "vec", "norm"))).alias("l"))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for row in batch["l"]:
-                found.append(_similar(np.array([x["m"] for x in row]), np.array([x["vec"] for x in row]), np.array([x["floor"] for x in row]), k))
+                found.append(_similar(np.array([x["m"] for x in row]), _unit([x["vec"] for x in row], np.array([x["norm"] for x in row])), np.array([x["floor"] for x in row]), k))
             if found:
                 yield pd.DataFrame(dict(zip(("a", "b", "sim"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
 
@@ -105,15 +127,23 @@ def _meet(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
 
 
 def neighbours(points: DataFrame, k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
-    """Rows (a, b, sim): about the k nearest others of each point (id, vec) by cosine, by NN-descent. Rounds end when fewer than SETTLED of the links change."""
+    """Rows (a, b, sim): about the k nearest others of each point (id, vec) by cosine, by NN-descent. Rounds end when fewer than SETTLED of the links change.
+
+    Vectors travel only to lists that aren't the same as a round before: the pairs of those were given then, and what
+    wasn't kept of them is below a last neighbour that only gets nearer.
+    """
     with scratch():
-        points = cut(usable(points), "points")
+        points = cut(_light(cut(_whole(points), "points")), "points")
         first = points.select(F.size("vec")).first()
         if first is None:
             return points.sparkSession.createDataFrame([], "a long, b long, sim double")
         graph = cut(_first(points, k, first[0], seed), "graph", result=True)
+        before = None
         for _ in range(MOST_ROUNDS):
-            fresh = cut(_best(graph.unionAll(_meet(points, graph, k)), k), "graph", result=True)
+            lists = cut(_lists(graph, k), "lists")
+            news = lists if before is None else lists.join(before, ["c", "ms"], "left_anti")
+            fresh = cut(_best(graph.unionAll(_meet(points, graph, news, k)), k), "graph", result=True)
+            before = lists
             changed = fresh.join(graph, ["a", "b"], "left_anti").count()
             graph = fresh
             if changed <= SETTLED * graph.count():

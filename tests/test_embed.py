@@ -54,6 +54,28 @@ def test_graph_finds_the_neighbours(spark, blobs):
     assert set(map(tuple, graph.to_numpy())) == set(map(tuple, again.to_numpy()))
 
 
+def test_vectors_travel_to_changed_lists_only_with_the_same_graph(spark, blobs, monkeypatch):
+    vecs, _ = blobs
+    points = frame(spark, np.concatenate([vecs, vecs[:40]]).astype(np.float32).astype(float))
+    met, real = [], embed._meet
+
+    def meet(known, graph, lists, k):
+        met.append(lists.count())
+        return real(known, graph, lists, k)
+
+    monkeypatch.setattr(embed, "_meet", meet)
+    got = embed.neighbours(points, 5)
+    light = embed._light(embed._whole(points)).cache()
+    assert light.schema["vec"].dataType.elementType.typeName() == "float"
+    graph = embed._first(light, 5, 24, 42).localCheckpoint()
+    for _ in met:
+        graph = embed._best(graph.unionAll(real(light, graph, embed._lists(graph, 5), 5)), 5).localCheckpoint()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.collect()))
+    assert met[0] == 440 and met[-1] < 220
+    tenth = embed._light(spark.createDataFrame([(1, [0.1, 0.2])], SCHEMA))
+    assert tenth.schema["vec"].dataType.elementType.typeName() == "double"
+
+
 def test_plane_keeps_neighbours_in_one_block_and_in_many(blobs):
     vecs, points = blobs
     edges = embed.weights(embed.neighbours(points, 10), 10).cache()
