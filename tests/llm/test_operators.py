@@ -1000,6 +1000,40 @@ def test_languages_of_many_labels(spark, monkeypatch):
     assert sum(len(t.more) for t in langid.train(df).tables.values()) <= 900
 
 
+def test_languages_keep_rare_keys(spark):
+    """A word that is a millionth of its language is known, and so are n-grams that were seen once."""
+    ids = [i for i in range(20) if not crc_held_out(i)]
+    rows = [(i, "alpha beta " * 500_000, lang, "s", 1) for i, lang in zip(ids, ("aa", "bb", "cc"), strict=False)]
+    rows += [(ids[3], "zyx zyx", "bb", "s", 1), (ids[4], "quvwk", "cc", "s", 1), (105, "zyx", None, "s", 1), (109, "uvw", None, "s", 1)]
+    got = {r["doc_id"]: r for r in langid.identify_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[105]["lang_pred"] == "bb" and got[109]["lang_pred"] == "cc"
+    assert got[105]["score"] > 0.9 and got[109]["score"] > 0.8
+
+
+@pytest.mark.parametrize("entries", [0, 40, 1500])
+def test_languages_are_the_same_by_joins(spark, monkeypatch, entries):
+    """Where the broadcast holds few entries or none, predictions and scores still follow all keys; rows and columns are kept."""
+    r = random.Random(5)
+    words = {lang: [w + ending for w in r.sample(VOCAB, 60)] for lang, ending in (("aa", ""), ("bb", "o"), ("cc", "n"), ("dd", "st"))}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(1, 30))), lang, "s", 1) for i, lang in enumerate(list(words) * 25)]
+    odd = ["½ ² ①", "xyzzy quux", "no½way", None, "", "aaaaaaaa aaaaaaaa bob", prose(40, 8), "ß" * 600, "漢字 zzzz", words["bb"][0] + "q " + words["cc"][1] + "q"]
+    rows += [(1000 + i, t, None, "s", 1) for i, t in enumerate(odd)] + rows[:3] + [(None, rows[5][1], "bb", "s", 1), (7, "another text", "cc", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(langid, "MODEL_ENTRIES", entries)
+    model = langid.train(df)
+    assert model.rest is not None and sum(len(t.more) for t in model.tables.values()) <= entries
+    training = [(lang, lexical.words_of(t)) for i, t, lang, *_ in rows if lang and not crc_held_out(i)]
+    want = {t: brute_language(training, t) for _, t, *_ in rows}
+    got = langid.identify(df, model, ["text", "source"]).collect()
+    assert sorted(map(str, (x["doc_id"] for x in got))) == sorted(str(x[0]) for x in rows) and {x["source"] for x in got} == {"s"}
+    for x in got:
+        lang, score = want[x["text"]]
+        assert x["lang_pred"] == lang and abs(x["score"] - score) < 1e-5, x["text"]
+    told = {(x["doc_id"], x["text"]) for x in got if x["lang_pred"] != "und" and x["score"] >= 0.5}
+    assert {(x["doc_id"], x["text"]) for x in langid.drop_unidentified(df).collect()} == told
+    assert langid.identify(df.where("false"), model).count() == 0
+
+
 def test_languages_untrained(spark):
     df = spark.createDataFrame([(1, "the house", None, "s", 1)], SCHEMA)
     assert [tuple(r) for r in langid.identify_documents(df).select("lang_pred", "score").collect()] == [("und", 0.0)]
