@@ -9,6 +9,7 @@ n-grams of many words come from a few array additions, and the key of a history
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 256  # longer runs of letters are cut into pieces of this length, so that no array depends on one word
+SLICE_LETTERS = 250_000  # laid out at once: arrays over them take about 160 bytes a letter
 _rng = np.random.default_rng(20240101)
 _FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -69,6 +71,16 @@ class Marked:
         return _mix(np.add.reduceat(self.codes * weight, self.starts) + size.astype(np.uint64)) if len(self.starts) else np.zeros(0, np.uint64)
 
 
+def slices(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The words in parts of at most SLICE_LETTERS letters and marks, or one word; each with the number of its first."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_LETTERS, "right")))
+        yield at, words[at:to]
+        at = to
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     return _mix(x)
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import columns, cut, is_held_out, ready, scratch, tidy
-from millrace.llm.lexical import Marked, id_share, longs, lookup, mixed, words_of
+from millrace.llm.lexical import Marked, id_share, longs, lookup, mixed, slices, words_of
 
 HISTORY = 5
 SHARED = (3, 1)
@@ -50,6 +50,8 @@ MIXED = 0.003
 STEADY = 20
 CALIBRATION_ROWS = 20_000
 FLUSH_WORDS = 200_000
+FLUSH_GRAMS = 300_000
+SENT_ROWS = 50_000
 MEMO_WORDS = 200_000
 BROADCAST_LABELS = 1_000_000
 
@@ -65,18 +67,34 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def count_grams(rows: DataFrame) -> DataFrame:
     """Rows (g, h, a, ah, b, bh, n0, n1): keys of the n-gram, its history, and both shortened by the shared orders; counts in ordinary and toxic text."""
 
-    def grams(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
-        words = list(seen[0].keys() | seen[1].keys())
+    names = ["g", "h", "a", "ah", "b", "bh", "n0", "n1"]
+
+    def summed(rows: list[np.ndarray]) -> np.ndarray:
+        """A column for each key of the first row; the last two rows are added up, the others depend on the key."""
+        key, at, back = np.unique(rows[0], return_index=True, return_inverse=True)
+        return np.stack([key, *(r[at] for r in rows[1:-2]), *(np.bincount(back, r, len(key)).astype(np.uint64) for r in rows[-2:])])
+
+    def grams(words: list[str], seen: tuple[Counter, Counter]) -> np.ndarray:
         m = Marked(words)
         inner = m.place > 0
-        sums, own = m.sums(HISTORY + 1), m.first()
+        sums, own = m.sums(HISTORY + 1), m.first()[inner]
         g, a, b = (sums[k][inner] for k in (HISTORY, *SHARED))
-        own = own[inner]
-        counts = [np.array([s[w] for w in words], np.int64)[m.word[inner]] for s in seen]
-        key, at, back = np.unique(g, return_index=True, return_inverse=True)
-        sums_ = [np.bincount(back, c, len(key)).astype(np.int64) for c in counts]
-        cols = [key, (g - own)[at], a[at], (a - own)[at], b[at], (b - own)[at]]
-        return pa.RecordBatch.from_arrays([*(longs(c) for c in cols), *(pa.array(s, pa.int64()) for s in sums_)], ["g", "h", "a", "ah", "b", "bh", "n0", "n1"])
+        counts = (np.array([s[w] for w in words], np.uint64)[m.word[inner]] for s in seen)
+        return summed([g, g - own, a, a - own, b, b - own, *counts])
+
+    def sent(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, table.shape[1], SENT_ROWS):
+            yield pa.RecordBatch.from_arrays([longs(c) for c in table[:, at : at + SENT_ROWS]], names)
+
+    def tables(seen: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of all words seen, each once, unless they are more than FLUSH_GRAMS."""
+        table = np.zeros((len(names), 0), np.uint64)
+        for _, words in slices([*seen[0], *(w for w in seen[1] if w not in seen[0])]):
+            table = summed([np.concatenate(r) for r in zip(table, grams(words, seen), strict=True)])
+            if table.shape[1] > FLUSH_GRAMS:
+                yield from sent(table)
+                table = table[:, :0]
+        yield from sent(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -84,13 +102,11 @@ def count_grams(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 seen[toxic > 0].update(words_of(text.as_py()))
                 if len(seen[0]) + len(seen[1]) > FLUSH_WORDS:
-                    yield grams(seen)
+                    yield from tables(seen)
                     seen = (Counter(), Counter())
-        if seen[0] or seen[1]:
-            yield grams(seen)
+        yield from tables(seen)
 
-    schema = "g long, h long, a long, ah long, b long, bh long, n0 long, n1 long"
-    found = rows.select("text", "toxic").mapInArrow(tidy(run), schema)
+    found = rows.select("text", "toxic").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
     return found.groupBy("g").agg(*(F.first(c).alias(c) for c in ("h", "a", "ah", "b", "bh")), *(F.sum(c).alias(c) for c in ("n0", "n1")))
 
 
@@ -109,6 +125,14 @@ class Model:
 
     def listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each word's log-odds from listed n-grams; of the other n-grams, keys, histories' keys and word numbers."""
+        parts = [(np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for at, part in slices(words):
+            odds, g, histories, word = self._listed(part)
+            parts.append((odds, g, histories, word + at))
+        odds, g, histories, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return odds, g, histories, word
+
+    def _listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         m = Marked(words)
         inner = np.flatnonzero(m.place > 0)
         g = m.sums(HISTORY + 1)[-1][inner]

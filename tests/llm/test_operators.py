@@ -835,6 +835,28 @@ def test_toxicity_keeps_rare_ngrams(spark, docs, labelled, monkeypatch):
     assert toxicity.drop_toxic(texts, labels).count() == sum(x < 0.5 for _, x in want)
 
 
+def test_toxicity_lays_out_few_letters_at_once(spark, monkeypatch):
+    """However many letters the words have that are counted or looked up together; n-grams and log-odds are the same."""
+
+    class Watched(lexical.Marked):
+        def __init__(self, words):
+            super().__init__(words)
+            assert len(self.codes) <= 250_000, f"{len(self.codes)} letters at once"
+
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=40)) for _ in range(20_000)]
+    rows = spark.createDataFrame([(" ".join(words), 0), (" ".join(words[:7000]), 1)], "text string, toxic int").coalesce(1)
+    known = np.unique(lexical.mixed(lexical.Marked(words[:200]).sums(toxicity.HISTORY + 1)[-1]))
+    model = toxicity.Model(known, np.linspace(-3, 3, len(known)).astype(np.float32), np.zeros(0, np.uint64), np.zeros(0))
+    want = np.concatenate([model.evidence([w]) for w in words[:300]])
+    monkeypatch.setattr(toxicity, "Marked", Watched)
+    grams = {f"^{w}$"[max(0, p - toxicity.HISTORY) : p + 1] for w in words for p in range(1, 42)}
+    found = toxicity.count_grams(rows).agg(F.sum("n0"), F.sum("n1"), F.count("*")).first()
+    assert tuple(found) == (41 * 20_000, 41 * 7000, len(grams))
+    got = model.evidence(words)
+    assert len(got) == len(words) and (got[:300] == want).all()
+
+
 def test_count_grams_against_loop(labelled):
     docs, labels = labelled
     rows = toxicity._labelled(docs, labels).limit(20).cache()
