@@ -1,4 +1,4 @@
-"""A sink of JSON lines that holds each batch once, whatever fails in between.
+"""A sink of JSON lines or Parquet that holds each batch once, whatever fails in between.
 
 A batch is written to a folder of its own, then a ledger entry named by stream and batch number is put beside the data
 in one step; what has no entry doesn't count. A batch that runs again because its stream was killed finds its entry and
@@ -19,8 +19,8 @@ from millrace.sources import io
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, form: str = "json"):
+        self.spark, self.path, self.form = spark, path.rstrip("/"), form
         for part in ("data", "ledger"):
             io.ensure_folder(spark, f"{self.path}/{part}")
 
@@ -35,7 +35,7 @@ class Ledger:
         if self.has(key):
             return False
         folder = f"{key}-{uuid.uuid4().hex}"
-        rows.write.json(f"{self.path}/data/{folder}")
+        rows.write.format(self.form).save(f"{self.path}/data/{folder}")
         return self.commit(key, folder)
 
     def folders(self) -> list[str]:
@@ -48,7 +48,7 @@ class Ledger:
     def read(self, schema) -> DataFrame:
         """The rows of all committed batches."""
         found = self.folders()
-        return self.spark.read.schema(schema).json(found) if found else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).format(self.form).load(found) if found else self.spark.createDataFrame([], schema)
 
     def sweep(self) -> int:
         """Deletes what failed batches left; how many folders there were. Only while no stream writes."""

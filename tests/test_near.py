@@ -222,3 +222,45 @@ def test_keys_lose_no_similar_set():
     keys = [near.parts_of(x, 9, 10) for x in sets]
     met = sum(np.intersect1d(keys[i], keys[j]).size > 0 for i in range(40) for j in range(i))
     assert met < 200  # of 780
+
+
+def test_small_sets_with_different_words_share_no_key():
+    draw = np.random.default_rng(2)
+    keys = [near.parts_of(draw.integers(0, 2**64, 1 + i % 3, dtype=np.uint64), 9, 10) for i in range(60)]
+    assert not any(np.intersect1d(keys[i], keys[j]).size for i in range(60) for j in range(i))
+
+
+def test_a_group_of_near_copies_in_a_batch_does_not_meet_in_all_its_pairs(spark, monkeypatch):
+    """Neither without a store nor, what is left of it, with one."""
+    met = []
+
+    def counted(real):
+        def cut(df, hint="t", result=False):
+            out = real(df, hint, result)
+            if hint == "pairs":
+                met.append(out.count())
+            return out
+
+        return cut
+
+    monkeypatch.setattr(near, "cut", counted(near.cut))
+    monkeypatch.setattr(dedup, "saved", counted(dedup.saved))
+    base = [f"w{i}" for i in range(60)]
+    rows = [" ".join(base[: i % 60] + [f"own{i}"] + base[i % 60 + 1 :]) for i in range(120)]
+    rows += [" ".join(f"{w}{j}" for w in base) for j in range(5)]
+    want = greedy(rows)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string").coalesce(1)
+    got = near.flagged(df, None, "id", "text", 9, 10)
+    assert [r["kept"] for r in got.orderBy("id").collect()] == want and sum(want) == 6
+    assert sum(met) < 120 * 119 / 2 / 4
+    again = near.flagged(df, got.where("kept").withColumn("batch", F.lit("b")), "id", "text", 9, 10)
+    assert not again.where("kept").count() and sum(met) < 120 * 119 / 2 / 4
+
+
+def test_keys_of_the_store_that_a_batch_does_not_have_do_not_travel(spark):
+    draw = random.Random(4)
+    sets = [(i, sorted(f"{draw.random()}" for _ in range(60)), f"b{i % 3}") for i in range(300)]
+    store = near.with_prefix(spark.createDataFrame(sets, "n long, words array<string>, batch string"), 9, 10)
+    keys = store.where("n % 60 = 0").select(F.explode("prefix").alias("k"))
+    got = near.met_keys(store, spark.sparkContext.broadcast(near.key_filter(keys)))
+    assert keys.subtract(got.select("k")).isEmpty() and got.where("n_b % 60 <> 0").count() < 20 < got.count()
