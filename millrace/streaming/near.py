@@ -109,8 +109,9 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _similar(num: int, den: int) -> Column:
+    # same * den >= (a + b - same) * num, with the words in common made once
     same = F.size(F.array_intersect("words_a", "words_b"))
-    return same * den >= (F.size("words_a") + F.size("words_b") - same) * num
+    return same * (num + den) >= (F.size("words_a") + F.size("words_b")) * num
 
 
 def similar_to_stored(new: DataFrame, store: DataFrame, num: int, den: int) -> DataFrame:
